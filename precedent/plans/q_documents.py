@@ -1 +1,107 @@
-"""placeholder"""
+"""Document build, ids, marker extraction (D1-D4) and collection I/O (S1,
+S5, S6, S8, V2) on part."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from precedent.operators import documents as D
+from precedent.plans.catalog import register
+from precedent.plans.tables import read
+from precedent.session import scratch_dir
+from precedent.sources import collection as S
+from precedent.sources import json_io
+
+
+def part_records(spark, d):
+    """Part rows shaped as reforged case records."""
+    p = read(spark, d, "part")
+    return p.select(
+        "p_partkey",
+        F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("company_name"),
+        F.col("p_type").alias("industry"),
+        F.concat(F.col("p_name"), F.lit(" stalled at size "), F.col("p_size").cast("string"), F.lit(".")).alias(
+            "failure_reasons"
+        ),
+        F.concat(F.lit("$"), F.col("p_retailprice").cast("string")).alias("funding_amount"),
+        F.col("p_brand").alias("archetype"),
+    )
+
+
+PART_SQL = """
+WITH rec AS (
+  SELECT p_partkey, 'Part ' || CAST(p_partkey AS VARCHAR) AS company_name, p_type AS industry,
+         p_name || ' stalled at size ' || CAST(p_size AS VARCHAR) || '.' AS failure_reasons,
+         p_brand AS archetype
+  FROM part),
+docs AS (
+  SELECT *, 'Industry: ' || industry || '. Reasons: ' || failure_reasons || '. Archetype: ' || archetype || '.' AS document
+  FROM rec)
+"""
+
+
+# ---------------------------------------------------------------- D1, D2
+@register(
+    "document_build",
+    PART_SQL + """
+SELECT p_partkey, document, company_name AS meta_company_name, archetype AS meta_archetype,
+       industry AS meta_industry FROM docs""",
+)
+def document_build(spark, d):
+    out = D.build_document(part_records(spark, d))
+    return out.select(
+        "p_partkey", "document",
+        F.col("metadata.company_name").alias("meta_company_name"),
+        F.col("metadata.archetype").alias("meta_archetype"),
+        F.col("metadata.industry").alias("meta_industry"),
+    )
+
+
+# ---------------------------------------------------------------- D3
+@register(
+    "document_ids",
+    "SELECT p_partkey, 'case_' || CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS VARCHAR) AS doc_id FROM part",
+)
+def document_ids(spark, d):
+    p = read(spark, d, "part").select("p_partkey")
+    return D.assign_ids(p, ["p_partkey"], prefix="case_")
+
+
+# ---------------------------------------------------------------- D4
+@register(
+    "document_extract_between",
+    PART_SQL + """
+SELECT p_partkey,
+       CASE WHEN strpos(document, 'Reasons: ') > 0 AND strpos(document, '. Archetype:') > 0
+            THEN substring(document, strpos(document, 'Reasons: ') + 9,
+                           greatest(0, strpos(document, '. Archetype:') - (strpos(document, 'Reasons: ') + 9)))
+            ELSE document END AS failure_reasons,
+       failure_reasons AS original
+FROM docs""",
+)
+def document_extract_between(spark, d):
+    out = D.build_document(part_records(spark, d))
+    return out.select("p_partkey", D.extract_reasons("document").alias("failure_reasons"),
+                      F.col("failure_reasons").alias("original"))
+
+
+# ---------------------------------------------------------------- S6, S8, V2
+@register(
+    "collection_rebuild_count",
+    "SELECT count(*) AS source_count, count(*) AS written_count, true AS ok FROM part",
+)
+def collection_rebuild_count(spark, d):
+    docs = D.build_document(part_records(spark, d))
+    return S.rebuild_and_check(docs, partition_by="industry")
+
+
+# ---------------------------------------------------------------- S1, S5
+@register(
+    "io_json_roundtrip",
+    PART_SQL + "SELECT p_partkey, company_name, industry, failure_reasons, archetype FROM rec",
+)
+def io_json_roundtrip(spark, d):
+    rec = part_records(spark, d).drop("funding_amount")
+    path = json_io.write_records(rec, scratch_dir(spark, "records-json"))
+    schema = "p_partkey long, company_name string, industry string, failure_reasons string, archetype string"
+    return json_io.read_records(spark, path, schema, multiline=False)
