@@ -65,3 +65,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df):
+    """Round-robin a DataFrame over all task slots when it arrives in fewer
+    partitions than there are slots (a small file, one row group). Inputs that
+    already fill the cluster are returned unchanged, so no shuffle is added at
+    scale."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
