@@ -1 +1,268 @@
-"""placeholder"""
+"""Harvest queries (H1-H18) on pages, and on HTML synthesised from part and
+documents rows for the label / amount / outcome / section rules (the driver
+pages carry no such labels)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from precedent.functions import html as H
+from precedent.operators import harvest as HV
+from precedent.plans.catalog import register
+from precedent.plans.tables import read
+
+PRIMARY = r"^/[A-Z]"
+BACKUP = r"^/[a-z]"
+MIN_SLASHES = 3
+LIST_CAP = 5
+
+# ---------------------------------------------------------------- SQL mirrors of functions.html
+NOISE_SQL = "'(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->'"
+
+
+def unescape_sql(x: str) -> str:
+    for k, v in H.ENTITIES:
+        v = v.replace("'", "''")
+        x = f"replace({x}, '{k}', '{v}')"
+    return x
+
+
+def text_of_sql(x: str) -> str:
+    return ("regexp_replace(" + unescape_sql(f"regexp_replace({x}, '<[^>]*>', '', 'g')")
+            + ", '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')")
+
+
+CLEAN_SQL = f"""
+clean AS (SELECT page_id, url, regexp_replace(html, {NOISE_SQL}, '', 'g') AS h FROM pages)"""
+
+ANCHOR = "'(?is)<a\\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>'"
+
+LINKS_CTES = f"""
+anch AS (
+  SELECT page_id, url, list_zip(regexp_extract_all(h, {ANCHOR}, 1), regexp_extract_all(h, {ANCHOR}, 2)) AS its FROM clean),
+chosen AS (
+  SELECT page_id, url,
+         CASE WHEN len(list_filter(its, lambda x: regexp_matches(x[1], '{PRIMARY}'))) > 0
+              THEN list_filter(its, lambda x: regexp_matches(x[1], '{PRIMARY}'))
+              ELSE list_filter(its, lambda x: regexp_matches(x[1], '{BACKUP}')) END AS ch,
+         regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS base
+  FROM anch),
+ex AS (
+  SELECT page_id, base, unnest(ch) AS it, generate_subscripts(ch, 1) - 1 AS pos FROM chosen),
+lk AS (
+  SELECT page_id, CAST(pos AS BIGINT) AS pos, it[1] AS href,
+         CASE WHEN starts_with(it[1], 'http') THEN it[1] ELSE base || it[1] END AS url,
+         CASE WHEN {text_of_sql("regexp_extract(it[2], '(?is)<h[234][^>]*>(.*?)</h[234]>', 1)")} <> ''
+              THEN {text_of_sql("regexp_extract(it[2], '(?is)<h[234][^>]*>(.*?)</h[234]>', 1)")}
+              ELSE substring({text_of_sql("it[2]")}, 1, 80) END AS name
+  FROM ex WHERE it[1] <> ''),
+links AS (
+  SELECT * EXCLUDE (k) FROM (
+    SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS k FROM lk
+    WHERE length(url) - length(replace(url, '/', '')) >= {MIN_SLASHES})
+  WHERE k = 1)"""
+LINKS_SQL = "WITH " + CLEAN_SQL.strip() + "," + LINKS_CTES + "\n"
+
+
+def _links(spark, d):
+    return HV.list_links(read(spark, d, "pages"), primary=PRIMARY, fallback=BACKUP, min_slashes=MIN_SLASHES)
+
+
+# ---------------------------------------------------------------- H1-H5
+@register("harvest_links", LINKS_SQL + "SELECT page_id, pos, href, url, name FROM links")
+def harvest_links(spark, d):
+    return _links(spark, d)
+
+
+# ---------------------------------------------------------------- H7
+@register(
+    "harvest_limit",
+    LINKS_SQL + f"""
+SELECT page_id, pos, url FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS r FROM links)
+WHERE r <= {LIST_CAP}""",
+)
+def harvest_limit(spark, d):
+    return HV.cap_items(_links(spark, d), LIST_CAP).select("page_id", "pos", "url")
+
+
+# ---------------------------------------------------------------- H6
+def _site_items(spark, d, pattern):
+    p = read(spark, d, "pages")
+    links = HV.list_links(p, primary=pattern, min_slashes=MIN_SLASHES)
+    site = p.select("page_id", F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1).alias("site"))
+    return links.join(site, "page_id").select("site", "page_id", "pos", "url")
+
+
+def _site_sql(pattern: str) -> str:
+    return f"""
+SELECT site, page_id, pos, url FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS k FROM (
+    SELECT page_id, regexp_extract(purl, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS site, CAST(pos AS BIGINT) AS pos,
+           it[1] AS href, CASE WHEN starts_with(it[1], 'http') THEN it[1] ELSE base || it[1] END AS url
+    FROM (SELECT page_id, purl, base, unnest(ch) AS it, generate_subscripts(ch, 1) - 1 AS pos FROM (
+            SELECT page_id, url AS purl, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS base,
+                   list_filter(list_zip(regexp_extract_all(h, {ANCHOR}, 1), regexp_extract_all(h, {ANCHOR}, 2)),
+                               lambda x: regexp_matches(x[1], '{pattern}')) AS ch FROM clean))
+    WHERE it[1] <> '')
+  WHERE length(url) - length(replace(url, '/', '')) >= {MIN_SLASHES})
+WHERE k = 1"""
+
+
+@register(
+    "harvest_backup_source",
+    f"WITH {CLEAN_SQL.strip()},\nprim AS ({_site_sql(PRIMARY)}),\nback AS ({_site_sql(BACKUP)})\n"
+    "SELECT * FROM prim UNION ALL SELECT * FROM back WHERE site NOT IN (SELECT site FROM prim)",
+)
+def harvest_backup_source(spark, d):
+    return HV.with_backup(_site_items(spark, d, PRIMARY), _site_items(spark, d, BACKUP))
+
+
+# ---------------------------------------------------------------- H8, H12, H14
+DETAIL_CTES = f"""
+parts AS (
+  SELECT page_id, url,
+         {text_of_sql("regexp_extract(h, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1>', 1)")} AS title,
+         regexp_split_to_array(regexp_replace(regexp_extract(h, '(?is)<article(?:\\s[^>]*)?>(.*?)</article>', 1), '(?i)</p>', '', 'g'),
+                               '(?i)<p(?:\\s[^>]*)?>') AS chunks
+  FROM clean),
+det AS (
+  SELECT page_id, url, title,
+         array_to_string(list_slice(list_filter(list_transform(list_slice(chunks, 2, len(chunks)), lambda x: {text_of_sql("x")}),
+                                                lambda p: length(p) > 50), 1, 3), ' ') AS body
+  FROM parts)"""
+DETAIL_SQL = "WITH " + CLEAN_SQL.strip() + "," + DETAIL_CTES + "\n"
+
+
+@register("harvest_page_fields", DETAIL_SQL + "SELECT page_id, title, body FROM det")
+def harvest_page_fields(spark, d):
+    return HV.detail_fields(read(spark, d, "pages")).select("page_id", "title", "body")
+
+
+@register(
+    "harvest_truncate",
+    DETAIL_SQL + "SELECT page_id, CASE WHEN length(body) > 800 THEN substring(body, 1, 800) || '...' ELSE body END AS body_truncated FROM det",
+)
+def harvest_truncate(spark, d):
+    return HV.detail_fields(read(spark, d, "pages")).select("page_id", "body_truncated")
+
+
+# ---------------------------------------------------------------- H16
+@register(
+    "harvest_page_text",
+    f"SELECT page_id, {unescape_sql(f'regexp_replace(regexp_replace(html, {NOISE_SQL}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)}), {chr(39)}<[^>]*>{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')} AS text FROM pages",
+)
+def harvest_page_text(spark, d):
+    return HV.page_text(read(spark, d, "pages"))
+
+
+# ---------------------------------------------------------------- H13, H17, H18
+def _items_for_merge(spark, d):
+    """List items: every resolved link of every page, plus each page listed
+    under its own URL with its <title> as preview name."""
+    p = read(spark, d, "pages")
+    links = _links(spark, d).select(
+        F.concat(F.col("page_id").cast("string"), F.lit(":"), F.col("pos").cast("string")).alias("item_id"),
+        "name", "url", F.lit("").alias("industry"), F.lit("").alias("snippet"),
+    )
+    own = p.select(
+        F.concat(F.col("page_id").cast("string"), F.lit(":self")).alias("item_id"),
+        H.text_of(H.first_inner(H.strip_noise(F.col("html")), "title")).alias("name"),
+        "url", F.lit("").alias("industry"), F.lit("").alias("snippet"),
+    )
+    return links.unionByName(own)
+
+
+@register(
+    "harvest_fallback_merge",
+    "WITH " + CLEAN_SQL.strip() + "," + LINKS_CTES + "," + DETAIL_CTES + f""",
+items AS (
+  SELECT CAST(page_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS item_id, name, url FROM links
+  UNION ALL
+  SELECT CAST(page_id AS VARCHAR) || ':self', {text_of_sql("regexp_extract(h, '(?is)<title(?:\\s[^>]*)?>(.*?)</title>', 1)")}, url FROM clean)
+SELECT i.item_id,
+       CASE WHEN d.url IS NULL THEN i.name WHEN d.title <> '' THEN d.title ELSE coalesce(i.name, 'Unknown') END AS company_name,
+       i.url AS source_url, d.url IS NOT NULL AS has_detail
+FROM items i LEFT JOIN det d ON d.url = i.url""",
+)
+def harvest_fallback_merge(spark, d):
+    p = read(spark, d, "pages")
+    details = HV.detail_fields(p).join(p.select("page_id", "url"), "page_id")
+    tree = HV.tree_fields(p)
+    out = HV.merge_details(_items_for_merge(spark, d), details, tree)
+    has = out.join(details.select(F.col("url").alias("source_url"), F.lit(True).alias("has_detail")), "source_url", "left")
+    return has.select("item_id", "company_name", "source_url",
+                      F.coalesce("has_detail", F.lit(False)).alias("has_detail"))
+
+
+# ---------------------------------------------------------------- H9, H10, H15 (synthesised labelled pages)
+def labelled_pages(spark, d):
+    p = read(spark, d, "part")
+    s, a, o = F.col("p_size") % 4, F.col("p_size") % 3, F.col("p_partkey") % 4
+    ind = (
+        F.when(s == 0, F.concat(F.lit("<div><span>Industry</span><span>"), F.col("p_type"), F.lit("</span></div>")))
+        .when(s == 1, F.concat(F.lit("<div><p>Sector: "), F.col("p_type"), F.lit("</p></div>")))
+        .when(s == 2, F.lit("<div><span>Category</span><span></span></div>"))
+        .otherwise(F.lit("<p>No label here.</p>"))
+    )
+    fund = (
+        F.when(a == 0, F.concat(F.lit("<div><b>Funding</b><p>Total of $"), F.format_string("%.2f", F.col("p_retailprice")),
+                                F.lit("M so far</p></div>")))
+        .when(a == 1, F.concat(F.lit("<p>The team raised $"), F.col("p_size").cast("string"), F.lit("M early.</p>")))
+        .otherwise(F.lit("<p>No money talk.</p>"))
+    )
+    out = (
+        F.when(o == 0, F.concat(F.lit("<p>Outcome: acquired in "), (F.col("p_size") + 2000).cast("string"), F.lit("</p>")))
+        .when(o == 1, F.concat(F.lit("<p>The firm closed its doors in "), F.col("p_brand"), F.lit(". Then more.</p>")))
+        .otherwise(F.lit("<p>Nothing more.</p>"))
+    )
+    html = F.concat(
+        F.lit("<html><head><title>"), F.col("p_name"), F.lit("</title></head><body><h1>"), F.col("p_name"),
+        F.lit("</h1>"), ind, fund, out, F.lit("</body></html>"),
+    )
+    return p.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+@register(
+    "harvest_labelled_value",
+    "SELECT p_partkey AS page_id, CASE WHEN p_size % 4 IN (0, 1) THEN p_type ELSE '' END AS industry FROM part",
+)
+def harvest_labelled_value(spark, d):
+    return HV.tree_fields(labelled_pages(spark, d)).select("page_id", "industry")
+
+
+@register(
+    "harvest_amount",
+    """SELECT p_partkey AS page_id, CASE p_size % 3 WHEN 0 THEN '$' || printf('%.2f', p_retailprice) || 'M'
+       WHEN 1 THEN '$' || CAST(p_size AS VARCHAR) || 'M' ELSE '' END AS funding FROM part""",
+)
+def harvest_amount(spark, d):
+    return HV.tree_fields(labelled_pages(spark, d)).select("page_id", "funding")
+
+
+@register(
+    "harvest_outcome",
+    """SELECT p_partkey AS page_id, CASE p_partkey % 4 WHEN 0 THEN 'acquired in ' || CAST(p_size + 2000 AS VARCHAR)
+       WHEN 1 THEN 'closed its doors in ' || p_brand || '.' ELSE 'Shut down (details unavailable)' END AS outcome
+       FROM part""",
+)
+def harvest_outcome(spark, d):
+    return HV.tree_fields(labelled_pages(spark, d)).select("page_id", "outcome")
+
+
+# ---------------------------------------------------------------- H11 (rows only)
+def section_pages(spark, d):
+    """Documents as detail pages: a 'What went wrong' heading over the first
+    line, a list of the next lines, then a heading that ends the section."""
+    doc = read(spark, d, "documents")
+    lines = F.split(F.col("text"), "\n")
+    html = F.concat(
+        F.lit("<html><body><h1>Doc</h1><h2>What went wrong</h2><p>"), F.get(lines, 0), F.lit("</p><ul>"),
+        F.array_join(F.transform(F.slice(lines, 2, 3), lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), ""),
+        F.lit("</ul><h2>Afterwards</h2><p>Not part of the section.</p></body></html>"),
+    )
+    return doc.select(F.col("doc_id").alias("page_id"), html.alias("html"))
+
+
+@register("harvest_section")
+def harvest_section(spark, d):
+    return HV.tree_fields(section_pages(spark, d)).select("page_id", "section")
