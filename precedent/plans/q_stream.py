@@ -1 +1,76 @@
-"""placeholder"""
+"""The request stream (T1) over ``events``, plus the text encoder (R11).
+
+Each event is a request from its user; the user's query vector is the
+embedding with vec_id = user_id. The stream reads the events file with
+availableNow and writes per-batch partitions; the result read back equals the
+batch answer for all events (the same SQL is the oracle).
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from precedent.plans.catalog import register
+from precedent.plans.tables import CASES_SQL, cases, read, sql_cosine
+from precedent.session import scratch_dir
+from precedent.streaming.requests import OUTPUT_COLUMNS, answer_requests, run_available
+
+STREAM_SQL = f"""
+WITH {CASES_SQL.strip()},
+users AS (SELECT DISTINCT user_id FROM events),
+pairs AS (
+  SELECT u.user_id, c.id, {sql_cosine("e.embedding", "c.embedding")} AS d
+  FROM users u JOIN embeddings e ON e.vec_id = u.user_id JOIN cases c ON c.id <> u.user_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d, id) AS rank FROM pairs) WHERE rank <= 3),
+gate AS (SELECT user_id, CASE WHEN min(d) > 0.65 THEN 'refused' ELSE 'ok' END AS status FROM top GROUP BY user_id)
+SELECT ev.event_id AS request_id, g.status, CAST(t.rank AS BIGINT) AS rank, t.id, round(t.d, 4) AS distance,
+       CAST(NULL AS VARCHAR) AS message
+FROM events ev JOIN gate g ON g.user_id = ev.user_id JOIN top t ON t.user_id = ev.user_id
+WHERE g.status = 'ok'
+UNION ALL
+SELECT ev.event_id, 'refused', NULL, NULL, NULL, '{{msg}}'
+FROM events ev JOIN gate g ON g.user_id = ev.user_id WHERE g.status = 'refused'
+UNION ALL
+SELECT ev.event_id, 'error', NULL, NULL, NULL, 'no usable query vector'
+FROM events ev WHERE ev.user_id NOT IN (SELECT vec_id FROM embeddings)"""
+
+
+def _msg_sql() -> str:
+    from precedent.operators.retrieve import REFUSAL_MESSAGE
+
+    return STREAM_SQL.replace("{msg}", REFUSAL_MESSAGE.replace("'", "''"))
+
+
+@register("stream_retrieve", _msg_sql())
+def stream_retrieve(spark, d):
+    ev_schema = read(spark, d, "events").schema
+    source = (
+        spark.readStream.schema(ev_schema)
+        .option("pathGlobFilter", "events.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(d)
+    )
+    cs = cases(spark, d)
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_key"), "embedding")
+
+    def answer(batch):
+        reqs = batch.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("query_key"))
+        return answer_requests(reqs, cs, vectors, k=3, metric="cosine")
+
+    out = run_available(spark, source, answer, scratch_dir(spark, "stream-sink"), scratch_dir(spark, "stream-ckpt"))
+    return out.select(*OUTPUT_COLUMNS)
+
+
+# ---------------------------------------------------------------- R11 (rows only)
+@register("encode_text")
+def encode_text(spark, d):
+    """Text -> unit vector with pyspark.ml (tokenise, hash to 64 buckets,
+    L2-normalise): the default encoder for tables without vectors."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"\W+", toLowercase=True)
+    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=64)
+    norm = Normalizer(inputCol="tf", outputCol="vec", p=2.0)
+    out = norm.transform(tf.transform(tok.transform(docs)))
+    return out.select("doc_id", vector_to_array("vec", "float32").alias("embedding"))
