@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -257,7 +258,8 @@ def nearest(
     """Top-k cases per (query, route), long form
     ``(query_id, route, rank, id, distance)``; route numbers follow ``routes``
     order starting at 1. Query ids must be unique; invalid query vectors get
-    no rows. Triggers one small job per query block (count + collect)."""
+    no rows. Triggers one small job (a bounded collect of the query side);
+    a query table over the block bound adds a count and one collect per block."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     routes = tuple(routes)
@@ -270,16 +272,19 @@ def nearest(
         *[F.col(c).cast("string").alias(f"ql_{c}") for c in q_label_cols],
     ).where(vector_ok("qvec", dim, metric) & F.col("qid").isNotNull())
 
-    n_q = qsel.count()
-    if n_q == 0:
+    # One bounded collect answers the common case (the query table fits one
+    # block); only a larger table pays a count and per-block collects.
+    first = _collect_block(qsel.limit(max_block_rows + 1))
+    if first.num_rows == 0:
         return spark.createDataFrame([], PARTIAL_SCHEMA).withColumn("rank", F.lit(0).cast("long")).select(
             "query_id", "route", "rank", "id", "distance"
         )
     if dim is None:
-        dim = int(qsel.select(F.size("qvec")).first()[0])
+        dim = int(pa.compute.list_value_length(first.column("qvec").combine_chunks())[0].as_py())
+        ok_len = pa.compute.equal(pa.compute.list_value_length(first.column("qvec").combine_chunks()), dim)
+        first = first.filter(ok_len)
         qsel = qsel.where(F.size("qvec") == dim)
     rows_per_block = max(1, min(max_block_rows, max_block_bytes // (8 * dim)))
-    n_blocks = max(1, math.ceil(n_q / rows_per_block))
 
     csel = cases.select(
         F.col(case_id).cast("long").alias("cid"),
@@ -291,11 +296,13 @@ def nearest(
     sc = spark.sparkContext
 
     tables = []
-    if n_blocks == 1:
-        tables.append(_collect_block(qsel))
+    if first.num_rows <= rows_per_block:
+        tables.append(first)
+        n_q = first.num_rows
     else:
+        n_q = qsel.count()
         # Hash blocks; a block is re-checked against the bound after collect.
-        nb = math.ceil(n_blocks * 1.25)
+        nb = math.ceil(math.ceil(n_q / rows_per_block) * 1.25)
         keyed = qsel.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(nb)))
         for b in range(nb):
             t = _collect_block(keyed.where(F.col("_blk") == b).drop("_blk"))
@@ -316,27 +323,20 @@ def nearest(
         qids = t.column("qid").to_numpy().astype(np.int64)
         qmat = t.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         qmat = qmat.reshape(-1, dim)
-        cats, qcodes, route_label = [], {}, {}
+        # label values of this block -> dense codes, per case label column
         lab_index = {c: j for j, c in enumerate(label_cols)}
-        for c in label_cols:
-            cats.append([])
+        codes_of: list[dict] = [{} for _ in label_cols]
+        qcodes, route_label = {}, {}
         for r, route in enumerate(routes):
-            if not route.filtered:
-                continue
-            j = lab_index[route.case_col]
-            vals = t.column(f"ql_{route.query_col}").to_pylist()
-            for v in vals:
-                if v is not None and v not in cats[j]:
-                    cats[j].append(v)
-            route_label[r] = j
-        # codes are computed after all categories of a label column are known
-        for r, route in enumerate(routes):
-            if not route.filtered:
-                continue
-            j = route_label[r]
-            pos = {v: i for i, v in enumerate(cats[j])}
-            vals = t.column(f"ql_{route.query_col}").to_pylist()
-            qcodes[r] = np.array([pos[v] if v is not None else -2 for v in vals], dtype=np.int64)
+            if route.filtered:
+                j = route_label[r] = lab_index[route.case_col]
+                for v in t.column(f"ql_{route.query_col}").to_pylist():
+                    if v is not None:
+                        codes_of[j].setdefault(v, len(codes_of[j]))
+        for r, j in route_label.items():
+            vals = t.column(f"ql_{routes[r].query_col}").to_pylist()
+            qcodes[r] = np.array([codes_of[j][v] if v is not None else -2 for v in vals], dtype=np.int64)
+        cats = [list(m) for m in codes_of]
         bc = sc.broadcast({"qids": qids, "qmat": qmat, "cats": cats, "qcodes": qcodes, "route_label": route_label})
         task = _make_task(bc, routes, metric, exclude_self, dim)
         parts.append(csel.mapInArrow(task, PARTIAL_SCHEMA))
@@ -344,13 +344,14 @@ def nearest(
     partial = parts[0]
     for p in parts[1:]:
         partial = partial.unionByName(p)
-    ks = F.array(*[F.lit(r.k) for r in routes])
     w = Window.partitionBy("query_id", "route").orderBy("distance", "id")
-    return (
-        partial.withColumn("rank", F.row_number().over(w).cast("long"))
-        .where(F.col("rank") <= F.element_at(ks, F.col("route")))
-        .select("query_id", "route", "rank", "id", "distance")
-    )
+    # a literal bound lets Spark plan WindowGroupLimit (partial top-k before
+    # the shuffle); routes with a smaller k are trimmed after
+    ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(r.k for r in routes))
+    if len({r.k for r in routes}) > 1:
+        ks = F.array(*[F.lit(r.k) for r in routes])
+        ranked = ranked.where(F.col("rank") <= F.element_at(ks, F.col("route")))
+    return ranked.select("query_id", "route", F.col("rank").cast("long").alias("rank"), "id", "distance")
 
 
 def attach(hits: DataFrame, cases: DataFrame, case_id: str = "id", cols: list[str] | None = None) -> DataFrame:
