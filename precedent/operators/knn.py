@@ -254,12 +254,15 @@ def nearest(
     dim: int | None = None,
     max_block_rows: int = MAX_BLOCK_ROWS,
     max_block_bytes: int = MAX_BLOCK_BYTES,
-) -> DataFrame:
+    with_bound: bool = False,
+) -> DataFrame | tuple[DataFrame, int]:
     """Top-k cases per (query, route), long form
     ``(query_id, route, rank, id, distance)``; route numbers follow ``routes``
     order starting at 1. Query ids must be unique; invalid query vectors get
     no rows. Triggers one small job (a bounded collect of the query side);
-    a query table over the block bound adds a count and one collect per block."""
+    a query table over the block bound adds a count and one collect per block.
+    ``with_bound`` also returns the proven maximum row count of the result
+    (queries x sum of k), for sizing a later broadcast."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     routes = tuple(routes)
@@ -276,9 +279,10 @@ def nearest(
     # block); only a larger table pays a count and per-block collects.
     first = _collect_block(qsel.limit(max_block_rows + 1))
     if first.num_rows == 0:
-        return spark.createDataFrame([], PARTIAL_SCHEMA).withColumn("rank", F.lit(0).cast("long")).select(
+        empty = spark.createDataFrame([], PARTIAL_SCHEMA).withColumn("rank", F.lit(0).cast("long")).select(
             "query_id", "route", "rank", "id", "distance"
         )
+        return (empty, 0) if with_bound else empty
     if dim is None:
         dim = int(pa.compute.list_value_length(first.column("qvec").combine_chunks())[0].as_py())
         ok_len = pa.compute.equal(pa.compute.list_value_length(first.column("qvec").combine_chunks()), dim)
@@ -351,10 +355,23 @@ def nearest(
     if len({r.k for r in routes}) > 1:
         ks = F.array(*[F.lit(r.k) for r in routes])
         ranked = ranked.where(F.col("rank") <= F.element_at(ks, F.col("route")))
-    return ranked.select("query_id", "route", F.col("rank").cast("long").alias("rank"), "id", "distance")
+    out = ranked.select("query_id", "route", F.col("rank").cast("long").alias("rank"), "id", "distance")
+    return (out, n_q * sum(r.k for r in routes)) if with_bound else out
+
 
+# Largest hit list broadcast into the payload join (rows).
+MAX_BROADCAST_HITS = 4_000_000
 
-def attach(hits: DataFrame, cases: DataFrame, case_id: str = "id", cols: list[str] | None = None) -> DataFrame:
-    """Join case payload columns back onto the (small) hit list by id."""
+
+def attach(
+    hits: DataFrame, cases: DataFrame, case_id: str = "id", cols: list[str] | None = None,
+    max_hits: int | None = None,
+) -> DataFrame:
+    """Join case payload columns back onto the hit list by id. Hit ids come
+    from the case table, so an inner join loses nothing; with a proven bound
+    the hits are broadcast and the case table is only scanned (its payload
+    columns never shuffle). Without a bound the planner / AQE decides."""
     payload = cases.select(F.col(case_id).cast("long").alias("id"), *[F.col(c) for c in (cols or [])])
+    if max_hits is not None and max_hits <= MAX_BROADCAST_HITS:
+        return payload.join(F.broadcast(hits), "id", "inner").select(*hits.columns, *(cols or []))
     return hits.join(payload, "id", "left")

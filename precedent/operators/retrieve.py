@@ -31,10 +31,12 @@ def topk(
     query_vec: str = "embedding",
 ) -> DataFrame:
     """Global top-k by ascending distance: (query_id, rank, id, distance, payload...)."""
-    hits = nearest(
-        cases, queries, [Route(k)], metric=metric, exclude_self=exclude_self, case_vec=case_vec, query_vec=query_vec
-    ).drop("route")
-    return attach(hits, cases, cols=payload) if payload else hits
+    hits, bound = nearest(
+        cases, queries, [Route(k)], metric=metric, exclude_self=exclude_self, case_vec=case_vec, query_vec=query_vec,
+        with_bound=True,
+    )
+    hits = hits.drop("route")
+    return attach(hits, cases, cols=payload, max_hits=bound) if payload else hits
 
 
 def filtered_top1(
@@ -49,10 +51,11 @@ def filtered_top1(
 ) -> DataFrame:
     """Top-1 among cases whose ``case_col`` equals the query's ``query_col``.
     A query with no matching case (or a null label) has no row."""
-    hits = nearest(
-        cases, queries, [Route(1, case_col, query_col)], metric=metric, exclude_self=exclude_self
-    ).drop("route")
-    return attach(hits, cases, cols=payload) if payload else hits
+    hits, bound = nearest(
+        cases, queries, [Route(1, case_col, query_col)], metric=metric, exclude_self=exclude_self, with_bound=True
+    )
+    hits = hits.drop("route")
+    return attach(hits, cases, cols=payload, max_hits=bound) if payload else hits
 
 
 def multiroute(
@@ -87,9 +90,9 @@ def multiroute(
         ],
     )
     rts = [Route(1, cc, f"_rq{i}") for i, (cc, _) in enumerate(routes)] + [Route(fallback_k)]
-    hits = nearest(cases, q, rts, metric=metric, exclude_self=exclude_self)
+    hits, bound = nearest(cases, q, rts, metric=metric, exclude_self=exclude_self, with_bound=True)
     cols = [name_col] + [c for c in (payload or []) if c != name_col]
-    hits = attach(hits, cases, cols=cols)
+    hits = attach(hits, cases, cols=cols, max_hits=bound)
     klass = q.select(F.col("query_id").cast("long").alias("query_id"), F.col(classified_col).alias("_cls"))
     hits = hits.join(klass, "query_id")
     glob = nr + 1
@@ -161,8 +164,9 @@ def top1_enriched(
     a record table indexed by id (last duplicate wins): archetype prefers the
     case metadata, then the record, then ''; long fields default to ''."""
     q = queries.withColumn("embedding", normalise("embedding"))
-    hits = nearest(cases, q, [Route(1)], metric=metric, exclude_self=exclude_self).drop("route", "rank")
-    hits = attach(hits, cases, cols=[meta_archetype, outcome_col]).withColumnRenamed(meta_archetype, "_meta_arch")
+    hits, bound = nearest(cases, q, [Route(1)], metric=metric, exclude_self=exclude_self, with_bound=True)
+    hits = attach(hits.drop("route", "rank"), cases, cols=[meta_archetype, outcome_col], max_hits=bound)
+    hits = hits.withColumnRenamed(meta_archetype, "_meta_arch")
     idx = records.groupBy(F.col(record_key).cast("long").alias("id")).agg(
         F.max_by(F.struct("core_cognitive_bias", "fatal_action", "archetype"), F.col(record_pos)).alias("rec")
     )
