@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from precedent.functions.vectors import normalise
-from precedent.operators.knn import Route, attach, nearest
+from precedent.operators.knn import MAX_BROADCAST_HITS, Route, attach, nearest
 
 GATE_THRESHOLD = 0.65
 REFUSAL_MESSAGE = "The case base does not cover this scenario; describe a more specific venture."
@@ -93,24 +93,33 @@ def multiroute(
     hits, bound = nearest(cases, q, rts, metric=metric, exclude_self=exclude_self, with_bound=True)
     cols = [name_col] + [c for c in (payload or []) if c != name_col]
     hits = attach(hits, cases, cols=cols, max_hits=bound)
+    # one row per query: at most ``bound`` rows, broadcast when under the limit
     klass = q.select(F.col("query_id").cast("long").alias("query_id"), F.col(classified_col).alias("_cls"))
-    hits = hits.join(klass, "query_id")
+    if bound <= MAX_BROADCAST_HITS:
+        klass = F.broadcast(klass)
     glob = nr + 1
 
-    routed = hits.where(F.col("_cls") & ((F.col("route") <= nr) | (F.col("rank") == 1)))
-    first = Window.partitionBy("query_id", F.coalesce(F.col(name_col), F.lit(""))).orderBy("route")
-    merged = routed.withColumn("_first", F.row_number().over(first)).where(F.col("_first") == 1).drop("_first")
-
-    fallback_q = (
-        klass.where(~F.col("_cls")).select("query_id")
-        .unionByName(klass.where(F.col("_cls")).select("query_id").join(merged.select("query_id").distinct(), "query_id", "left_anti"))
+    # Single pass over the hit list (the kNN result is consumed once):
+    # classified -> the routed top-1 rows, deduplicated by name (first route
+    # wins); unclassified -> the global top-k as is. A classified query whose
+    # routes are all empty has an empty global route too, so its fallback
+    # (global top-k) is empty as well and needs no branch of its own.
+    h = hits.join(klass, "query_id")
+    keep = (F.col("_cls") & ((F.col("route") <= nr) | (F.col("rank") == 1))) | (
+        ~F.col("_cls") & (F.col("route") == glob)
+    )
+    key = F.when(F.col("_cls"), F.coalesce(F.col(name_col), F.lit(""))).otherwise(
+        F.concat(F.lit("\u0000"), F.col("route").cast("string"), F.lit(":"), F.col("rank").cast("string"))
+    )
+    first = Window.partitionBy("query_id", "_key").orderBy("route")
+    merged = (
+        h.where(keep).withColumn("_key", key)
+        .withColumn("_first", F.row_number().over(first)).where(F.col("_first") == 1)
+        .withColumn("fallback", ~F.col("_cls"))
     )
-    fallback = hits.where(F.col("route") == glob).join(fallback_q, "query_id", "left_semi")
-
-    out = merged.withColumn("fallback", F.lit(False)).unionByName(fallback.withColumn("fallback", F.lit(True)))
     order = Window.partitionBy("query_id").orderBy("distance", "route", "id")
     return (
-        out.withColumn("rank", F.row_number().over(order).cast("long"))
+        merged.withColumn("rank", F.row_number().over(order).cast("long"))
         .select("query_id", "rank", "route", "id", "distance", "fallback", *cols)
     )
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from precedent.functions.vectors import vector_status
@@ -44,23 +44,26 @@ def answer_requests(
     )
     good = vec.where(F.col("_vs") == "ok").select(F.col("query_key").alias("query_id"), "embedding")
     hits = R.topk(cases, good, k=k, metric=metric, exclude_self=exclude_self)
-    gated = R.gate(hits, threshold=threshold)
-    per_key = gated.select(F.col("query_id").alias("query_key"), "status", "message")
-
-    req = requests.join(per_key, "query_key", "left")
-    ok = req.where(F.col("status") == "ok").join(
-        hits.withColumnRenamed("query_id", "query_key"), "query_key"
-    ).select("request_id", "status", "rank", "id", F.round("distance", 4).alias("distance"), "message")
-    refused = req.where(F.col("status") == "refused").select(
-        "request_id", "status", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("long").alias("id"),
-        F.lit(None).cast("double").alias("distance"), "message",
+    # gate inside the (small) hit list: every query's rows carry its status,
+    # so the kNN result is consumed by one join with the requests
+    top1 = F.min("distance").over(Window.partitionBy("query_id"))
+    scored = hits.withColumn(
+        "status", F.when(top1 > F.lit(threshold), F.lit("refused")).otherwise(F.lit("ok"))
+    ).withColumnRenamed("query_id", "query_key")
+    j = requests.join(scored, "query_key", "left").where(
+        F.col("status").isNull() | (F.col("status") == "ok") | (F.col("rank") == 1)
     )
-    error = req.where(F.col("status").isNull()).select(
-        "request_id", F.lit("error").alias("status"), F.lit(None).cast("long").alias("rank"),
-        F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("distance"),
-        F.lit("no usable query vector").alias("message"),
+    ok = F.col("status") == "ok"
+    return j.select(
+        "request_id",
+        F.coalesce(F.col("status"), F.lit("error")).alias("status"),
+        F.when(ok, F.col("rank")).alias("rank"),
+        F.when(ok, F.col("id")).alias("id"),
+        F.when(ok, F.round("distance", 4)).alias("distance"),
+        F.when(F.col("status").isNull(), F.lit("no usable query vector"))
+        .when(F.col("status") == "refused", F.lit(R.REFUSAL_MESSAGE))
+        .alias("message"),
     )
-    return ok.unionByName(refused).unionByName(error)
 
 
 def batch_writer(sink: str, answer: Callable[[DataFrame], DataFrame]):
