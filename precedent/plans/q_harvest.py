@@ -185,13 +185,9 @@ SELECT i.item_id,
 FROM items i LEFT JOIN det d ON d.url = i.url""",
 )
 def harvest_fallback_merge(spark, d):
-    p = read(spark, d, "pages")
-    details = HV.detail_fields(p).join(p.select("page_id", "url"), "page_id")
-    tree = HV.tree_fields(p)
-    out = HV.merge_details(_items_for_merge(spark, d), details, tree)
-    has = out.join(details.select(F.col("url").alias("source_url"), F.lit(True).alias("has_detail")), "source_url", "left")
-    return has.select("item_id", "company_name", "source_url",
-                      F.coalesce("has_detail", F.lit(False)).alias("has_detail"))
+    details = HV.details_with_tree(read(spark, d, "pages"))
+    out = HV.merge_details(_items_for_merge(spark, d), details)
+    return out.select("item_id", "company_name", "source_url", "has_detail")
 
 
 # ---------------------------------------------------------------- H9, H10, H15 (synthesised labelled pages)

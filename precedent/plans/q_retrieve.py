@@ -105,7 +105,7 @@ FROM top"""
 
 @register("retrieve_gate", GATE_SQL)
 def retrieve_gate(spark, d):
-    res = R.topk(cases(spark, d), queries(spark, d), k=3, metric="cosine", exclude_self=True)
+    res = R.topk(cases(spark, d), queries(spark, d), k=1, metric="cosine", exclude_self=True)
     g = R.gate(res, threshold=0.65)
     return g.select("query_id", "status", F.round("top1_distance", 4).alias("top1_distance"))
 

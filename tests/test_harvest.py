@@ -74,7 +74,7 @@ def test_merge_with_and_without_detail(spark):
         "item_id string, name string, url string, industry string, snippet string")
     pages = spark.createDataFrame([(1, "http://s/d1", "<html><body><p>Outcome: sold</p></body></html>")],
                                   "page_id long, url string, html string")
-    details = HV.detail_fields(pages).join(pages.select("page_id", "url"), "page_id")
-    out = {r.item_id: r for r in HV.merge_details(items, details, HV.tree_fields(pages)).collect()}
+    out = {r.item_id: r for r in HV.merge_details(items, HV.details_with_tree(pages)).collect()}
     assert out["i1"].company_name == "Prev" and out["i1"].failure_reasons == "snip" and out["i1"].outcome == "sold"
     assert out["i2"].funding_amount == "N/A" and out["i2"].outcome == "N/A" and out["i2"].failure_reasons == "snip2"
+    assert out["i1"].has_detail and not out["i2"].has_detail
