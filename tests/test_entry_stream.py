@@ -44,3 +44,20 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark):
     n1 = out1.count()
     out2 = run_available(spark, source, answer, sink, ckpt).drop("batch_id")  # restart: nothing new
     assert out2.count() == n1
+
+
+def test_requests_isolate_bad_rows_and_gate(spark):
+    from precedent.streaming.requests import answer_requests
+
+    cases = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.7, 0.7])], "id long, embedding array<float>")
+    vectors = spark.createDataFrame([(10, [1.0, 0.05]), (11, [0.0, 0.0]), (12, [-1.0, -0.2])],
+                                    "query_key long, embedding array<float>")
+    reqs = spark.createDataFrame([(100, 10), (101, 11), (102, 12), (103, 99)], "request_id long, query_key long")
+    out = answer_requests(reqs, cases, vectors, k=2, metric="cosine", threshold=0.65, exclude_self=False)
+    rows = {}
+    for r in out.collect():
+        rows.setdefault(r.request_id, []).append(r)
+    assert [r.status for r in rows[100]] == ["ok", "ok"] and sorted(r.rank for r in rows[100]) == [1, 2]
+    assert [(r.status, r.rank) for r in rows[101]] == [("error", None)]  # zero vector
+    assert [(r.status, r.rank) for r in rows[102]] == [("refused", None)]  # best cosine distance > 0.65
+    assert [(r.status, r.message) for r in rows[103]] == [("error", "no usable query vector")]
