@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from precedent.functions.vectors import vector_status
 from precedent.operators import retrieve as R
+from precedent.operators.knn import MAX_BROADCAST_HITS, Route, nearest
 
 OUTPUT_COLUMNS = ["request_id", "status", "rank", "id", "distance", "message"]
 
@@ -43,13 +44,17 @@ def answer_requests(
         "_vs", vector_status("embedding", metric=metric)
     )
     good = vec.where(F.col("_vs") == "ok").select(F.col("query_key").alias("query_id"), "embedding")
-    hits = R.topk(cases, good, k=k, metric=metric, exclude_self=exclude_self)
+    hits, bound = nearest(cases, good, [Route(k)], metric=metric, exclude_self=exclude_self, with_bound=True)
     # gate inside the (small) hit list: every query's rows carry its status,
     # so the kNN result is consumed by one join with the requests
     top1 = F.min("distance").over(Window.partitionBy("query_id"))
-    scored = hits.withColumn(
+    scored = hits.drop("route").withColumn(
         "status", F.when(top1 > F.lit(threshold), F.lit("refused")).otherwise(F.lit("ok"))
     ).withColumnRenamed("query_id", "query_key")
+    # the hit list is bounded (distinct keys x k): broadcast it, so a key sent
+    # by a large share of the requests does not skew the join
+    if bound <= MAX_BROADCAST_HITS:
+        scored = F.broadcast(scored)
     j = requests.join(scored, "query_key", "left").where(
         F.col("status").isNull() | (F.col("status") == "ok") | (F.col("rank") == 1)
     )
