@@ -20,6 +20,8 @@ def test_every_query_runs_on_smoke_data(spark):
         df = fn(spark, SMOKE)
         assert df.columns, name
         df.write.format("noop").mode("overwrite").save()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
 def test_stream_equals_batch_and_replay_is_idempotent(spark):
