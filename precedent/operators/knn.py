@@ -375,3 +375,12 @@ def attach(
     if max_hits is not None and max_hits <= MAX_BROADCAST_HITS:
         return payload.join(F.broadcast(hits), "id", "inner").select(*hits.columns, *(cols or []))
     return hits.join(payload, "id", "left")
+
+
+# Functions of this module run inside Python workers (mapInArrow/mapInPandas);
+# ship their code with the closures so executors need no installed copy.
+import sys as _sys  # noqa: E402
+
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
