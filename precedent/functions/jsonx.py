@@ -90,16 +90,12 @@ def has_keys(m: Column, required: list[str]) -> Column:
     return F.coalesce(m.isNotNull() & cond, F.lit(False))
 
 
-def candidates(x: Column) -> Column:
-    """The three candidate texts tried in order: the whole trimmed text, the
-    first flat {...} block, the greedy first-'{'-to-last-'}' span."""
-    return F.array(x, F.regexp_extract(x, r"\{[^{}]*\}", 0), F.regexp_extract(x, r"(?s)\{.*\}", 0))
-
-
 def extract_object(t, required: list[str]) -> Column:
     """Strict extraction: the first candidate that parses to an object holding
-    all ``required`` keys; struct of the required fields, or null. A later
-    candidate is only built and parsed when the earlier ones failed."""
+    all ``required`` keys; struct of the required fields, or null. Candidates,
+    in order: the whole trimmed text, the first flat {...} block, the greedy
+    first-'{'-to-last-'}' span; a later one is only built and parsed when the
+    earlier ones failed."""
     def attempt(cand: Column, rest) -> Column:
         def on_text(u):
             return _bind(object_keys(u), lambda m: F.when(has_keys(m, required), _values_parse(u, required))

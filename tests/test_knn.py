@@ -121,3 +121,18 @@ def test_gate_threshold_equal_passes(spark):
     res = spark.createDataFrame([(1, 1, 0.65), (2, 1, 0.6500001)], "query_id long, rank long, distance double")
     st = {r.query_id: r.status for r in R.gate(res, 0.65).collect()}
     assert st == {1: "ok", 2: "refused"}
+
+
+@pytest.mark.parametrize("metric", ["sql2", "cosine"])
+def test_distances_equal_per_pair_expression(spark, metric):
+    from precedent.functions.vectors import cosine_distance, squared_l2
+
+    _, _, _, cases, queries = _tables(spark)
+    hits = knn.nearest(cases, queries, [knn.Route(3)], metric=metric)
+    pair = squared_l2("cv", "qv") if metric == "sql2" else cosine_distance("cv", "qv")
+    check = (
+        hits.join(cases.select("id", F.col("embedding").alias("cv")), "id")
+        .join(queries.select("query_id", F.col("embedding").alias("qv")), "query_id")
+        .select((F.abs(F.col("distance") - pair)).alias("err"))
+    )
+    assert check.agg(F.max("err")).first()[0] < 1e-12
