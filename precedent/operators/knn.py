@@ -46,6 +46,8 @@ MAX_BLOCK_BYTES = 128 << 20
 # Tile sizes inside a task: the distance tile is CASE_TILE x QUERY_TILE doubles.
 CASE_TILE = 4096
 QUERY_TILE = 2048
+# Smallest query slice worth its own pass over a small case table.
+MIN_SLICE_ROWS = 4096
 _EPS = 1e-9
 _PARTIAL_ARROW = pa.schema(
     [("query_id", pa.int64()), ("route", pa.int32()), ("id", pa.int64()), ("distance", pa.float64())]
@@ -315,8 +317,10 @@ def nearest(
             if t.num_rows:
                 tables.append(t)
 
-    # Small case tables: split the query side so that cases x blocks fills the slots.
-    want = max(1, min(par // case_parts, math.ceil(n_q / 64)))
+    # A case table with fewer partitions than slots: split the query side so
+    # cases x slices fills the slots, but only into slices big enough to
+    # outweigh the extra scan, broadcast and worker each slice costs.
+    want = max(1, min(par // case_parts, n_q // MIN_SLICE_ROWS))
     if len(tables) == 1 and want > 1:
         t = tables[0]
         step = math.ceil(t.num_rows / want)
