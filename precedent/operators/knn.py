@@ -286,9 +286,11 @@ def nearest(
         )
         return (empty, 0) if with_bound else empty
     if dim is None:
-        dim = int(pa.compute.list_value_length(first.column("qvec").combine_chunks())[0].as_py())
-        ok_len = pa.compute.equal(pa.compute.list_value_length(first.column("qvec").combine_chunks()), dim)
-        first = first.filter(ok_len)
+        # the most common length in the block; vectors of any other length are invalid
+        lens = pa.compute.list_value_length(first.column("qvec").combine_chunks())
+        counts = pa.compute.value_counts(lens).to_pylist()
+        dim = int(max(counts, key=lambda c: (c["counts"], -c["values"]))["values"])
+        first = first.filter(pa.compute.equal(lens, dim))
         qsel = qsel.where(F.size("qvec") == dim)
     rows_per_block = max(1, min(max_block_rows, max_block_bytes // (8 * dim)))
 

@@ -136,3 +136,11 @@ def test_distances_equal_per_pair_expression(spark, metric):
         .select((F.abs(F.col("distance") - pair)).alias("err"))
     )
     assert check.agg(F.max("err")).first()[0] < 1e-12
+
+
+def test_dimension_from_the_common_length(spark):
+    cases = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(10, [1.0, 2.0]), (11, [0.9, 0.1, 0.0]), (12, [0.1, 0.9, 0.0])],
+                                    "query_id long, embedding array<float>")
+    got = _got(knn.nearest(cases, queries, [knn.Route(1)]))
+    assert set(got) == {11, 12} and got[11][0][0] == 1 and got[12][0][0] == 2
