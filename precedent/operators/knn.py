@@ -48,6 +48,8 @@ CASE_TILE = 4096
 QUERY_TILE = 2048
 # Smallest query slice worth its own pass over a small case table.
 MIN_SLICE_ROWS = 4096
+# Upper bound on kNN tasks (and so on partial top-k outputs) per task slot.
+PARTIAL_TASKS_PER_SLOT = 4
 _EPS = 1e-9
 _PARTIAL_ARROW = pa.schema(
     [("query_id", pa.int64()), ("route", pa.int32()), ("id", pa.int64()), ("distance", pa.float64())]
@@ -302,6 +304,13 @@ def nearest(
     case_parts = max(1, csel.rdd.getNumPartitions())
     par = spark.sparkContext.defaultParallelism
     sc = spark.sparkContext
+    # Each kNN task emits queries x sum(k) partial rows, so the shuffle grows
+    # with the task count, not with the data: merge input partitions (no
+    # shuffle) down to a few tasks per slot.
+    max_tasks = PARTIAL_TASKS_PER_SLOT * par
+    if case_parts > max_tasks:
+        csel = csel.coalesce(max_tasks)
+        case_parts = max_tasks
 
     tables = []
     if first.num_rows <= rows_per_block:

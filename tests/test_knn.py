@@ -144,3 +144,12 @@ def test_dimension_from_the_common_length(spark):
                                     "query_id long, embedding array<float>")
     got = _got(knn.nearest(cases, queries, [knn.Route(1)]))
     assert set(got) == {11, 12} and got[11][0][0] == 1 and got[12][0][0] == 2
+
+
+def test_many_case_partitions_are_merged(spark):
+    cv, _, qv, cases, queries = _tables(spark)
+    many = cases.repartition(40)
+    hits = knn.nearest(many, queries, [knn.Route(3)])
+    assert _got(hits) == _brute(cv, qv, 3)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" in plan
