@@ -248,7 +248,7 @@ def harvest_outcome(spark, d):
 # ---------------------------------------------------------------- H11 (rows only)
 def section_pages(spark, d):
     """Documents as detail pages: a 'What went wrong' heading over the first
-    line, a list of the next three lines, then a heading that ends the
+    line, a list of all the other lines, then a heading that ends the
     section. Text is HTML-escaped, as a page generator would."""
     doc = read(spark, d, "documents")
 
@@ -259,7 +259,7 @@ def section_pages(spark, d):
     lines = F.split(F.col("text"), "\n")
     html = F.concat(
         F.lit("<html><body><h1>Doc</h1><h2>What went wrong</h2><p>"), esc(F.get(lines, 0)), F.lit("</p><ul>"),
-        F.array_join(F.transform(F.slice(lines, 2, 3), lambda x: F.concat(F.lit("<li>"), esc(x), F.lit("</li>"))), ""),
+        F.array_join(F.transform(F.slice(lines, 2, 1 << 30), lambda x: F.concat(F.lit("<li>"), esc(x), F.lit("</li>"))), ""),
         F.lit("</ul><h2>Afterwards</h2><p>Not part of the section.</p></body></html>"),
     )
     return doc.select(F.col("doc_id").alias("page_id"), html.alias("html"))
@@ -269,7 +269,7 @@ SECTION_SQL = """
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 s AS (
   SELECT doc_id, regexp_replace(ls[1], '^\\s+|\\s+$', '', 'g') AS head,
-         list_filter(list_transform(list_slice(ls, 2, 4), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),
+         list_filter(list_transform(list_slice(ls, 2, len(ls)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),
                      lambda x: x <> '') AS items
   FROM d)
 SELECT doc_id AS page_id, head || ' ' || array_to_string(items, '; ') AS section FROM s"""
