@@ -162,3 +162,18 @@ def run_stats(profiles: DataFrame) -> DataFrame:
         F.count_if(F.col("archetype") == F.lit(FAILED_ARCHETYPE)).alias("failed"),
         F.count(F.lit(1)).alias("saved"),
     )
+
+
+def parse_classification(df: DataFrame, text_col: str, fields: tuple[str, ...] = ("industry", "archetype")) -> DataFrame:
+    """Classification answer: the trimmed text must be one JSON object (no
+    fence stripping, no extraction); values are not checked against any
+    domain. Adds ``classified`` and one column per field: the value, '' when
+    the key is absent, null when the answer is not an object."""
+    cur = df.withColumn("_cls", jsonx.object_keys(jsonx.strip(F.col(text_col))))
+    cur = cur.withColumn("_val", jsonx.object_values(jsonx.strip(F.col(text_col)), list(fields)))
+    out = cur.withColumn("classified", F.col("_cls").isNotNull())
+    for f in fields:
+        out = out.withColumn(
+            f, F.when(F.col("classified"), _get(F.col("_cls"), F.col("_val"), f, F.lit("")))
+        )
+    return out.drop("_cls", "_val")

@@ -371,3 +371,48 @@ def request_cleanse_prompt(spark, d):
         F.when(F.col("p_size") > 10, F.col("p_brand")).alias("archetype"),
     )
     return M.cleanse_prompt(recs).select("p_partkey", "prompt")
+
+
+# ---------------------------------------------------------------- M15
+def classification_answers(spark, d):
+    """One classification answer per vector: prose for every third id, a
+    fenced object for every eleventh, an out-of-domain industry for every
+    seventh, a missing industry for every thirteenth, else the label."""
+    e = read(spark, d, "embeddings")
+    v = F.col("vec_id")
+    arc = F.concat(_q('"archetype": "arc'), (F.col("label") % 8).cast("string"), _q('"'))
+    ind = F.concat(_q('"industry": "ind'), F.col("label").cast("string"), _q('"'))
+    text = (
+        F.when(v % 3 == 0, _q("I cannot tell."))
+        .when(v % 11 == 0, F.concat(_q("```json\n{"), ind, _q(", "), arc, _q("}\n```")))
+        .when(v % 7 == 0, F.concat(_q('{"industry": "ind_none", '), arc, _q("}")))
+        .when(v % 13 == 0, F.concat(_q("{"), arc, _q("}")))
+        .otherwise(F.concat(_q("  {"), ind, _q(", "), arc, _q("}\n")))
+    )
+    return e.select(F.col("vec_id").alias("query_id"), text.alias("answer"))
+
+
+@register(
+    "response_classification",
+    """
+WITH a AS (
+  SELECT vec_id AS query_id,
+    CASE WHEN vec_id % 3 = 0 THEN 'I cannot tell.'
+         WHEN vec_id % 11 = 0 THEN '```json' || chr(10) || '{"industry": "ind' || CAST(label AS VARCHAR) || '", "archetype": "arc'
+                                   || CAST(label % 8 AS VARCHAR) || '"}' || chr(10) || '```'
+         WHEN vec_id % 7 = 0 THEN '{"industry": "ind_none", "archetype": "arc' || CAST(label % 8 AS VARCHAR) || '"}'
+         WHEN vec_id % 13 = 0 THEN '{"archetype": "arc' || CAST(label % 8 AS VARCHAR) || '"}'
+         ELSE '  {"industry": "ind' || CAST(label AS VARCHAR) || '", "archetype": "arc' || CAST(label % 8 AS VARCHAR) || '"}' || chr(10)
+    END AS answer
+  FROM embeddings),
+t AS (SELECT query_id, regexp_replace(answer, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g') AS t FROM a),
+o AS (SELECT query_id, t, starts_with(t, '{') AND ends_with(t, '}') AND json_valid(t) AS classified FROM t)
+SELECT query_id, classified,
+       CASE WHEN classified THEN CASE WHEN json_exists(t, '$.industry') THEN json_extract_string(t, '$.industry') ELSE '' END END AS industry,
+       CASE WHEN classified THEN CASE WHEN json_exists(t, '$.archetype') THEN json_extract_string(t, '$.archetype') ELSE '' END END AS archetype
+FROM o""",
+)
+def response_classification(spark, d):
+    return M.parse_classification(classification_answers(spark, d), "answer").select(
+        "query_id", "classified", "industry", "archetype"
+    )

@@ -88,3 +88,13 @@ def test_prompts_defaults(spark):
     assert t.startswith("Company: Unknown\nIndustry: N/A")
     c = M.cleanse_prompt(df.withColumn("archetype", F.lit(None).cast("string"))).first().prompt
     assert "Description: \n" in c and "keep as is: Unknown" in c
+
+
+def test_classification_answers(spark):
+    rows = [(1, ' {"industry": "fintech", "archetype": "Echo"}\n'), (2, '```json\n{"industry": "x"}\n```'),
+            (3, '[{"industry": "x"}]'), (4, '{"archetype": "Echo"}'), (5, '{"industry": null, "archetype": "A"}'),
+            (6, "no idea")]
+    df = spark.createDataFrame(rows, "id long, answer string")
+    got = {r.id: (r.classified, r.industry, r.archetype) for r in M.parse_classification(df, "answer").collect()}
+    assert got == {1: (True, "fintech", "Echo"), 2: (False, None, None), 3: (False, None, None),
+                   4: (True, "", "Echo"), 5: (True, None, "A"), 6: (False, None, None)}
