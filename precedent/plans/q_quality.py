@@ -67,8 +67,9 @@ def audit_modal_value(spark, d):
     "labels_out_of_domain",
     "WITH " + QUERIES_SQL.strip() + """
 SELECT query_id, q_industry FROM queries
-WHERE q_industry NOT IN (SELECT DISTINCT 'ind' || CAST(label AS VARCHAR) FROM embeddings)""",
+WHERE classified AND q_industry NOT IN (SELECT DISTINCT 'ind' || CAST(label AS VARCHAR) FROM embeddings)""",
 )
 def labels_out_of_domain(spark, d):
-    q = queries(spark, d).select("query_id", "q_industry")
+    # only answers that parsed are audited
+    q = queries(spark, d).where(F.col("classified")).select("query_id", "q_industry")
     return V.out_of_domain(q, "q_industry", cases(spark, d), "industry")

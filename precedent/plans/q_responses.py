@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from precedent.operators import enrich as J
 from precedent.operators import responses as M
 from precedent.plans.catalog import register
-from precedent.plans.tables import read
+from precedent.plans.tables import classification_answer, read
 
 
 def _q(s: str) -> F.Column:
@@ -375,21 +375,9 @@ def request_cleanse_prompt(spark, d):
 
 # ---------------------------------------------------------------- M15
 def classification_answers(spark, d):
-    """One classification answer per vector: prose for every third id, a
-    fenced object for every eleventh, an out-of-domain industry for every
-    seventh, a missing industry for every thirteenth, else the label."""
-    e = read(spark, d, "embeddings")
-    v = F.col("vec_id")
-    arc = F.concat(_q('"archetype": "arc'), (F.col("label") % 8).cast("string"), _q('"'))
-    ind = F.concat(_q('"industry": "ind'), F.col("label").cast("string"), _q('"'))
-    text = (
-        F.when(v % 3 == 0, _q("I cannot tell."))
-        .when(v % 11 == 0, F.concat(_q("```json\n{"), ind, _q(", "), arc, _q("}\n```")))
-        .when(v % 7 == 0, F.concat(_q('{"industry": "ind_none", '), arc, _q("}")))
-        .when(v % 13 == 0, F.concat(_q("{"), arc, _q("}")))
-        .otherwise(F.concat(_q("  {"), ind, _q(", "), arc, _q("}\n")))
+    return read(spark, d, "embeddings").select(
+        F.col("vec_id").alias("query_id"), classification_answer().alias("answer")
     )
-    return e.select(F.col("vec_id").alias("query_id"), text.alias("answer"))
 
 
 @register(

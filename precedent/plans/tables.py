@@ -71,29 +71,50 @@ cases AS (
 )"""
 
 
+def classification_answer() -> F.Column:
+    """The model's classification answer per vector (an input, as a model
+    answer would be): prose for every third id, a fenced object for every
+    eleventh, an out-of-domain industry for every seventh, no industry for
+    every thirteenth, else the vector's own label and a derived archetype."""
+    v = F.col("vec_id")
+    arc = F.concat(F.lit('"archetype": "arc'), _s(F.col("label") % N_ARCHETYPES), F.lit('"'))
+    ind = F.concat(F.lit('"industry": "ind'), _s("label"), F.lit('"'))
+    return (
+        F.when(v % 3 == 0, F.lit("I cannot tell."))
+        .when(v % 11 == 0, F.concat(F.lit("```json\n{"), ind, F.lit(", "), arc, F.lit("}\n```")))
+        .when(v % 7 == 0, F.concat(F.lit('{"industry": "ind_none", '), arc, F.lit("}")))
+        .when(v % 13 == 0, F.concat(F.lit("{"), arc, F.lit("}")))
+        .otherwise(F.concat(F.lit("  {"), ind, F.lit(", "), arc, F.lit("}\n")))
+    )
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector as a query. The classification (an input, as a model
-    answer would be) is absent for every third id, out of domain for every
-    seventh, otherwise the vector's own label and a derived archetype."""
-    e = read(spark, sf_dir, "embeddings")
-    return e.select(
+    """Every vector as a query, classified by parsing its answer text
+    (strict whole-text JSON; an unparsable answer leaves it unclassified)."""
+    from precedent.operators.responses import parse_classification
+
+    e = read(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("query_id"),
         "embedding",
         F.concat(F.lit("idea "), _s("vec_id")).alias("query_text"),
-        (F.col("vec_id") % 3 != 0).alias("classified"),
-        F.when(F.col("vec_id") % 7 == 0, F.lit("ind_none"))
-        .otherwise(F.concat(F.lit("ind"), _s("label")))
-        .alias("q_industry"),
-        F.concat(F.lit("arc"), _s(F.col("label") % N_ARCHETYPES)).alias("q_archetype"),
+        classification_answer().alias("answer"),
+    )
+    p = parse_classification(e, "answer")
+    return p.select(
+        "query_id", "embedding", "query_text", "classified",
+        F.col("industry").alias("q_industry"), F.col("archetype").alias("q_archetype"),
     )
 
 
 QUERIES_SQL = f"""
 queries AS (
   SELECT vec_id AS query_id, embedding, 'idea ' || CAST(vec_id AS VARCHAR) AS query_text,
-         (vec_id % 3 <> 0) AS classified,
-         CASE WHEN vec_id % 7 = 0 THEN 'ind_none' ELSE 'ind' || CAST(label AS VARCHAR) END AS q_industry,
-         'arc' || CAST(label % {N_ARCHETYPES} AS VARCHAR) AS q_archetype
+         (vec_id % 3 <> 0 AND vec_id % 11 <> 0) AS classified,
+         CASE WHEN vec_id % 3 = 0 OR vec_id % 11 = 0 THEN NULL
+              WHEN vec_id % 7 = 0 THEN 'ind_none'
+              WHEN vec_id % 13 = 0 THEN ''
+              ELSE 'ind' || CAST(label AS VARCHAR) END AS q_industry,
+         CASE WHEN vec_id % 3 <> 0 AND vec_id % 11 <> 0 THEN 'arc' || CAST(label % {N_ARCHETYPES} AS VARCHAR) END AS q_archetype
   FROM embeddings
 )"""
 
