@@ -14,7 +14,7 @@ from precedent.sources import json_io
 
 
 def part_records(spark, d):
-    """Part rows shaped as reforged case records."""
+    """Part rows shaped as cleansed case records."""
     p = read(spark, d, "part")
     return p.select(
         "p_partkey",
