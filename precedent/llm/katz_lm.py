@@ -31,7 +31,7 @@ from precedent.llm.common import fold, save
 from precedent.llm.tokens import Hasher, id_array, texts, words
 
 CUT = 5
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 8 << 20
 PART_TOKENS = 1 << 20
 _U = np.uint64
 END = _U(0x5EED0E0D5EED0E0D)
@@ -39,13 +39,24 @@ NONE = np.uint32(0xFFFFFFFF)
 
 
 def pack(x: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(x).tobytes()
+    """An array as bytes: byte planes (all first bytes, all second ...), zstd."""
+    x = np.ascontiguousarray(x)
+    raw = np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack(x: bytes, dtype) -> np.ndarray:
-    n = int.from_bytes(x[:8], "little")
-    return np.frombuffer(pa.decompress(x[8:], n, codec="zstd", asbytes=True), dtype)
+    n, dtype = int.from_bytes(x[:8], "little"), np.dtype(dtype)
+    raw = np.frombuffer(pa.decompress(x[8:], n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
+
+
+def pack_ascending(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack_ascending(x: bytes) -> np.ndarray:
+    return np.cumsum(unpack(x, _U), dtype=_U)
 
 
 def discounts(count_of: dict[int, int], cut: int = CUT) -> np.ndarray:
@@ -81,9 +92,21 @@ class Unigrams:
 def _block_of(ids, nulls, held, hashes, sizes, number):
     """One row: the tokens of some documents, ends included."""
     tokens = np.concatenate(hashes)
-    terms, at = np.unique(tokens, return_inverse=True)
+    terms, at, n = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")  # frequent terms first: small ids, which pack well
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
     return [number, len(tokens), pack(np.concatenate(ids)), pack(np.concatenate(nulls)), pack(np.concatenate(held)),
-            pack(np.concatenate(sizes)), pack(terms), pack(at.astype(np.uint32))]
+            pack(np.concatenate(sizes)), pack(terms[order]), pack(rank[at])]
+
+
+def _terms(terms: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a block in ascending order, and the place of each token's."""
+    ranked = unpack(terms, _U)
+    order = np.argsort(ranked)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return ranked[order], place[unpack(tokens, np.uint32)]
 
 
 BLOCK = "block long, n long, ids binary, nulls binary, held binary, sizes binary, terms binary, tokens binary"
@@ -185,11 +208,11 @@ def _ask_words(bits):
     def run(batches):
         def rows():
             for block, _, _, _, held, sizes, terms, tokens in _rows(batches):
-                terms, tokens = unpack(terms, _U), unpack(tokens, np.uint32)
+                terms, tokens = _terms(terms, tokens)
                 train = _train_mask(unpack(held, bool), unpack(sizes, np.int64))
                 n = np.bincount(tokens[train], minlength=len(terms))
                 for part, i, j in _cuts((terms >> _U(64 - bits)).astype(np.int64)):
-                    yield part, block, pack(terms[i:j]), pack(n[i:j]), None, None, None
+                    yield part, block, pack_ascending(terms[i:j]), pack(n[i:j]), None, None, None
 
         yield from _emit(ASK, rows())
 
@@ -202,11 +225,11 @@ def _count_words(batches):
 
     def rows():
         for asked in _grouped(_rows(batches), 0):
-            keys, counts = [unpack(r[2], _U) for r in asked], [unpack(r[3], np.int64) for r in asked]
+            keys, counts = [unpack_ascending(r[2]) for r in asked], [unpack(r[3], np.int64) for r in asked]
             terms, at = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(at, np.concatenate(counts), len(terms)).astype(np.int64)
             place = np.where(n > 0, np.cumsum(n > 0) - 1, NONE).astype(np.uint32)
-            yield 0, -1, asked[0][0], pack(terms[n > 0]), pack(n[n > 0]), None, None
+            yield 0, -1, asked[0][0], pack_ascending(terms[n > 0]), pack(n[n > 0]), None, None
             first = 0
             for r, k in zip(asked, keys):
                 mine = at[first : first + len(k)]
@@ -257,7 +280,7 @@ def _bigrams(block, answers, plan):
     each token, training counts, counts of history and word by token type.
     The history of a first token is number v; its count that of training texts."""
     _, _, _, _, held, sizes, terms, tokens = block
-    held, sizes, tokens = unpack(held, bool), unpack(sizes, np.int64), unpack(tokens, np.uint32)
+    held, sizes, tokens = unpack(held, bool), unpack(sizes, np.int64), _terms(terms, tokens)[1]
     number, count = plan.known(answers)
     word, c = number[tokens], count[tokens]
     history, ch = np.empty_like(word), np.empty_like(c)
@@ -296,7 +319,7 @@ def _ask_bigrams(plan):
                 keep = order[(key[order] >> _U(32)) <= _U(plan.v)]  # an unknown history has no bigrams
                 for p, i, j in _cuts(part[keep]):
                     own = keep[i:j]
-                    yield p, block[0], pack(key[own]), pack(n[own]), pack(cw[own]), pack(hot[own]), None
+                    yield p, block[0], pack_ascending(key[own]), pack(n[own]), pack(cw[own]), pack(hot[own]), None
 
         yield from _emit(ASK, rows())
 
@@ -313,7 +336,7 @@ def _count_bigrams(plan):
     def run(batches):
         def rows():
             for asked in _grouped(_rows(batches), 0):
-                keys = [unpack(r[2], _U) for r in asked]
+                keys = [unpack_ascending(r[2]) for r in asked]
                 every = np.concatenate(keys)
                 key, at = np.unique(every, return_inverse=True)
                 n = np.bincount(at, np.concatenate([unpack(r[3], np.uint32) for r in asked]), len(key)).astype(np.int64)
@@ -327,17 +350,17 @@ def _count_bigrams(plan):
                     stats[r - 1] = np.bincount(of[n == r], minlength=len(history))
                 stats[CUT] = np.bincount(of[n > CUT], n[n > CUT], len(history))
                 below = np.bincount(of[seen], plan.p1(cw[seen]), len(history))
-                yield 0, -1, asked[0][0], pack(key[seen]), pack(n[seen]), None, None
+                yield 0, -1, asked[0][0], pack_ascending(key[seen]), pack(n[seen]), None, None
                 is_hot = np.zeros(len(history), bool)
                 is_hot[of] = hot
                 if is_hot.any():
-                    yield (2, -1, asked[0][0], None, pack(history[is_hot]), pack(stats[:, is_hot]), pack(below[is_hot]))
+                    yield (2, -1, asked[0][0], None, pack_ascending(history[is_hot]), pack(stats[:, is_hot]), pack(below[is_hot]))
                 first = 0
                 for r, k in zip(asked, keys):
                     mine = at[first : first + len(k)]
                     first += len(k)
                     hs = np.unique(of[mine])
-                    yield 1, r[1], r[0], pack(n[mine].astype(np.uint32)), pack(history[hs]), pack(stats[:, hs]), pack(below[hs])
+                    yield 1, r[1], r[0], pack(n[mine].astype(np.uint32)), pack_ascending(history[hs]), pack(stats[:, hs]), pack(below[hs])
 
         yield from _emit(REPLY, rows())
 
@@ -346,7 +369,7 @@ def _count_bigrams(plan):
 
 def _hot_sums(batches):
     for _, y, z, u in _rows(batches):
-        h, s, below = unpack(y, _U).astype(np.int64), unpack(z, np.int64).reshape(CUT + 1, -1), unpack(u, float)
+        h, s, below = unpack_ascending(y).astype(np.int64), unpack(z, np.int64).reshape(CUT + 1, -1), unpack(u, float)
         yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(x) for x in s), pa.array(below)],
                                          ["h", *(f"m{r}" for r in range(CUT + 1)), "below"])
 
@@ -369,7 +392,7 @@ def _score(plan, d, hot_stats):
         weight, z = np.ones(len(key)), np.ones(len(key))
         if replies:
             n[keep] = np.concatenate([unpack(a[-4], np.uint32) for a in replies])
-            h = [unpack(a[-3], _U) for a in replies]
+            h = [unpack_ascending(a[-3]) for a in replies]
             stats = [unpack(a[-2], np.int64).reshape(CUT + 1, -1) for a in replies]
             below = [unpack(a[-1], float) for a in replies]
             if hot_stats is not None:
