@@ -172,6 +172,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     fitted = (F.col("draw") <= 1) & (F.col("draw") / min(share, 1.0) < 0.7)
     gold = table.where(fitted).select("x_text", "x_meta", "y", F.lit(1.0).alias("w"))
     models = {v: _fit(gold, v) for v in ("x_text", "x_meta")}
+    if models["x_text"] is None:  # few labels: one class is in the held-out part alone
+        gold = table.where("draw <= 1").select("x_text", "x_meta", "y", F.lit(1.0).alias("w"))
+        models = {v: _fit(gold, v) for v in ("x_text", "x_meta")}
     if models["x_text"] is None and models["x_meta"] is None:
         null = F.lit(None).cast("double")
         return rows.select("doc_id", null.alias("text_score"), null.alias("meta_score"), null.alias("score"), (~F.col("empty")).alias("kept"))
