@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from precedent.functions.text import between_markers
+from precedent.session import scratch_dir
 
 # The document template's labels. between_markers with
 # REASONS_START / REASONS_END recovers the reasons segment.
@@ -55,14 +56,22 @@ def assign_positions(df: DataFrame, order_cols: list[str], out: str = "pos") ->
     """0-based consecutive position in ``order_cols`` order, computed without a
     single-partition window: range-partition and sort, number rows inside each
     partition, and add the row count of all earlier partitions (a table of one
-    row per partition). ``order_cols`` must be unique for a stable result."""
+    row per partition). The numbered rows are written below the shared
+    checkpoint folder first: range bounds are drawn anew whenever a plan is
+    evaluated, so counts and rows must come from one evaluation.
+    ``order_cols`` must be unique for a stable result."""
+    spark = df.sparkSession
     part = (
         df.repartitionByRange(*[F.col(c) for c in order_cols])
         .sortWithinPartitions(*order_cols)
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
         .withColumn("_rn", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop("_mid")
     )
+    path = scratch_dir(spark, "positions")
+    part.write.parquet(path)
+    part = spark.read.schema(part.schema).parquet(path)
     counts = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
@@ -71,7 +80,7 @@ def assign_positions(df: DataFrame, order_cols: list[str], out: str = "pos") ->
     return (
         part.join(F.broadcast(offsets), "_pid")
         .withColumn(out, (F.col("_off") + F.col("_rn")).cast("long"))
-        .drop("_mid", "_pid", "_rn", "_off")
+        .drop("_pid", "_rn", "_off")
     )
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
 SENTINEL = "Unknown"
 
 
@@ -35,31 +34,24 @@ def literal_lookup(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(list(mapping.items()), "key string, value string")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is proven under ``max_rows``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def _hits(records: DataFrame, lookup: DataFrame, on: str, max_rows: int) -> DataFrame:
-    lk = broadcast_if_small(lookup.select(F.col("key").alias("_lk"), F.col("value").alias("_hit")), max_rows)
+def _hits(records: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
+    lk = lookup.select(F.col("key").alias("_lk"), F.col("value").alias("_hit"))
     return records.join(lk, F.col(on).cast("string") == F.col("_lk"), "left").drop("_lk")
 
 
 def enrich(
-    records: DataFrame, lookup: DataFrame, on: str, out_col: str, default: str = SENTINEL,
-    max_rows: int = BROADCAST_MAX_ROWS,
+    records: DataFrame, lookup: DataFrame, on: str, out_col: str, default: str = SENTINEL
 ) -> DataFrame:
     """Equi lookup by ``on``; a miss gives ``default``."""
-    return _hits(records, lookup, on, max_rows).withColumn(out_col, F.coalesce("_hit", F.lit(default))).drop("_hit")
+    return _hits(records, lookup, on).withColumn(out_col, F.coalesce("_hit", F.lit(default))).drop("_hit")
 
 
 def patch_conditional(
     records: DataFrame, lookup: DataFrame, on: str, col: str, sentinel: str = SENTINEL,
-    flag: str = "patched", max_rows: int = BROADCAST_MAX_ROWS,
+    flag: str = "patched"
 ) -> DataFrame:
     """Replace ``col`` only where it equals ``sentinel`` and the key is found."""
-    j = _hits(records, lookup, on, max_rows)
+    j = _hits(records, lookup, on)
     fix = (F.col(col) == F.lit(sentinel)) & F.col("_hit").isNotNull()
     return j.withColumn(flag, F.coalesce(fix, F.lit(False))).withColumn(
         col, F.when(fix, F.col("_hit")).otherwise(F.col(col))
@@ -67,12 +59,11 @@ def patch_conditional(
 
 
 def patch_overwrite(
-    records: DataFrame, lookup: DataFrame, on: str, col: str, flag: str = "changed",
-    max_rows: int = BROADCAST_MAX_ROWS,
+    records: DataFrame, lookup: DataFrame, on: str, col: str, flag: str = "changed"
 ) -> DataFrame:
     """Overwrite ``col`` from the lookup, keeping the old value on a miss (a
     missing old value reads as ''); ``flag`` marks rows whose value changed."""
-    j = _hits(records, lookup, on, max_rows)
+    j = _hits(records, lookup, on)
     old = F.coalesce(F.col(col), F.lit(""))
     new = F.coalesce(F.col("_hit"), old)
     return j.withColumn(flag, ~new.eqNullSafe(old)).withColumn(col, new).drop("_hit")

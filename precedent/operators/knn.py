@@ -279,6 +279,10 @@ def nearest(
         *[F.col(c).cast("string").alias(f"ql_{c}") for c in q_label_cols],
     ).where(vector_ok("qvec", dim, metric) & F.col("qid").isNotNull())
 
+    if dim is None:  # the most common length over the whole query table; ties: the smallest
+        lens = qsel.groupBy(F.size("qvec").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        dim = lens["n"] if lens else 1
+        qsel = qsel.where(F.size("qvec") == dim)
     # One bounded collect answers the common case (the query table fits one
     # block); only a larger table pays a count and per-block collects.
     first = _collect_block(qsel.limit(max_block_rows + 1))
@@ -287,13 +291,6 @@ def nearest(
             "query_id", "route", "rank", "id", "distance"
         )
         return (empty, 0) if with_bound else empty
-    if dim is None:
-        # the most common length in the block; vectors of any other length are invalid
-        lens = pa.compute.list_value_length(first.column("qvec").combine_chunks())
-        counts = pa.compute.value_counts(lens).to_pylist()
-        dim = int(max(counts, key=lambda c: (c["counts"], -c["values"]))["values"])
-        first = first.filter(pa.compute.equal(lens, dim))
-        qsel = qsel.where(F.size("qvec") == dim)
     rows_per_block = max(1, min(max_block_rows, max_block_bytes // (8 * dim)))
 
     csel = cases.select(
@@ -318,15 +315,12 @@ def nearest(
         n_q = first.num_rows
     else:
         n_q = qsel.count()
-        # Hash blocks; a block is re-checked against the bound after collect.
+        # Hash blocks; one that comes out over the bound is cut in two or more.
         nb = math.ceil(math.ceil(n_q / rows_per_block) * 1.25)
         keyed = qsel.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(nb)))
         for b in range(nb):
             t = _collect_block(keyed.where(F.col("_blk") == b).drop("_blk"))
-            if t.num_rows > 2 * rows_per_block:
-                raise RuntimeError("query block over its bound; raise max_block_rows or split the query table")
-            if t.num_rows:
-                tables.append(t)
+            tables += [t.slice(i, rows_per_block) for i in range(0, t.num_rows, rows_per_block)]
 
     # A case table with fewer partitions than slots: split the query side so
     # cases x slices fills the slots, but only into slices big enough to

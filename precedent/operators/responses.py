@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precedent.functions import jsonx
-from precedent.operators.enrich import broadcast_if_small
 from precedent.session import spread
 
 PROFILE_FIELDS = ["archetype", "fatal_action", "trigger_condition", "ultimate_outcome"]
@@ -140,8 +139,8 @@ def cleanse_records(
     (key, value) tables keyed by company name."""
     ok = parsed.where(F.col("is_object")).select(id_col, "keys", "values")
     j = records.join(ok, id_col, "inner")
-    fl = broadcast_if_small(funding_lookup.select(F.col("key").alias("_fk"), F.col("value").alias("_fund")))
-    al = broadcast_if_small(archetype_lookup.select(F.col("key").alias("_ak"), F.col("value").alias("_arch")))
+    fl = funding_lookup.select(F.col("key").alias("_fk"), F.col("value").alias("_fund"))
+    al = archetype_lookup.select(F.col("key").alias("_ak"), F.col("value").alias("_arch"))
     j = j.join(fl, F.col("company_name") == F.col("_fk"), "left").join(al, F.col("company_name") == F.col("_ak"), "left")
     original_arch = F.coalesce(F.col("archetype"), F.lit(UNKNOWN))
     return j.select(

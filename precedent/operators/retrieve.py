@@ -94,7 +94,7 @@ def multiroute(
     cols = [name_col] + [c for c in (payload or []) if c != name_col]
     hits = attach(hits, cases, cols=cols, max_hits=bound)
     # one row per query: at most ``bound`` rows, broadcast when under the limit
-    klass = q.select(F.col("query_id").cast("long").alias("query_id"), F.col(classified_col).alias("_cls"))
+    klass = q.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce(F.col(classified_col), F.lit(False)).alias("_cls"))
     if bound <= MAX_BROADCAST_HITS:
         klass = F.broadcast(klass)
     glob = nr + 1

@@ -60,10 +60,12 @@ def document_build(spark, d):
 # ---------------------------------------------------------------- D3
 @register(
     "document_ids",
-    "SELECT p_partkey, 'case_' || CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS VARCHAR) AS doc_id FROM part",
+    PART_SQL + """
+SELECT p_partkey, document, industry, failure_reasons, 'case_' || CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS VARCHAR) AS doc_id
+FROM docs""",
 )
 def document_ids(spark, d):
-    p = read(spark, d, "part").select("p_partkey")
+    p = D.build_document(part_records(spark, d)).select("p_partkey", "document", "industry", "failure_reasons")
     return D.assign_ids(p, ["p_partkey"], prefix="case_")
 
 

@@ -8,9 +8,9 @@ from precedent.operators import enrich as J
 from precedent.plans.catalog import register
 from precedent.plans.tables import read
 
-# The inline funding lookup by order priority (two priorities
-# are deliberately absent, so they fall back to the default).
-PRIORITY_FUNDING = {"1-URGENT": "$1.8M", "2-HIGH": "$73.5M", "3-MEDIUM": "$7M"}
+# An example of an inline lookup, by order priority (two priorities are absent,
+# so they fall back to the default).
+PRIORITY_FUNDING = {"1-URGENT": "$90M", "2-HIGH": "$60M", "3-MEDIUM": "$30M"}
 
 
 def _segment_lookup(spark, d):
@@ -52,11 +52,12 @@ def enrich_lookup_default(spark, d):
 
 def _customer_records(spark, d):
     """Customer rows shaped as case records: every fourth archetype is the
-    'Unknown' placeholder, every sixth funding is missing."""
+    'Unknown' placeholder, every sixth funding is missing, and every fifth nation
+    key is one that no nation has."""
     c = read(spark, d, "customer")
     return c.select(
         "c_custkey",
-        "c_nationkey",
+        F.when(F.col("c_custkey") % 5 == 0, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey")).alias("c_nationkey"),
         F.col("c_name").alias("company_name"),
         F.when(F.col("c_custkey") % 4 == 0, F.lit("Unknown")).otherwise(F.col("c_mktsegment")).alias("archetype"),
         F.when(F.col("c_custkey") % 6 == 0, F.lit(None).cast("string"))
@@ -72,8 +73,8 @@ def _priority_lookup(spark, d):
 
 
 def _nation_funding(spark, d):
-    """nationkey -> amount, for nations outside region 4."""
-    n = read(spark, d, "nation").where(F.col("n_regionkey") != 4)
+    """nationkey -> amount, for all nations."""
+    n = read(spark, d, "nation")
     val = F.concat(
         F.lit("$"), F.col("n_nationkey").cast("string"),
         F.when(F.col("n_regionkey") % 2 == 0, F.lit("M")).otherwise(F.lit("B")),
@@ -83,15 +84,16 @@ def _nation_funding(spark, d):
 
 RECORDS_SQL = """
 WITH rec AS (
-  SELECT c_custkey, c_nationkey, c_name AS company_name,
+  SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS c_nationkey,
+         c_name AS company_name,
          CASE WHEN c_custkey % 4 = 0 THEN 'Unknown' ELSE c_mktsegment END AS archetype,
-         CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE '$' || CAST(c_nationkey AS VARCHAR) || 'M' END AS funding_amount
+         CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE '$' || CAST(customer.c_nationkey AS VARCHAR) || 'M' END AS funding_amount
   FROM customer),
 plk AS (SELECT CAST(o_custkey AS VARCHAR) AS key, arg_max(o_orderpriority, o_orderkey) AS value
         FROM orders WHERE o_orderpriority IS NOT NULL AND o_orderpriority <> '' GROUP BY o_custkey),
 nlk AS (SELECT CAST(n_nationkey AS VARCHAR) AS key,
                '$' || CAST(n_nationkey AS VARCHAR) || CASE WHEN n_regionkey % 2 = 0 THEN 'M' ELSE 'B' END AS value
-        FROM nation WHERE n_regionkey <> 4),
+        FROM nation),
 p1 AS (
   SELECT r.*, coalesce(r.archetype = 'Unknown' AND plk.value IS NOT NULL, false) AS patched,
          CASE WHEN r.archetype = 'Unknown' AND plk.value IS NOT NULL THEN plk.value ELSE r.archetype END AS archetype2

@@ -28,22 +28,16 @@ def request_validate(spark, d):
 
 # ---------------------------------------------------------------- V4
 def _doc_cases(spark, d):
-    """Documents as cases: the name is the first token, the vector text is
-    everything after the first line."""
+    """Documents as cases: the name is the source, the vector text the whole text."""
     doc = read(spark, d, "documents")
-    return doc.select(
-        "doc_id", "lang",
-        F.regexp_extract("text", r"^([^\s.,;:!?]+)", 1).alias("name"),
-        F.substring("text", F.locate("\n", F.col("text")) + 1, 1 << 30).alias("body"),
-    )
+    return doc.select("doc_id", "lang", F.col("source").alias("name"), F.col("text").alias("body"))
 
 
 @register(
     "audit_name_leak",
     """
 SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE coalesce(contains(lower(body), lower(name)), false)) AS n_leaks
-FROM (SELECT lang, regexp_extract(text, '^([^\\s.,;:!?]+)', 1) AS name,
-             substring(text, strpos(text, chr(10)) + 1) AS body FROM documents)
+FROM (SELECT lang, source AS name, text AS body FROM documents)
 GROUP BY lang""",
 )
 def audit_name_leak(spark, d):

@@ -334,7 +334,7 @@ FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey""",
 def request_profile_prompt(spark, d):
     s = read(spark, d, "supplier")
     n = read(spark, d, "nation")
-    recs = s.join(J.broadcast_if_small(n), s.s_nationkey == n.n_nationkey, "left").select(
+    recs = s.join(n, s.s_nationkey == n.n_nationkey, "left").select(
         "s_suppkey",
         F.col("s_name").alias("company_name"),
         F.col("n_name").alias("industry"),

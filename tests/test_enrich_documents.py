@@ -46,6 +46,24 @@ def test_document_build_and_ids(spark):
     assert got == [(n, f"case_{i}") for i, n in enumerate(names)]
 
 
+def test_positions_keep_every_wide_row_whatever_the_plan(spark):
+    n = 120_000
+    df = spark.range(n).select(F.xxhash64("id").alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("payload"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for adaptive, advisory in (("true", "64m"), ("true", "1m"), ("false", "64m")):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+            spark.conf.set("spark.sql.shuffle.partitions", "16")
+            out = D.assign_positions(df, ["k"])
+            got = out.agg(F.count("*"), F.countDistinct("pos"), F.min("pos"), F.max("pos"), F.count("payload")).first()
+            assert tuple(got) == (n, n, 0, n - 1, n)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_validate_and_audits(spark):
     df = spark.createDataFrame([(1, "  hi \n"), (2, " \t "), (3, None)], "id long, t string")
     got = {r.id: (r.request, r.status, r.reason) for r in V.validate_requests(df, "t").collect()}

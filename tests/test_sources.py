@@ -74,3 +74,9 @@ def test_collection_rebuild_open_and_versioned_patch(spark):
     assert patched != path
     assert S.open_collection(spark, path).where(F.col("industry") == "ind1").count() == 3  # old version intact
     assert spark.read.parquet(patched).where(F.col("industry") == "IND1").count() == 3
+
+
+def test_collection_labels_come_back_as_they_were(spark):
+    rows = [(1, "01"), (2, ""), (3, None), (4, "a=b/c"), (5, "1")]
+    path = S.rebuild(spark.createDataFrame(rows, "id long, industry string"))
+    assert sorted(map(tuple, S.open_collection(spark, path).collect())) == rows
