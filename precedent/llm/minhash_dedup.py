@@ -6,11 +6,11 @@
 2. Each class gets BANDS x ROWS minima. The bands are hashed to bucket keys; of
    every minimum only the low BITS bits are kept, packed in bit planes.
 3. Candidates come from buckets in two rounds. First every class is held
-   against the smallest class of each of its buckets (a star, not all pairs),
-   which folds the large groups. Then only classes of one bucket that are still
-   in different components are compared, by bit counts of their packed
-   signatures, in blocks of at most BLOCK classes inside a task.
-4. A pair whose collision-corrected estimate is more than six standard errors
+   against the hub of each of its buckets (a star, not all pairs), which folds
+   the large groups. Then the classes of one bucket that are still in different
+   components are compared inside a task, by bit counts of their packed
+   signatures, in blocks of at most BLOCK classes; no pair leaves the task.
+4. A pair whose collision-corrected estimate is more than five standard errors
    below the threshold is put aside; all others are confirmed or refused on the
    full sets: 100 * intersection >= 75 * union.
 5. Connected components over confirmed links, joined back to all rows.
@@ -127,8 +127,8 @@ def similarity(agree: np.ndarray, perms: int, bits: int) -> np.ndarray:
     return (agree / perms - chance) / (1 - chance)
 
 
-def lowest_estimate(percent: int, perms: int, bits: int, errors: float = 6.0) -> float:
-    """The threshold less six standard errors of the estimate at it."""
+def lowest_estimate(percent: int, perms: int, bits: int, errors: float = 5.0) -> float:
+    """The threshold less five standard errors of the estimate at it."""
     chance, j = 0.5**bits, percent / 100
     p = j + (1 - j) * chance
     return j - errors * (p * (1 - p) / perms) ** 0.5 / (1 - chance)
@@ -161,45 +161,74 @@ def _estimated(percent):
     return run
 
 
-def _blocks(percent):
-    """Rows come sorted by block (key, lo, hi): emit likely pairs of a block
-    whose classes are in different components. Block (i, j) with i < j holds
-    rows of part i against rows of part j only."""
+def _blocks(percent, k):
+    """Rows come sorted by block (key, i, j): the links between classes of a block
+    that are in different components. Block (i, j) with i < j holds rows of part
+    i against rows of part j only. A pair is looked at only in the first band
+    whose bucket it shares, if its estimate is likely, and as long as the links
+    found here don't connect it; then on the full sets."""
 
-    def pairs(rows):
-        node, comp, n, part, sig = (np.concatenate([r[k] for r in rows]) for k in range(5))
-        own = part == part.min() if len(np.unique(part)) > 1 else None
-        left = np.arange(len(node)) if own is None else np.flatnonzero(own)
-        right = left if own is None else np.flatnonzero(~own)
-        got_a, got_b = [], []
+    def likely(rows, key):
+        node, comp, n, part, sig, bands = (np.concatenate([r[c] for r in rows]) for c in range(6))
+        two = part.min() != part.max()
+        left = np.flatnonzero(part == part.min()) if two else np.arange(len(node))
+        right = np.flatnonzero(part != part.min()) if two else left
         for s in range(0, len(left), 128):
             i = left[s : s + 128]
             ok = _likely(n[i][:, None], n[right][None, :], _agreeing(sig[i][:, None], sig[right][None, :]), percent)
             ok &= comp[i][:, None] != comp[right][None, :]
+            if not two:
+                ok &= i[:, None] < right[None, :]
             p, q = np.nonzero(ok)
-            x, y = node[i][p], node[right][q]
-            got_a.append(np.minimum(x, y))
-            got_b.append(np.maximum(x, y))
-        both = np.unique(np.stack([np.concatenate(got_a), np.concatenate(got_b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            p, q = i[p], right[q]
+            same = bands[p] == bands[q]
+            first = bands[p, same.argmax(axis=1)] == key
+            yield from zip(p[first].tolist(), q[first].tolist())
+
+    def links(rows, key, hasher):
+        node, comp = (np.concatenate([r[c] for r in rows]).tolist() for c in (0, 1))
+        whole = pa.concat_arrays([r[6] for r in rows])
+        root, own, out = {}, {}, []
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        def shingled(p):
+            if p not in own:
+                (t,) = texts(whole.slice(p, 1))
+                own[p] = sets(*_sign(t, hasher, k))[0]
+            return own[p]
+
+        for p, q in likely(rows, key):
+            x, y = find(comp[p]), find(comp[q])
+            if x != y:
+                both = len(np.intersect1d(shingled(p), shingled(q), assume_unique=True))
+                if 100 * both >= percent * (len(own[p]) + len(own[q]) - both):
+                    root[x] = y
+                    out.append((node[p], node[q]))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     def run(batches):
-        last, rows = None, []
+        hasher, last, rows = Hasher(), None, []
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = np.stack([np.asarray(b.column(k)).astype(np.int64) for k in range(3)])
+            ids = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in range(3)])
             cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
-            cols = [np.asarray(b.column(k)) for k in (3, 4, 5, 6)] + [_planes(b.column(7).to_pylist())]
+            cols = [np.asarray(b.column(c)) for c in (3, 4, 5, 6)] + [_planes(b.column(7).to_pylist())]
+            cols.append(np.frombuffer(b"".join(b.column(8).to_pylist()), np.int64).reshape(-1, BANDS))
+            cols.append(b.column(9))
             for i, j in zip(cuts, cuts[1:]):
                 block = tuple(ids[:, i].tolist())
                 if block != last and rows:
-                    yield pairs(rows)
+                    yield links(rows, last[0], hasher)
                     rows = []
                 last = block
                 rows.append([c[i:j] for c in cols])
         if rows:
-            yield pairs(rows)
+            yield links(rows, last[0], hasher)
 
     return run
 
@@ -241,19 +270,34 @@ def confirm(pairs: DataFrame, wanted: DataFrame, percent: int, k: int) -> DataFr
             .sortWithinPartitions("a", "part", "member").mapInArrow(_confirmed(percent, k), "a long, b long"))
 
 
-def _enumerate(shared, linked, sig, percent):
-    """Likely pairs of one bucket that are in different components so far."""
-    at = shared.join(linked.select("node", "component"), "node", "left").withColumn(
+def _still_mixed(shared, linked):
+    """(key, node, component) of the buckets that hold several components, and
+    the number of their classes."""
+    at = shared.select("key", "node").join(linked.select("node", "component"), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
-    mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                  F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("lo <> hi")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("long")
-    rows = at.join(mixed.select("key", "parts"), "key").withColumn("part", part).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return at.join(mixed.where("lo <> hi").select("key", "n"), "key")
+
+
+def _stars(mixed):
+    """(a, b), a < b: each class with the hub of each of its buckets, if that is
+    another. The hub is the class with most company over all its buckets: in a
+    group of edits of one text that is the one closest to all others."""
+    company = mixed.groupBy("node").agg(F.sum("n").alias("company"))
+    hubs = mixed.join(company, "node").groupBy("key").agg(F.max_by("node", "company").alias("hub"))
+    pairs = mixed.join(hubs, "key").where("hub <> node")
+    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+
+def _within(mixed, reps, wanted, percent, k):
+    """Links between classes of one bucket that are in different components."""
+    parts = F.ceil(F.col("n") / BLOCK)
+    rows = mixed.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("long")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     rows = rows.select("node", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-                       "component", "part").join(sig, "node")
-    return (rows.select("key", "i", "j", "node", "component", "n_shingles", "part", "sig").repartition("key", "i", "j")
-            .sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent), "a long, b long").distinct())
+                       "component", "part").join(reps, "node").join(wanted, "node")
+    return (rows.select("key", "i", "j", "node", "component", "n_shingles", "part", "sig", "bands", "text")
+            .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent, k), "a long, b long"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
@@ -274,20 +318,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sig = reps.select("node", "n_shingles", "sig")
 
     bands = reps.select("node", "bands").mapInArrow(_bands, "key long, node long")
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = save(bands.join(hubs.select("key", "hub"), "key"), "buckets")
-    stars = shared.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    several = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = save(bands.join(several, "key"), "buckets")
+    src = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    wanted = save(src.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
     ends = [sig.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
             for c in "ab"]
-    likely = save(stars.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sig_a", "n_a", "sig_b", "n_b")
+    likely = save(_stars(shared).join(ends[0], "a").join(ends[1], "b").select("a", "b", "sig_a", "n_a", "sig_b", "n_b")
                   .mapInArrow(_estimated(percent), "a long, b long"), "star-pairs")
-    src = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    wanted = save(src.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
     first = save(confirm(likely, wanted, percent, k), "star-links")
-    again = save(_enumerate(shared.select("key", "node"), components(first), sig, percent)
-                 .join(likely, ["a", "b"], "left_anti"), "block-pairs")
-    links = first.unionByName(confirm(again, wanted, percent, k))
-    found = components(links)
+    mixed = save(_still_mixed(shared, components(first)), "mixed-buckets")
+    found = components(first.unionByName(_within(mixed, reps, wanted, percent, k)))
     whole = save(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "cls", F.coalesce("component", "rep").alias("component_id"), "size"), "class-components")
     slim = rows.select("doc_id", "cls", "n_shingles")
