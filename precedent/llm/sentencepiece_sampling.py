@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from precedent.llm.tokens import _BYTES, Hasher, Texts, id_array, mix, texts
 
 MODEL = "piece_bpe_32k.model"
-SLICE = 16 << 20
+SLICE = 4 << 20
 WIDE = 48  # chunks of more bytes go one by one
 _U = np.uint64
 _MARK = "▁"
