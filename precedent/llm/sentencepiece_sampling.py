@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from precedent.llm.tokens import _BYTES, Hasher, Texts, id_array, mix, texts
 
 MODEL = "piece_bpe_32k.model"
-SLICE = 4 << 20
+SLICE = 1 << 20  # bytes of text encoded at a time
 WIDE = 48  # chunks of more bytes go one by one
+STEP = 1 << 14  # distinct chunks of one forward table
 _U = np.uint64
 _MARK = "▁"
 
@@ -306,7 +307,7 @@ def encode_slice(lat: Lattice, hasher: Hasher, t: Texts, keys: np.ndarray, seed:
     at, one = rank[at], one[order]
     count = np.zeros(n, np.int64)
     got = []
-    step = 1 << 16
+    step = STEP
     group = at // step
     by = np.argsort(group, kind="stable")
     edge = np.searchsorted(group[by], np.arange(-(-len(one) // step) + 1))
