@@ -1,3 +1,4 @@
+from precedent.functions import detail_rules as rules
 from precedent.functions import dom
 from precedent.functions.text import truncate_marked
 from precedent.operators import harvest as HV
@@ -51,21 +52,43 @@ def test_detail_fields(spark):
     assert [len(x.u) for x in t.collect()] == [800, 803]
 
 
-def test_tree_rules():
-    assert dom.labelled_value(dom.parse("<div><span>Industry</span><span>Fintech</span></div>")) == "Fintech"
-    assert dom.labelled_value(dom.parse("<div><p>Sector: Retail</p></div>")) == "Retail"
-    assert dom.labelled_value(dom.parse("<div><span>Category</span><span></span></div>")) == ""
-    assert dom.labelled_value(dom.parse("<p>none</p>"), preview="Given") == "Given"
-    assert dom.amount(dom.parse("<div><b>Funding</b> $5M raised</div>")) == "$5M"
-    assert dom.amount(dom.parse("<p>They got $3 million total.</p>")) == "$3 million"
-    assert dom.amount(dom.parse("<p>nothing</p>")) == ""
-    sec = dom.parse("<h2>Why did it fail?</h2><p>First.</p><ul><li>a</li><li>b</li></ul><h2>Next</h2><p>x</p>")
-    assert dom.section(sec) == "First. a; b"
-    assert dom.section(dom.parse("<p>plain</p>")) == ""
-    assert dom.outcome(dom.parse("<p>Status: closed 2019</p>")) == "closed 2019"
-    assert dom.outcome(dom.parse("<p>The shop closed in May. Then more</p>")) == "closed in May."
-    assert dom.outcome(dom.parse("<p>It shut down in May. Then more</p>")) == "It shut down in May. Then more"
-    assert dom.outcome(dom.parse("<p>quiet</p>")) == dom.OUTCOME_DEFAULT
+RULE_CASES = [
+    ("industry", "<div><span>Industry</span><span>Fintech</span></div>", "Fintech"),
+    ("industry", "<div><p>Sector: Retail</p></div>", "Retail"),
+    ("industry", "<div><span>Category</span><span></span></div>", ""),
+    ("funding", "<div><b>Funding</b> $5M raised</div>", "$5M"),
+    ("funding", "<p>They got $3 million total.</p>", "$3 million"),
+    ("funding", "<p>nothing</p>", ""),
+    ("section", "<h2>Why did it fail?</h2><p>First.</p><ul><li>a</li><li>b</li></ul><h2>Next</h2><p>x</p>", "First. a; b"),
+    ("section", "<p>plain</p>", ""),
+    ("section", "<div><h3><i>Lessons</i></h3><div>no</div><p> A <b>b</b></p></div><p>far</p>", "Ab"),
+    ("section", "<h2>Reason</h2><h2>Cause</h2><p>late</p>", "late"),
+    ("outcome", "<p>Status: closed 2019</p>", "closed 2019"),
+    ("outcome", "<p>The shop closed in May. Then more</p>", "closed in May."),
+    ("outcome", "<p>It shut down in May. Then more</p>", "It shut down in May. Then more"),
+    ("outcome", "<p>quiet</p>", rules.OUTCOME_DEFAULT),
+    ("outcome", "", rules.OUTCOME_DEFAULT),
+    ("outcome", None, rules.OUTCOME_DEFAULT),
+    ("outcome", "<script>Status: no</script><!-- Result: no --><p>Result : 1 < 2</p>", "1 < 2"),
+]
+
+
+def test_tree_rules(spark):
+    rows = [(i, html) for i, (_, html, _) in enumerate(RULE_CASES)]
+    got = {r.page_id: r for r in HV.tree_fields(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert [got[i][c] for i, (c, _, _) in enumerate(RULE_CASES)] == [want for _, _, want in RULE_CASES]
+    assert all(r.status == "ok" for r in got.values())
+    given = spark.createDataFrame([(1, "<p>none</p>", "Given")], "page_id long, html string, industry string")
+    assert HV.tree_fields(given, preview_industry="industry").first().industry == "Given"
+
+
+def test_deeply_nested_page(spark):
+    deep = "<li>" * 100_000 + "Status: deep"
+    texts, elements = dom.flatten(deep)
+    assert len(elements) == 100_000 and texts == [("Status: deep", 0, 1, None, None, None)]
+    rows = [(1, deep), (2, "<p>Status: fine</p>")]
+    got = HV.tree_fields(spark.createDataFrame(rows, "page_id long, html string")).orderBy("page_id").collect()
+    assert [(r.outcome, r.status) for r in got] == [("deep", "ok"), ("fine", "ok")]
 
 
 def test_merge_with_and_without_detail(spark):
