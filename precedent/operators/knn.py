@@ -2,15 +2,18 @@
 
 Plan shape (no cross join, no pair explosion):
 
-  queries --count/size check--> bounded blocks --collect as Arrow--> broadcast
+  queries --one count per vector length--> blocks bounded in rows and bytes
+        --collect one block as Arrow--> broadcast
   cases --scan (id, vector, route labels only)--> mapInArrow: per partition,
         numpy block product against the broadcast block, running top-k per
         (query, route) kept across Arrow batches --> Q*sum(k) rows per partition
-  union of blocks --shuffle on query--> row_number <= k (WindowGroupLimit)
+  all blocks --shuffle on query--> row_number <= k (WindowGroupLimit)
 
-The case side is never shuffled; only per-partition top-k rows are. A query
-block is bounded in rows and bytes before it is collected; a larger query table
-is split into several blocks, each a separate pass over the cases.
+Only per-partition top-k rows of the cases are shuffled. A query table of more
+than one block is written once below the shared folder, a folder per block; the
+driver then holds one block at a time: it collects the block, writes that
+block's partial rows to a table and releases the broadcast. Each block is one
+pass over the cases. Ids may be integers or text and keep their kind.
 Ranking order is (distance, id); distances of kept candidates are recomputed
 directly from the difference so near-ties rank the same way as a plain
 per-pair evaluation.
@@ -28,17 +31,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-METRICS = ("sql2", "cosine")
+from precedent.session import scratch_dir, spread
 
-PARTIAL_SCHEMA = T.StructType(
-    [
-        T.StructField("query_id", T.LongType()),
-        T.StructField("route", T.IntegerType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("distance", T.DoubleType()),
-    ]
-)
+METRICS = ("sql2", "cosine")
 
 # Bounds on one broadcast query block (rows and bytes of float64 vectors).
 MAX_BLOCK_ROWS = 16384
@@ -46,14 +43,7 @@ MAX_BLOCK_BYTES = 128 << 20
 # Tile sizes inside a task: the distance tile is CASE_TILE x QUERY_TILE doubles.
 CASE_TILE = 4096
 QUERY_TILE = 2048
-# Smallest query slice worth its own pass over a small case table.
-MIN_SLICE_ROWS = 4096
-# Upper bound on kNN tasks (and so on partial top-k outputs) per task slot.
-PARTIAL_TASKS_PER_SLOT = 4
 _EPS = 1e-9
-_PARTIAL_ARROW = pa.schema(
-    [("query_id", pa.int64()), ("route", pa.int32()), ("id", pa.int64()), ("distance", pa.float64())]
-)
 
 
 @dataclass(frozen=True)
@@ -155,14 +145,31 @@ def _merge(best_d, best_i, new_d, new_i, k):
     return np.take_along_axis(d, o, 0), np.take_along_axis(i, o, 0)
 
 
-def _make_task(bc, routes: tuple[Route, ...], metric: str, exclude_self: bool, dim: int):
+def _id_type(df: DataFrame, col: str) -> T.DataType:
+    """Integer ids are carried as long, all others as text."""
+    kind = df.select(col).schema[0].dataType
+    return T.LongType() if isinstance(kind, T.IntegralType) else T.StringType()
+
+
+def _as_text(ids: np.ndarray) -> np.ndarray:
+    return np.array([str(v) for v in ids], dtype=object)
+
+
+def _make_task(bc, routes: tuple[Route, ...], metric: str, exclude_self: bool, dim: int, partial: pa.Schema):
+    case_type, query_type = partial.field("id").type, partial.field("query_id").type
+    same_kind = case_type == query_type
+
     def task(batches):
         blk = bc.value
         qids, qmat = blk["qids"], blk["qmat"]
         qn2 = np.einsum("ij,ij->i", qmat, qmat)
-        order = np.argsort(qids, kind="stable")
-        sorted_qids = qids[order]
+        qkeys = qids if same_kind else _as_text(qids)
+        order = np.argsort(qkeys, kind="stable")
+        sorted_qids = qkeys[order]
         nq = len(qids)
+        # Candidates are held as positions in ``names``, the ascending ids of
+        # the kept candidates and the current batch: position order is id order.
+        names = np.empty(0, dtype=np.int64 if pa.types.is_integer(case_type) else object)
         best = [(np.full((r.k, nq), np.inf), np.full((r.k, nq), -1, dtype=np.int64)) for r in routes]
         label_index = [pd.Index(c) for c in blk["cats"]]
         for batch in batches:
@@ -177,19 +184,26 @@ def _make_task(bc, routes: tuple[Route, ...], metric: str, exclude_self: bool, d
             rows = np.nonzero(valid)[0]
             if len(rows) == 0:
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[rows].astype(names.dtype)
+            used = np.unique(np.concatenate([bi[bi >= 0] for _, bi in best]))
+            recode = np.full(len(names) + 1, -1, dtype=np.int64)
+            names, place = np.unique(np.concatenate([names[used], ids]), return_inverse=True)
+            recode[used] = place[: len(used)]
+            best = [(bd, recode[bi]) for bd, bi in best]
+            codes_of_ids = place[len(used) :]
             codes = [
                 idx.get_indexer(batch.column(2 + j).to_pandas().iloc[rows].astype(object)) if len(idx) else np.full(len(rows), -1)
                 for j, idx in enumerate(label_index)
             ]
             # self matches: a case whose id equals a query id
-            pos = np.minimum(np.searchsorted(sorted_qids, ids), nq - 1)
-            hit = sorted_qids[pos] == ids
+            keys = ids if same_kind else _as_text(ids)
+            pos = np.minimum(np.searchsorted(sorted_qids, keys), nq - 1)
+            hit = sorted_qids[pos] == keys
             self_rows = np.nonzero(hit)[0]
             self_cols = order[pos[hit]]
             for c0 in range(0, len(ids), CASE_TILE):
                 c1 = min(len(ids), c0 + CASE_TILE)
-                ct, it, n2 = mat[c0:c1], ids[c0:c1], cn2[c0:c1]
+                ct, it, n2 = mat[c0:c1], codes_of_ids[c0:c1], cn2[c0:c1]
                 for q0 in range(0, nq, QUERY_TILE):
                     q1 = min(nq, q0 + QUERY_TILE)
                     dt = _block_distance(ct, qmat[q0:q1], n2, qn2[q0:q1], metric)
@@ -213,16 +227,13 @@ def _make_task(bc, routes: tuple[Route, ...], metric: str, exclude_self: bool, d
             rr, cc = np.nonzero(np.isfinite(bd) & (bi >= 0))
             cols[0].append(qids[cc])
             cols[1].append(np.full(len(cc), r + 1, dtype=np.int32))
-            cols[2].append(bi[rr, cc])
+            cols[2].append(names[bi[rr, cc]])
             cols[3].append(bd[rr, cc])
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate(cols[0]).astype(np.int64)),
-                pa.array(np.concatenate(cols[1]).astype(np.int32)),
-                pa.array(np.concatenate(cols[2]).astype(np.int64)),
-                pa.array(np.concatenate(cols[3]).astype(np.float64)),
+                pa.array(np.concatenate(c), type=field.type) for c, field in zip(cols, partial)
             ],
-            schema=_PARTIAL_ARROW,
+            schema=partial,
         )
 
     return task
@@ -244,6 +255,23 @@ def _collect_block(df: DataFrame) -> pa.Table:
     return df.toArrow()
 
 
+def _block(t: pa.Table, routes: tuple[Route, ...], label_cols: list[str], dim: int) -> dict:
+    """One query block as arrays, its label values as dense codes per case
+    label column."""
+    ids = t.column("qid").to_numpy()
+    vectors = t.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    codes_of: list[dict] = [{} for _ in label_cols]
+    qcodes, route_label = {}, {}
+    for r, route in enumerate(routes):
+        if route.filtered:
+            j = route_label[r] = label_cols.index(route.case_col)
+            vals = t.column(f"ql_{route.query_col}").to_pylist()
+            code = [-2 if v is None else codes_of[j].setdefault(v, len(codes_of[j])) for v in vals]
+            qcodes[r] = np.array(code, dtype=np.int64)
+    return {"qids": ids, "qmat": vectors.reshape(-1, dim), "cats": [list(m) for m in codes_of], "qcodes": qcodes,
+            "route_label": route_label}
+
+
 def nearest(
     cases: DataFrame,
     queries: DataFrame,
@@ -263,100 +291,67 @@ def nearest(
     """Top-k cases per (query, route), long form
     ``(query_id, route, rank, id, distance)``; route numbers follow ``routes``
     order starting at 1. Query ids must be unique; invalid query vectors get
-    no rows. Triggers one small job (a bounded collect of the query side);
-    a query table over the block bound adds a count and one collect per block.
+    no rows, and so do vectors of another length than ``dim`` (by default the
+    most common length of the whole query table; ties: the smallest). Runs one
+    count of the query table and a bounded collect; a query table of several
+    blocks is answered block by block when this function is called.
     ``with_bound`` also returns the proven maximum row count of the result
-    (queries x sum of k), for sizing a later broadcast."""
+    (queries x sum of k) for sizing a later broadcast, or None where text ids
+    leave the size in bytes open."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     routes = tuple(routes)
     spark: SparkSession = cases.sparkSession
     label_cols = sorted({r.case_col for r in routes if r.filtered})
     q_label_cols = sorted({r.query_col for r in routes if r.filtered})
+    id_type, qid_type = _id_type(cases, case_id), _id_type(queries, query_id)
+    schema = T.StructType([
+        T.StructField("query_id", qid_type), T.StructField("route", T.IntegerType()),
+        T.StructField("id", id_type), T.StructField("distance", T.DoubleType()),
+    ])
     qsel = queries.select(
-        F.col(query_id).cast("long").alias("qid"),
+        F.col(query_id).cast(qid_type).alias("qid"),
         F.col(query_vec).alias("qvec"),
         *[F.col(c).cast("string").alias(f"ql_{c}") for c in q_label_cols],
     ).where(vector_ok("qvec", dim, metric) & F.col("qid").isNotNull())
-
-    if dim is None:  # the most common length over the whole query table; ties: the smallest
-        lens = qsel.groupBy(F.size("qvec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-        dim = lens["n"] if lens else 1
-        qsel = qsel.where(F.size("qvec") == dim)
-    # One bounded collect answers the common case (the query table fits one
-    # block); only a larger table pays a count and per-block collects.
-    first = _collect_block(qsel.limit(max_block_rows + 1))
-    if first.num_rows == 0:
-        empty = spark.createDataFrame([], PARTIAL_SCHEMA).withColumn("rank", F.lit(0).cast("long")).select(
+    lens = qsel.groupBy(F.size("qvec").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n").first()
+    if lens is None:
+        empty = spark.createDataFrame([], schema).withColumn("rank", F.lit(0).cast("long")).select(
             "query_id", "route", "rank", "id", "distance"
         )
         return (empty, 0) if with_bound else empty
+    dim, n_q = lens["n"], lens["rows"]
+    qsel = qsel.where(F.size("qvec") == dim)
     rows_per_block = max(1, min(max_block_rows, max_block_bytes // (8 * dim)))
 
-    csel = cases.select(
-        F.col(case_id).cast("long").alias("cid"),
+    # a case table in fewer partitions than slots (one row group) is dealt out
+    csel = spread(cases.select(
+        F.col(case_id).cast(id_type).alias("cid"),
         F.col(case_vec).alias("cvec"),
         *[F.col(c).cast("string").alias(f"cl_{c}") for c in label_cols],
-    ).where(F.col("cid").isNotNull() & (F.size("cvec") == dim))
-    case_parts = max(1, csel.rdd.getNumPartitions())
-    par = spark.sparkContext.defaultParallelism
-    sc = spark.sparkContext
-    # Each kNN task emits queries x sum(k) partial rows, so the shuffle grows
-    # with the task count, not with the data: merge input partitions (no
-    # shuffle) down to a few tasks per slot.
-    max_tasks = PARTIAL_TASKS_PER_SLOT * par
-    if case_parts > max_tasks:
-        csel = csel.coalesce(max_tasks)
-        case_parts = max_tasks
-
-    tables = []
-    if first.num_rows <= rows_per_block:
-        tables.append(first)
-        n_q = first.num_rows
+    ).where(F.col("cid").isNotNull() & (F.size("cvec") == dim)))
+    arrow = to_arrow_schema(schema)
+
+    def search(block: pa.Table):
+        bc = spark.sparkContext.broadcast(_block(block, routes, label_cols, dim))
+        return csel.mapInArrow(_make_task(bc, routes, metric, exclude_self, dim, arrow), schema), bc
+
+    if n_q <= rows_per_block:
+        partial, _ = search(_collect_block(qsel))
     else:
-        n_q = qsel.count()
-        # Hash blocks; one that comes out over the bound is cut in two or more.
-        nb = math.ceil(math.ceil(n_q / rows_per_block) * 1.25)
-        keyed = qsel.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(nb)))
-        for b in range(nb):
-            t = _collect_block(keyed.where(F.col("_blk") == b).drop("_blk"))
-            tables += [t.slice(i, rows_per_block) for i in range(0, t.num_rows, rows_per_block)]
-
-    # A case table with fewer partitions than slots: split the query side so
-    # cases x slices fills the slots, but only into slices big enough to
-    # outweigh the extra scan, broadcast and worker each slice costs.
-    want = max(1, min(par // case_parts, n_q // MIN_SLICE_ROWS))
-    if len(tables) == 1 and want > 1:
-        t = tables[0]
-        step = math.ceil(t.num_rows / want)
-        tables = [t.slice(i, step) for i in range(0, t.num_rows, step)]
-
-    parts = []
-    for t in tables:
-        qids = t.column("qid").to_numpy().astype(np.int64)
-        qmat = t.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        qmat = qmat.reshape(-1, dim)
-        # label values of this block -> dense codes, per case label column
-        lab_index = {c: j for j, c in enumerate(label_cols)}
-        codes_of: list[dict] = [{} for _ in label_cols]
-        qcodes, route_label = {}, {}
-        for r, route in enumerate(routes):
-            if route.filtered:
-                j = route_label[r] = lab_index[route.case_col]
-                for v in t.column(f"ql_{route.query_col}").to_pylist():
-                    if v is not None:
-                        codes_of[j].setdefault(v, len(codes_of[j]))
-        for r, j in route_label.items():
-            vals = t.column(f"ql_{routes[r].query_col}").to_pylist()
-            qcodes[r] = np.array([codes_of[j][v] if v is not None else -2 for v in vals], dtype=np.int64)
-        cats = [list(m) for m in codes_of]
-        bc = sc.broadcast({"qids": qids, "qmat": qmat, "cats": cats, "qcodes": qcodes, "route_label": route_label})
-        task = _make_task(bc, routes, metric, exclude_self, dim)
-        parts.append(csel.mapInArrow(task, PARTIAL_SCHEMA))
-
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
+        # a folder per hash block; a block that comes out over the bound is cut
+        blocks = math.ceil(n_q / rows_per_block * 1.25)
+        dealt = qsel.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+        path, found = scratch_dir(spark, "knn-queries"), scratch_dir(spark, "knn-partial")
+        dealt.repartition(blocks, "block").write.partitionBy("block").parquet(path)
+        stored = spark.read.schema(dealt.schema).parquet(path)
+        for b in range(blocks):
+            t = _collect_block(stored.where(F.col("block") == b).drop("block"))
+            for i in range(0, t.num_rows, rows_per_block):
+                rows, bc = search(t.slice(i, rows_per_block))
+                rows.write.mode("append").parquet(found)
+                bc.destroy()
+        partial = spark.read.schema(schema).parquet(found)
     w = Window.partitionBy("query_id", "route").orderBy("distance", "id")
     # a literal bound lets Spark plan WindowGroupLimit (partial top-k before
     # the shuffle); routes with a smaller k are trimmed after
@@ -365,11 +360,17 @@ def nearest(
         ks = F.array(*[F.lit(r.k) for r in routes])
         ranked = ranked.where(F.col("rank") <= F.element_at(ks, F.col("route")))
     out = ranked.select("query_id", "route", F.col("rank").cast("long").alias("rank"), "id", "distance")
-    return (out, n_q * sum(r.k for r in routes)) if with_bound else out
+    fixed = isinstance(id_type, T.LongType) and isinstance(qid_type, T.LongType)
+    return (out, n_q * sum(r.k for r in routes) if fixed else None) if with_bound else out
+
+
+# Largest hit list that is broadcast: rows of five 8-byte columns (about 64 MB).
+MAX_BROADCAST_HITS = 1_000_000
 
 
-# Largest hit list broadcast into the payload join (rows).
-MAX_BROADCAST_HITS = 4_000_000
+def broadcastable(bound: int | None) -> bool:
+    """True for a hit list whose row bound is known and small."""
+    return bound is not None and bound <= MAX_BROADCAST_HITS
 
 
 def attach(
@@ -380,8 +381,8 @@ def attach(
     from the case table, so an inner join loses nothing; with a proven bound
     the hits are broadcast and the case table is only scanned (its payload
     columns never shuffle). Without a bound the planner / AQE decides."""
-    payload = cases.select(F.col(case_id).cast("long").alias("id"), *[F.col(c) for c in (cols or [])])
-    if max_hits is not None and max_hits <= MAX_BROADCAST_HITS:
+    payload = cases.select(F.col(case_id).cast(hits.schema["id"].dataType).alias("id"), *[F.col(c) for c in (cols or [])])
+    if broadcastable(max_hits):
         return payload.join(F.broadcast(hits), "id", "inner").select(*hits.columns, *(cols or []))
     return hits.join(payload, "id", "left")
 

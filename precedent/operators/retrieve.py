@@ -1,7 +1,7 @@
 """Retrieval operators: global top-k, filtered top-1, multi-route recall with
 dedupe and fallback, confidence gate, matched-name list, enriched top-1.
 
-Case table columns used: ``id`` (long), the vector, ``company_name`` and the
+Case table columns used: ``id`` (integer or text), the vector, ``company_name`` and the
 route label columns. Query table: ``query_id`` (unique), the vector and the
 classification columns. All outputs are long form, one row per
 (query, rank); ranks start at 1.
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from precedent.functions.vectors import normalise
-from precedent.operators.knn import MAX_BROADCAST_HITS, Route, attach, nearest
+from precedent.operators.knn import Route, attach, broadcastable, nearest
 
 GATE_THRESHOLD = 0.65
 REFUSAL_MESSAGE = "The case base does not cover this scenario; describe a more specific venture."
@@ -94,8 +94,8 @@ def multiroute(
     cols = [name_col] + [c for c in (payload or []) if c != name_col]
     hits = attach(hits, cases, cols=cols, max_hits=bound)
     # one row per query: at most ``bound`` rows, broadcast when under the limit
-    klass = q.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce(F.col(classified_col), F.lit(False)).alias("_cls"))
-    if bound <= MAX_BROADCAST_HITS:
+    klass = q.select(F.col("query_id").cast(hits.schema["query_id"].dataType).alias("query_id"), F.coalesce(F.col(classified_col), F.lit(False)).alias("_cls"))
+    if broadcastable(bound):
         klass = F.broadcast(klass)
     glob = nr + 1
 
@@ -176,7 +176,7 @@ def top1_enriched(
     hits, bound = nearest(cases, q, [Route(1)], metric=metric, exclude_self=exclude_self, with_bound=True)
     hits = attach(hits.drop("route", "rank"), cases, cols=[meta_archetype, outcome_col], max_hits=bound)
     hits = hits.withColumnRenamed(meta_archetype, "_meta_arch")
-    idx = records.groupBy(F.col(record_key).cast("long").alias("id")).agg(
+    idx = records.groupBy(F.col(record_key).cast(hits.schema["id"].dataType).alias("id")).agg(
         F.max_by(F.struct("core_cognitive_bias", "fatal_action", "archetype"), F.col(record_pos)).alias("rec")
     )
     return hits.join(idx, "id", "left").select(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from precedent.functions.vectors import vector_status
 from precedent.operators import retrieve as R
-from precedent.operators.knn import MAX_BROADCAST_HITS, Route, nearest
+from precedent.operators.knn import Route, broadcastable, nearest
 
 OUTPUT_COLUMNS = ["request_id", "status", "rank", "id", "distance", "message"]
 
@@ -53,7 +53,7 @@ def answer_requests(
     ).withColumnRenamed("query_id", "query_key")
     # the hit list is bounded (distinct keys x k): broadcast it, so a key sent
     # by a large share of the requests does not skew the join
-    if bound <= MAX_BROADCAST_HITS:
+    if broadcastable(bound):
         scored = F.broadcast(scored)
     j = requests.join(scored, "query_key", "left").where(
         F.col("status").isNull() | (F.col("status") == "ok") | (F.col("rank") == 1)

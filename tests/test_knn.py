@@ -146,10 +146,54 @@ def test_dimension_from_the_common_length(spark):
     assert set(got) == {11, 12} and got[11][0][0] == 1 and got[12][0][0] == 2
 
 
-def test_many_case_partitions_are_merged(spark):
+def test_many_case_partitions(spark):
     cv, _, qv, cases, queries = _tables(spark)
-    many = cases.repartition(40)
-    hits = knn.nearest(many, queries, [knn.Route(3)])
+    hits = knn.nearest(cases.repartition(40), queries, [knn.Route(3)])
     assert _got(hits) == _brute(cv, qv, 3)
-    plan = hits._jdf.queryExecution().executedPlan().toString()
-    assert "Coalesce" in plan
+    assert "Coalesce " not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mixed_lengths_do_not_depend_on_the_block_size(spark):
+    _, _, _, cases, queries = _tables(spark, q=40)
+    short = spark.createDataFrame([(i, [1.0, 2.0], "L0") for i in range(15)], queries.schema)
+    mixed = short.unionByName(queries)
+    whole = _got(knn.nearest(cases, mixed, [knn.Route(2)]))
+    assert len(whole) == 40
+    for n in (1, 7, 16):
+        assert _got(knn.nearest(cases, mixed, [knn.Route(2)], max_block_rows=n)) == whole
+    assert _got(knn.nearest(cases, mixed, [knn.Route(2)], max_block_bytes=8 * 8 * 5)) == whole
+
+
+def test_the_driver_holds_one_block(spark, monkeypatch):
+    import gc
+    import weakref
+
+    _, _, _, cases, queries = _tables(spark, q=60)
+    held, most, collect = [], [], knn._collect_block
+
+    def counted(df):
+        gc.collect()
+        most.append(sum(ref() is not None for ref in held))
+        t = collect(df)
+        held.append(weakref.ref(t))
+        return t
+
+    monkeypatch.setattr(knn, "_collect_block", counted)
+    got = _got(knn.nearest(cases, queries, [knn.Route(1)], max_block_rows=16))
+    assert len(got) == 60 and len(held) == 5
+    assert max(most) <= 1  # the one that the next block replaces
+
+
+@pytest.mark.parametrize("block", [4, 16384])
+def test_text_ids(spark, block):
+    cv, _, qv, cases, queries = _tables(spark)
+    named = cases.withColumn("id", F.concat(F.lit("case_"), F.lpad("id", 5, "0")))
+    asked = queries.withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    got = _got(knn.nearest(named.repartition(3), asked, [knn.Route(3)], max_block_rows=block))
+    expected = {f"q{q}": [(f"case_{i:05d}", d) for i, d in hits] for q, hits in _brute(cv, qv, 3).items()}
+    assert got == expected
+    own = named.withColumnRenamed("id", "query_id").where("company_name != 'bad'")
+    nearest = knn.nearest(named, own, [knn.Route(1)], exclude_self=True, max_block_rows=block)
+    assert nearest.where("id = query_id").count() == 0 and nearest.count() == len(cv)
+    full = R.topk(named, asked, payload=["company_name"])
+    assert full.where("company_name is null").count() == 0 and full.count() == 3 * len(qv)
