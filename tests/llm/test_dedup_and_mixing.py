@@ -134,6 +134,21 @@ def test_pfair_windows_and_deviation():
             assert all(abs(sent[s] - share[s] / 200 * (slot + 1)) < 1 for s in share)
 
 
+def test_mixture_follows_the_given_weights_to_the_end(spark):
+    text = "x" * 10
+    half = spark.range(4000).selectExpr("id as doc_id", f"'{text}' as text", "if(id < 2000, 0, 1 + id % 19) as source")
+    few = spark.range(1200).selectExpr("id as doc_id", f"'{text}' as text", "if(id < 1199, 0, 1) as source")
+    for docs, weights in ((half, {s: 19 if s == 0 else 1 for s in range(20)}), (few, {0: 1.0, 1: 1e-5})):
+        out = sorted((r["slot"], r["source"], r["on_target"]) for r in mix_sources(docs, weights=weights, block_bytes=10).collect())
+        assert len({slot for slot, _, _ in out}) == len(out) == docs.count()
+        sent, total = Counter(), sum(weights.values())
+        on = [s for _, s, on in out if on]
+        assert len(on) >= 1000
+        for n, s in enumerate(on, 1):
+            sent[s] += 1
+            assert all(abs(sent[k] - w / total * n) < 1 for k, w in weights.items())
+
+
 def test_mixture_keeps_all_rows_near_target(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = mix_sources(docs, block_bytes=2048, bucket_rows=100).collect()
