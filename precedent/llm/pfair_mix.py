@@ -131,28 +131,33 @@ def _plan(block_bytes: int, power: float):
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: Mapping[object, float] | None = None, power: float = 0.5, period: int | None = None,
-                block_bytes: int = BLOCK_BYTES, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+                block_bytes: int = BLOCK_BYTES, seed: int = 17, bucket_rows: int = BUCKET_ROWS,
+                size_col: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """One row per input row: doc_id, source, block (number in its source), slot,
     release, deadline, at (first byte of the text in its source), on_target
-    (false from the slot on at which the first source has run out).
+    (false from the slot on at which the first source has run out), and the
+    columns that ``keep`` names.
 
     Order by (slot, at) for the mixture. ``weights`` must name every source;
     without it a source weighs its bytes to the power ``power``. They hold exactly
     unless ``period`` asks for whole shares of so many slots. A null source is
     a source of its own; a null or empty text takes one byte. Rows repeated with
     one id follow each other. A text longer than a block belongs to the block in
-    which it begins. Other columns are not read; an empty table gives an empty
+    which it begins; ``size_col`` holds the bytes of a text where the text itself
+    isn't there. Other columns are not read; an empty table gives an empty
     result."""
     spark = docs.sparkSession
-    size = F.greatest(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)), F.lit(1)).cast("long")
+    length = F.octet_length(F.col(text_col).cast("string")) if size_col is None else F.col(size_col)
+    size = F.greatest(F.coalesce(length, F.lit(0)), F.lit(1)).cast("long")
     rows = save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"),
-                            size.alias("size"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("draw")), "sizes")
+                            size.alias("size"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("draw"), *keep), "sizes")
     per = save(rows.groupBy("source").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "sources")
     kind = rows.schema["source"].dataType.simpleString()
     n_rows = per.agg(F.sum("n")).first()[0]
     if not n_rows:
         return spark.createDataFrame([], f"doc_id long, source {kind}, block long, slot long, release long, "
-                                         "deadline long, at long, on_target boolean")
+                                         "deadline long, at long, on_target boolean"
+                                         + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep))
     if period is not None:
         if weights is None:
             weights = {r["source"]: r["bytes"] ** power for r in per.collect()}
@@ -182,7 +187,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .withColumn("at", F.col("offset") + F.col("upto") - F.col("size"))
               .withColumn("block", F.expr(f"at div {block_bytes}")).drop("source_"))
     timed = placed.join(plan, same & (F.col("block") == F.col("block_")))
-    return timed.select("doc_id", "source", "block", "slot", "release", "deadline", "at", "on_target")
+    return timed.select("doc_id", "source", "block", "slot", "release", "deadline", "at", "on_target", *keep)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

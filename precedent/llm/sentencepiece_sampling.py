@@ -22,10 +22,11 @@ for every text.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precedent.llm.tokens import _BYTES, Hasher, Texts, id_array, mix, texts
@@ -332,9 +333,10 @@ def encode_slice(lat: Lattice, hasher: Hasher, t: Texts, keys: np.ndarray, seed:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-           alpha: float = 1.0, seed: int = 1) -> DataFrame:
+           alpha: float = 1.0, seed: int = 1, keep: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per input row: doc_id, ids (array<int>; null where the text is
-    null), n_pieces, lossless (the ids decode to the text).
+    null), n_pieces, lossless (the ids decode to the text), and the columns that
+    ``keep`` names and defines.
 
     An empty text has no ids. Rows of equal id and text get equal ids; a null id
     is a key like any other. ``path`` must name the model on every machine.
@@ -359,11 +361,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     same &= False
                 lists = pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(out), mask=pa.array(gone[rows]))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(t.first, t.n), lists, pa.array(np.diff(bound)), pa.array(same)],
-                    ["doc_id", "ids", "n_pieces", "lossless"])
-
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, lossless boolean")
+                    [b.column(0).slice(t.first, t.n), lists, pa.array(np.diff(bound)), pa.array(same),
+                     *(c.slice(t.first, t.n) for c in b.columns[2:])],
+                    ["doc_id", "ids", "n_pieces", "lossless", *names])
+
+    names = list(keep or {})
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                      *(c.alias(name) for name, c in (keep or {}).items()))
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in src.schema.fields[2:])
+    return src.mapInArrow(run, f"doc_id long, ids array<int>, n_pieces long, lossless boolean{extra}")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:

@@ -188,6 +188,27 @@ def test_pipeline_stages_and_odd_rows(spark):
     assert rows.where("doc_id is null").count() == 2
 
 
+def test_pipeline_result_carries_the_mixture(spark, tmp_path):
+    text = "some words of a text that is always the same, over and over. " * 64
+    docs = spark.range(900).selectExpr("id as doc_id", f"'{text}' as text", "if(id < 600, 'a', if(id < 800, 'b', 'c')) as source")
+    docs.repartitionByRange(7, "doc_id").write.parquet(str(tmp_path / "docs"))
+    out = corpus_pipeline.pieces(spark, spark.read.parquet(str(tmp_path / "docs")), SMOKE).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(900)) and all(r["lossless"] for r in out)
+    out.sort(key=lambda r: (r["slot"], r["at"]))
+    size = Counter(r["source"] for r in out)
+    weight = {s: n**0.5 / sum(m**0.5 for m in size.values()) for s, n in size.items()}
+    sent, per_block = Counter(), (64 << 10) / len(text)
+    for n, r in enumerate([r for r in out if r["on_target"]], 1):
+        sent[r["source"]] += 1
+        assert all(abs(sent[s] - w * n) < 3 * per_block for s, w in weight.items())
+    assert n > 300
+    rows = odd_docs(spark)
+    got = corpus_pipeline.pieces(spark, rows, SMOKE).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in rows.collect())
+    assert len({(r["source"], r["slot"], r["at"]) for r in got}) == 11
+    assert corpus_pipeline.pieces(spark, none(spark), SMOKE).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
