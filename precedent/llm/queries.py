@@ -37,11 +37,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document. Documents have no paths: each is laid in the
     tree source / ten thousands / hundreds of its id, where the first of each
-    hundred is its directory's licence file."""
+    hundred is its directory's licence file, that of each ten thousand the upper
+    directory's, and the first of all the root's."""
     docs = read(spark, sf_dir, "documents")
     i = F.col("doc_id")
     name = F.when(i % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.lit("doc"), i.cast("string")))
-    path = F.concat_ws("/", "source", F.floor(i / 10000).cast("string"), F.floor(i / 100).cast("string"), name)
+    upper = F.when(i != 0, F.floor(i / 10000).cast("string"))
+    lower = F.when(i % 10000 != 0, F.floor(i / 100).cast("string"))
+    path = F.concat_ws("/", "source", upper, lower, name)
     out = scan_licenses(docs.select("doc_id", "text", path.alias("path")), id_col="doc_id")
     return out.withColumnRenamed("file_id", "doc_id")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from precedent.llm import language_crf as crf
 from precedent.llm import sentencepiece_sampling as sps
 from precedent.llm.katz_lm import Unigrams, discounts, katz_scores
-from precedent.llm.license_scan import scan_licenses
+from precedent.llm.license_scan import license_texts, scan_licenses
 from precedent.llm.quality_cotraining import score_quality
 from precedent.llm.span_dedup import span_dedup
 from precedent.llm.tokens import Hasher, texts, words
@@ -158,6 +158,30 @@ def test_licenses_by_header_file_and_nearest_ancestor(spark):
     assert scan_licenses(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
 
 
+def test_licence_texts_and_wrapped_headers(spark):
+    full = license_texts()
+    files, want = [], {}
+    for name, kinds in full.items():
+        for j, text in enumerate(kinds):
+            body = text.replace("Copyright (c)", "Copyright (c) 2021 Some Person") + "\n"
+            code = "\n\n".join(f"int value{i} = other{i} + {i};" for i in range(40))
+            at = len(files)
+            files += [(at, f"{name}{j}/COPYING", body), (at + 1, f"{name}{j}/a/x.c", "code"),
+                      (at + 2, f"src/{name}{j}.c", "\n".join(f" * {x}" for x in body.split("\n")) + f"\n\n{code}")]
+            want |= {at: (name, "own"), at + 1: (name, "inherited"), at + 2: (name, "own")}
+    wrapped = {"GPL-2.0": "# Licensed under the GNU General Public License,\n# version 2\nx = 1",
+               "GPL-3.0": "# Licensed under the GNU General\n# Public License,\n# version 3\nx = 1"}
+    for name, text in wrapped.items():
+        want[len(files)] = (name, "own")
+        files.append((len(files), f"w/{name}.py", text))
+    prose = "The terms of the work and of the use of this are not for any person or the parties to say. " * 40
+    want[len(files)] = (None, None)
+    files.append((len(files), "w/prose.txt", prose))
+    out = scan_licenses(spark.createDataFrame(files, "file_id long, path string, text string")).collect()
+    got = {r["file_id"]: (r["license"], r["how"]) for r in out}
+    assert {files[i][1]: got[i] for i in want} == {files[i][1]: want[i] for i in want}
+
+
 def test_spans_remove_later_passages_only(spark):
     passage = " ".join(f"w{i}" for i in range(30)) + ". " + " ".join(f"v{i}" for i in range(30)) + "."
     rows = [(1, f"Clean start.\n{passage}\nOwn end here."), (2, f"Other start.\n{passage.upper()}\nAnother end."),
