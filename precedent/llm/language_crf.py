@@ -8,15 +8,18 @@ conditional likelihood; forward-backward gives each word its marginals, so a
 text may switch language from word to word. A text's language is the label with
 the largest mean marginal over its words, and that mean is its score.
 
-Training takes a bounded sample of labelled texts (``per_label`` for each label,
-drawn by hash among those of at most ``max_chars`` characters; a label that has
-only longer ones learns from none). Prediction reads every whole text, slice by
+Training takes a bounded sample of labelled texts: ``per_label`` for each label,
+drawn by hash, those above ``max_chars`` characters last. Of a drawn text above
+that it learns from at most so many characters, in pieces drawn by hash over the
+whole text. Prediction reads every whole text, slice by
 slice: each distinct word of a slice is scored once, and forward-backward runs
 over all texts of a slice at the same time.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -34,6 +37,7 @@ SEGMENT = 256
 SLICE = 8 << 20
 BITS = 15
 UND = "und"
+SENTENCE = re.compile(r"[^\n.!?。！？।]*[\n.!?。！？।]+\s*|[^\n.!?。！？।]+")
 _U = np.uint64
 
 
@@ -218,17 +222,47 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, rate: float = 0.25, d
     return Model(labels, params[0], lexicon[known], params[1][:, known], params[2])
 
 
+def excerpt(text: str, max_chars: int) -> str:
+    """Whole sentences or lines of ``text``, drawn by hash, up to ``max_chars``
+    characters in all, in their order; pieces above a quarter of that are cut
+    at white space, or anywhere where there is none."""
+    if len(text) <= max_chars:
+        return text
+    most = max(1, max_chars // 4)
+    pieces = [p for x in SENTENCE.findall(text) for p in _split(x, most)]
+    pieces = [(i, p) for i, p in enumerate(pieces) if any(c.isalpha() for c in p)]
+    drawn, left = [], max_chars
+    for i, p in sorted(pieces, key=lambda x: zlib.crc32(f"{x[0]} {x[1]}".encode())):
+        if len(p) <= left:
+            drawn.append((i, p))
+            left -= len(p)
+    return "".join(p for _, p in sorted(drawn))
+
+
+def _split(x: str, most: int) -> list[str]:
+    out, at = [], 0
+    while len(x) - at > most:
+        end = next((i for i in range(at + most, at, -1) if x[i - 1].isspace()), at + most)
+        out.append(x[at:end])
+        at = end
+    return [*out, x[at:]]
+
+
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, learn, per_label: int, max_chars: int) -> list:
     """Up to ``per_label`` (text, label) rows of each label among rows that
-    ``learn`` allows, drawn by hash of the id."""
+    ``learn`` allows, drawn by hash of the id, texts above ``max_chars`` after the
+    others and cut to an excerpt."""
     text = F.col(text_col).cast("string")
-    ok = learn & F.col(label_col).isNotNull() & text.rlike(r"\p{L}") & (F.length(text) <= max_chars)
-    src = docs.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"))
-    drawn = src.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(5)), "id")))
+    ok = learn & F.col(label_col).isNotNull() & text.rlike(r"\p{L}")
+    long = (F.length(text) > max_chars).alias("long")
+    src = docs.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), long)
+    drawn = src.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("long", F.xxhash64("id", F.lit(5)), "id")))
     drawn = drawn.where(F.col("r") <= per_label).select("id", "label")
     mine = docs.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"),
                                  text.alias("text"))
-    got = mine.join(F.broadcast(drawn), ["id", "label"], "left_semi").collect()  # per_label rows a label
+    cut = F.udf(lambda x: excerpt(x, max_chars), "string")
+    mine = mine.join(F.broadcast(drawn), ["id", "label"], "left_semi")
+    got = mine.select(cut("text").alias("text"), "label").collect()  # per_label rows a label
     return sorted({(r["text"], r["label"]) for r in got})
 
 

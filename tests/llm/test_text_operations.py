@@ -117,6 +117,19 @@ def test_language_is_right_on_held_out_texts_and_inside_mixed_ones(spark):
     assert sum(hits) >= 0.85 * len(hits)
 
 
+def test_language_learns_labels_that_have_only_long_texts(spark):
+    de = "Der Hund läuft über die Straße und die Katze schläft im Garten. Wir gehen heute nicht zur Schule! "
+    en = "The dog runs over the street and the cat sleeps in the garden. We do not go to school today! "
+    rows = [(i, en if i % 2 else de * 200, "en" if i % 2 else "de") for i in range(40)] + [(100, de, "de"), (101, "x" * 9000, "en")]
+    docs = spark.createDataFrame(rows[:40], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in crf.predict_language(docs).collect()}
+    assert got == {i: y for i, _, y in rows[:40]}
+    drawn = crf.sample(spark.createDataFrame(rows, docs.schema), "doc_id", "text", "lang", F.lit(True), 3, 800)
+    assert {y for _, y in drawn} == {"de", "en"} and all(0 < len(x) <= 800 for x, _ in drawn)
+    assert (de, "de") in drawn  # short texts first
+    assert 0 < len(crf.excerpt("日本" * 9000, 800)) <= 800 and crf.excerpt("... " * 3000 + "word", 800) == "word"
+
+
 def test_language_odd_inputs(spark):
     rows = {(r["doc_id"], r["lang_pred"], r["score"]) for r in crf.predict_language(odd_docs(spark)).collect()}
     assert {y for _, y, _ in rows} == {"und"}  # no labels: nothing learnt
