@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from precedent.llm.secret_scan import KINDS, PATTERNS, SCOPE, SHORTEST
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 EXACT_SQL = f"""
@@ -25,3 +27,38 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM c LEFT JOIN n USING (doc_id)
 """
+
+
+def secret_sql(scope: int = SCOPE) -> str:
+    """The spans of secret_scan: matches and the texts between them give offsets, weak
+    parts meet within ``scope`` code points."""
+    lit = lambda s: "'" + s.replace("'", "''") + "'"
+    kinds = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS kind, unnest(regexp_extract_all(t, {lit(p)})) AS m, "
+        f"unnest(string_split_regex(t, {lit(p)})[:len(regexp_extract_all(t, {lit(p)}))]) AS g, "
+        f"generate_subscripts(regexp_extract_all(t, {lit(p)}), 1) AS i FROM d"
+        for k, p in enumerate(PATTERNS[x] for x in KINDS))
+    names = "[" + ", ".join(lit(k) for k in KINDS) + "]"
+    listed = f"string_agg({names}[kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({kinds}),
+p AS (SELECT doc_id, kind, m, len(m) AS n, sum(len(g) + len(m)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS b FROM m),
+every AS (SELECT doc_id, kind, b - n AS a, b FROM p WHERE kind <> 0 OR len(regexp_extract(m, {lit(PATTERNS['assign'])}, 2)) >= {SHORTEST}),
+shown AS (SELECT * FROM every w WHERE kind < 3 OR NOT EXISTS (
+  SELECT 1 FROM every c WHERE c.doc_id = w.doc_id AND c.kind < 3 AND c.a < w.b AND w.a < c.b)),
+linked AS (
+  SELECT w.doc_id, w.kind, w.a, w.b FROM shown w JOIN shown p ON p.doc_id = w.doc_id AND w.kind >= 3
+    AND p.a <= w.b + {scope} AND w.a <= p.b + {scope} AND NOT (p.kind = w.kind AND p.a < w.b AND w.a < p.b)
+  GROUP BY ALL HAVING CASE w.kind WHEN 3 THEN bool_or(p.kind IN (0, 2, 4)) WHEN 4 THEN bool_or(p.kind IN (1, 3))
+    ELSE bool_or(p.kind IN (0, 2, 4)) AND bool_or(p.kind IN (1, 3)) END),
+s AS (SELECT * FROM every WHERE kind < 3 UNION ALL SELECT * FROM linked),
+r AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+        count(*) FILTER (kind > 2) AS n_linked, {listed} FILTER (kind < 3) AS base, {listed} AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  coalesce(n_linked, 0) AS n_linked, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+SECRET_SQL = secret_sql()
