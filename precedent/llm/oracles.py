@@ -62,3 +62,28 @@ FROM d LEFT JOIN r USING (doc_id)
 
 
 SECRET_SQL = secret_sql()
+
+#: crc32 bit by bit: eight steps a byte, of which the first takes the byte in.
+VARIANTS_SQL = r"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(""" + _LOWER + r""", '[a-z\x{C0}-\x{FF}]{7,}')) AS w FROM documents),
+x AS (SELECT w, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM r),
+c AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(len(x) // 2),
+      lambda i: [('0x' || x[2 * i + 1:2 * i + 2])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: CASE WHEN xor(a, b) & 1 = 1 THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END), 4294967295) AS h FROM x),
+o AS (SELECT CASE WHEN h % 31 = 0 THEN w[1:h % len(w)] || w[h % len(w) + 2:] ELSE w END AS word FROM c),
+v AS (SELECT word, count(*) AS n FROM o WHERE len(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS (SELECT word, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, v.word FROM cut a JOIN v ON v.word = a.rest
+  UNION SELECT v.word, a.word FROM cut a JOIN v ON v.word = a.rest),
+top AS (SELECT a, count(*) AS n_near, max(n) AS top_n, first(b ORDER BY n DESC, b) AS top FROM near JOIN v ON v.word = b GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 10 * n THEN top END AS form,
+        CASE WHEN top_n >= 10 * n THEN top_n END AS form_n FROM v LEFT JOIN top ON a = word),
+chain AS (SELECT word, word AS last, 0 AS step FROM f UNION ALL
+          SELECT chain.word, f.form, step + 1 FROM chain JOIN f ON f.word = chain.last WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(last, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)
+"""

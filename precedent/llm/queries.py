@@ -12,12 +12,13 @@ from precedent.llm.katz_lm import katz_scores
 from precedent.llm.language_crf import predict_language
 from precedent.llm.license_scan import scan_licenses
 from precedent.llm.minhash_dedup import near_dedup
-from precedent.llm.oracles import EXACT_SQL, NEAR_SQL, SECRET_SQL
+from precedent.llm.oracles import EXACT_SQL, NEAR_SQL, SECRET_SQL, VARIANTS_SQL
 from precedent.llm.pfair_mix import mix_sources
 from precedent.llm.quality_cotraining import score_quality
 from precedent.llm.secret_scan import scan_secrets
 from precedent.llm.sentencepiece_sampling import encode
 from precedent.llm.span_dedup import span_dedup
+from precedent.llm.spelling_variants import group_variants
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +81,11 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with the form that each is a variant of."""
+    return group_variants(read(spark, sf_dir, "documents"))
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text, weak parts where they make up a credential."""
     return scan_secrets(read(spark, sf_dir, "documents"))
@@ -94,5 +100,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_quality, op3_language, op4_licenses, op5_exact_dedup, op6_minhash, op7_embeddings, op8_spans,
-    op9_katz, op10_mix, op13_secrets, pipeline)}
-ORACLE = {"op5_exact_dedup": EXACT_SQL, "op6_minhash": NEAR_SQL, "op13_secrets": SECRET_SQL}
+    op9_katz, op10_mix, op11_variants, op13_secrets, pipeline)}
+ORACLE = {"op5_exact_dedup": EXACT_SQL, "op6_minhash": NEAR_SQL, "op11_variants": VARIANTS_SQL, "op13_secrets": SECRET_SQL}
