@@ -29,6 +29,7 @@ SCOPE = 200
 #: The kinds, in the order in which spans with one start are listed.
 KINDS = ["assign", "access", "hex", "identifier", "secret", "endpoint"]
 _CERTAIN = 3
+_MATCHES = "array<struct<kind int, i int, gap int, len int, ok boolean>>"
 
 
 def any_case(words: str) -> str:
@@ -51,6 +52,8 @@ PATTERNS = {
     "secret": f"({_LOOSE})[A-Za-z_]{{0,16}}{_EQUALS}([A-Za-z0-9+/_.=-]{{6,}})",
     "endpoint": rf"""({_SCHEMES})://[^\x00-\x20"'<>]+""",
 }
+#: What every match of a kind contains.
+_NEEDS = {"access": "AKIA", "endpoint": "://"}
 #: Code points that an assigned value has at least. A shorter match is dropped,
 #: after it has taken its place among the matches that do not overlap.
 SHORTEST = 6
@@ -59,13 +62,16 @@ SHORTEST = 6
 def _matches(text: Column, kind: int) -> Column:
     """array<struct<kind, i, gap, len, ok>>: the length of each match of a kind and of
     the text between it and the one before."""
-    pattern = PATTERNS[KINDS[kind]]
+    pattern, needs = PATTERNS[KINDS[kind]], _NEEDS.get(KINDS[kind])
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     ok = lambda m: F.length(F.regexp_extract(m, pattern, 2)) >= SHORTEST if KINDS[kind] == "assign" else F.lit(True)
-    return F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")), lambda x, i: F.struct(
+    each = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")), lambda x, i: F.struct(
         F.lit(kind).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("len"),
         ok(x["m"]).alias("ok")))
+    # most texts hold no match: they are searched once, and not at all where a fixed part is missing
+    some = text.rlike(pattern)
+    return F.when(text.contains(needs) & some if needs else some, each).otherwise(F.array().cast(_MATCHES))
 
 
 def _bins(start: Column, end: Column, scope: int) -> Column:
