@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from precedent.llm.common import read
 from precedent.llm.embedding_dedup import near_vectors
 from precedent.llm.exact_dedup import exact_dedup
+from precedent.llm.hard_negatives import mine_negatives
 from precedent.llm.katz_lm import katz_scores
 from precedent.llm.language_crf import predict_language
 from precedent.llm.license_scan import scan_licenses
 from precedent.llm.minhash_dedup import near_dedup
-from precedent.llm.oracles import EXACT_SQL, NEAR_SQL, SECRET_SQL, VARIANTS_SQL
+from precedent.llm.oracles import EXACT_SQL, NEAR_SQL, NEGATIVES_SQL, SECRET_SQL, VARIANTS_SQL
 from precedent.llm.pfair_mix import mix_sources
 from precedent.llm.quality_cotraining import score_quality
 from precedent.llm.secret_scan import scan_secrets
@@ -86,6 +87,13 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(read(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh has moved on by a label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return mine_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text, weak parts where they make up a credential."""
     return scan_secrets(read(spark, sf_dir, "documents"))
@@ -100,5 +108,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_quality, op3_language, op4_licenses, op5_exact_dedup, op6_minhash, op7_embeddings, op8_spans,
-    op9_katz, op10_mix, op11_variants, op13_secrets, pipeline)}
-ORACLE = {"op5_exact_dedup": EXACT_SQL, "op6_minhash": NEAR_SQL, "op11_variants": VARIANTS_SQL, "op13_secrets": SECRET_SQL}
+    op9_katz, op10_mix, op11_variants, op12_hard_negatives, op13_secrets, pipeline)}
+ORACLE = {"op5_exact_dedup": EXACT_SQL, "op6_minhash": NEAR_SQL, "op11_variants": VARIANTS_SQL, "op12_hard_negatives": NEGATIVES_SQL, "op13_secrets": SECRET_SQL}
