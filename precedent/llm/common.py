@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,23 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that numbers its rows, and that column's name. A row of
+    a file has the number of its file and its place there, the same in every
+    evaluation whatever the partitions; rows of anything else are written and
+    numbered once. The driver holds the names of the files."""
+    name, path, place = (next(c for i in range(len(docs.columns) + 1) if (c := f"__{k}{i or ''}") not in docs.columns)
+                         for k in ("row", "path", "place"))
+    try:
+        at = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+        files = sorted(r[0] for r in at.select(path).distinct().collect())
+    except AnalysisException:  # no table of files
+        return save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    number = docs.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], f"{path} string, {name} long")
+    keyed = at.join(F.broadcast(number), path)  # one row per file
+    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(name) + F.col(place)).alias(name)), name
+
+
 def fold(id_col: str, parts: int, held: int = 2) -> Column:
     """True for the held-out rows: crc32 of the id as text, modulo ``parts``,
     equals ``held``. A null id is never held out."""

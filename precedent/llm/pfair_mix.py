@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from precedent.llm.common import save
+from precedent.llm.common import row_keys, save
 
 BLOCK_BYTES = 64 << 10
 BUCKET_ROWS = 20_000
@@ -190,11 +190,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return timed.select("doc_id", "source", "block", "slot", "release", "deadline", "at", "on_target", *keep)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with all rows and columns, in the order of the mixture (written
-    files follow it from part to part)."""
-    at = mix_sources(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.min("slot").alias("_slot"), F.min("at").alias("_at"))
-    joined = docs.join(at, docs[id_col].cast("long").eqNullSafe(F.col("_id")), "left")
-    return joined.repartitionByRange("_slot", "_at").sortWithinPartitions("_slot", "_at").select(
-        *[docs[c] for c in docs.columns])
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with all rows and columns, in the order of the mixture (written files
+    follow it from part to part). Each row has a place of its own, whatever its id;
+    columns may have any names."""
+    keyed, row = row_keys(docs)
+    at = mix_sources(keyed, keep=[row], **options).select(row, F.col("slot").alias(f"{row}_slot"), F.col("at").alias(f"{row}_at"))
+    order = [f"{row}_slot", f"{row}_at"]
+    return keyed.join(at, row).repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -92,7 +92,7 @@ def _features(batches):
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
             empty = pa.array(np.diff(t.off) == 0)
             rows = [c.slice(t.first, t.n) for c in b.columns]
-            yield pa.RecordBatch.from_arrays([rows[0], lists, empty, *rows[2:]], ["doc_id", "x_text", "empty", "source", "lang", "declared"])
+            yield pa.RecordBatch.from_arrays([rows[0], lists, empty, *rows[2:]], ["doc_id", "x_text", "empty", "source", "lang", "declared", "row"])
 
 
 def _metadata(source, lang, declared):
@@ -103,8 +103,9 @@ def _metadata(source, lang, declared):
     def hot(at):
         return F.transform(F.sequence(F.lit(0), F.lit(HASHED - 1)), lambda i: (i == at).cast("double"))
 
-    size = F.log1p(F.greatest(F.coalesce(declared.cast("double"), F.lit(0.0)), F.lit(0.0))) / 10
-    rest = F.array(size, size * size, declared.isNull().cast("double"))
+    odd = declared.isNull() | F.isnan(declared) | (F.abs(declared) == float("inf"))
+    size = F.log1p(F.greatest(F.when(odd, 0.0).otherwise(declared), F.lit(0.0))) / 10
+    rest = F.array(size, size * size, odd.cast("double"))
     return F.concat(hot(place(source, 1)), hot(place(lang, 2)), rest)
 
 
@@ -144,22 +145,25 @@ def _platt(points: list[tuple[float, float]]) -> tuple[float, float]:
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   source_col: str = "source", lang_col: str = "lang", declared_col: str = "n_chars",
                   label_col: str = "quality", rounds: int = ROUNDS, confident: float = CONFIDENT,
-                  threshold: float = THRESHOLD, max_labels: int = MAX_LABELS) -> DataFrame:
+                  threshold: float = THRESHOLD, max_labels: int = MAX_LABELS, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, text_score, meta_score (calibrated views),
     score (probability of good quality), kept (score >= threshold).
 
     ``labels``: id, label (1 good, 0 bad; ids met more than once count with
     their largest label, null labels not at all). A null or empty text has
-    score 0 and is not kept. Null metadata are a value of their own. Rows
-    repeated with one id are scored alike. Where labels of one class are missing
+    score 0 and is not kept. Null metadata are a value of their own, and so is a
+    declared size that is not finite. Each row is scored by its own text;
+    ``row_col`` names a column of row numbers that the result carries as ``row``. Where labels of one class are missing
     nothing can be learnt: scores are null and every row with a text is kept. An
     empty table gives an empty result."""
     meta = _metadata(F.col("source"), F.col("lang"), F.col("declared"))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                       F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"),
-                      F.col(declared_col).cast("double").alias("declared"))
-    rows = save(src.mapInArrow(_features, "doc_id long, x_text array<double>, empty boolean, source string, lang string, declared double"),
-                "quality-features")
+                      F.col(declared_col).cast("double").alias("declared"),
+                      (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
+    rows = save(src.mapInArrow(_features, "doc_id long, x_text array<double>, empty boolean, source string, lang string, "
+                                          "declared double, row long"), "quality-features")
+    carried = ["row"] if row_col else []
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y"))
     known = known.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.join(rows.where("not empty").select("doc_id").distinct(), "doc_id", "left_semi")
@@ -177,7 +181,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         models = {v: _fit(gold, v) for v in ("x_text", "x_meta")}
     if models["x_text"] is None and models["x_meta"] is None:
         null = F.lit(None).cast("double")
-        return rows.select("doc_id", null.alias("text_score"), null.alias("meta_score"), null.alias("score"), (~F.col("empty")).alias("kept"))
+        return rows.select("doc_id", null.alias("text_score"), null.alias("meta_score"), null.alias("score"), (~F.col("empty")).alias("kept"), *carried)
     n_gold = gold.count()
     edge = math.log(confident / (1 - confident))
     pool = table.where("y is null")
@@ -202,7 +206,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     t = odds["x_text"] * F.lit(at) + F.lit(bt)
     m = odds["x_meta"] * F.lit(am) + F.lit(bm)
     sig = lambda z: F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    all_rows = rows.withColumn("x_meta", meta).select("doc_id", "empty", t.alias("t"), m.alias("m"))
+    all_rows = rows.withColumn("x_meta", meta).select("doc_id", "empty", t.alias("t"), m.alias("m"), *carried)
     score = F.when(F.col("empty"), F.lit(0.0)).otherwise(sig(F.col("t") + F.col("m") - F.lit(prior)))
     return all_rows.select("doc_id", sig(F.col("t")).alias("text_score"), sig(F.col("m")).alias("meta_score"),
-                           score.alias("score"), (~F.col("empty") & (score >= threshold)).alias("kept"))
+                           score.alias("score"), (~F.col("empty") & (score >= threshold)).alias("kept"), *carried)

@@ -5,12 +5,14 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from precedent.llm import minhash_dedup, queries
 from precedent.llm.components import components
 from precedent.llm.embedding_dedup import near_vectors
 from precedent.llm.exact_dedup import CuckooIndex, apply_changes, exact_dedup
+from precedent.llm.quality_cotraining import score_quality
 from precedent.llm.pfair_mix import mix_sources, mixed, schedule, shares
 from tests.conftest import SMOKE
 from tests.llm.test_text_operations import none, odd_docs
@@ -185,7 +187,44 @@ def test_pipeline_stages_and_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         rows = stage(spark, rows, SMOKE)
         assert rows.columns == odd_docs(spark).columns
-    assert rows.where("doc_id is null").count() == 2
+    left = [(r["doc_id"], r["text"]) for r in rows.collect()]  # null ids are decided like all others
+    assert len(left) == len({t for _, t in left}) and (None, None) not in left and sum(i == 1 for i, _ in left) <= 1
+
+
+def _stages(spark, rows, names=("exact_dedup", "near_dedup", "mixing")):
+    for name, stage in corpus_pipeline.STAGES:
+        if name in names:
+            rows = stage(spark, rows, SMOKE)
+    return rows
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
+    once = {(r["doc_id"], r["text"]) for r in _stages(spark, docs).collect()}
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs.repartition(2).write.mode("append").parquet(str(tmp_path / "docs"))
+    twice = _stages(spark, spark.read.parquet(str(tmp_path / "docs"))).collect()
+    assert len(twice) == len(once) and {(r["doc_id"], r["text"]) for r in twice} == once
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert len({r["text"].lower() for r in _stages(spark, nameless, ("exact_dedup",)).collect()}) == nameless.select(F.lower("text")).distinct().count()
+    assert _stages(spark, nameless).count() == len(once)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (1, "another text that shares the id and nothing else"), (2, " ".join(words)), (3, " ".join(words[:-1])),
+            (3, "a third one, with an id of its own copy")]
+    for add in ({}, {"_id": 1, "_slot": 2, "_at": 3, "__row": 4, "row": 5, "group": 6, "id": 7, "_metadata": 8}):
+        table = spark.createDataFrame([(*r, "s", *add.values()) for r in rows], ["doc_id", "text", "source", *add])
+        out = _stages(spark, table)
+        assert out.columns == table.columns
+        assert sorted(r["text"] for r in out.collect()) == sorted([rows[1][1], rows[4][1], rows[2][1]])
+
+
+def test_quality_takes_sizes_that_are_not_finite(spark):
+    docs = [(i, "good words of prose, again and again. " * (3 + i % 5) if i % 2 else "@@## 1 2 3 %% " * 9, "s", "en",
+             [float("nan"), float("inf"), -5.0, 100.0, None][i % 5]) for i in range(60)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = score_quality(table, labels).collect()
+    assert len(got) == 60 and all(r["kept"] == bool(r["doc_id"] % 2) for r in got)
 
 
 def test_pipeline_result_carries_the_mixture(spark, tmp_path):
@@ -213,4 +252,4 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     assert set(queries.QUERIES) <= set(entry.queries()) and set(queries.ORACLE) <= set(entry.oracle_sql())
-    assert [int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")] == list(range(1, 14))
