@@ -48,6 +48,7 @@ def vector_status(v, dim: int | None = None, metric: str = "sql2") -> Column:
     st = (
         F.when(c.isNull(), F.lit("null_vector"))
         .when(F.exists(c, lambda x: x.isNull() | F.isnan(x)), F.lit("null_element"))
+        .when(F.exists(c, lambda x: F.abs(x) == float("inf")), F.lit("not_finite"))
     )
     if dim is not None:
         st = st.when(F.size(c) != F.lit(dim), F.lit("wrong_length"))

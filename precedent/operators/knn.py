@@ -1,22 +1,21 @@
 """Exact nearest-neighbour search of a query table against a case table.
 
-Plan shape (no cross join, no pair explosion):
-
-  queries --one count per vector length--> blocks bounded in rows and bytes
-        --collect one block as Arrow--> broadcast
-  cases --scan (id, vector, route labels only)--> mapInArrow: per partition,
-        numpy block product against the broadcast block, running top-k per
-        (query, route) kept across Arrow batches --> Q*sum(k) rows per partition
-  all blocks --shuffle on query--> row_number <= k (WindowGroupLimit)
-
-Only per-partition top-k rows of the cases are shuffled. A query table of more
-than one block is written once below the shared folder, a folder per block; the
-driver then holds one block at a time: it collects the block, writes that
-block's partial rows to a table and releases the broadcast. Each block is one
-pass over the cases. Ids may be integers or text and keep their kind.
-Ranking order is (distance, id); distances of kept candidates are recomputed
-directly from the difference so near-ties rank the same way as a plain
-per-pair evaluation.
+Plan shape (no cross join, no pair explosion, no query row on the driver):
+
+  queries --numbered by group g of at most a block, sent to each case shard s--+
+  cases   --dealt to a shard s by id, sent to each query group g---------------+
+     --partition (g, s), queries first--> mapInArrow: the group's queries are
+       held, the shard's cases stream past in Arrow batches; numpy block products
+       with a running top-k per (query, route)
+     --shuffle on query--> row_number <= k (WindowGroupLimit)
+
+A query table within ``broadcast_rows`` is broadcast instead, after a count of its
+rows and bytes, and the cases are scanned without a shuffle. Both ways run the same
+code in the tasks: queries and cases meet by vector length, and on a filtered
+route a tile holds the cases and the queries of one label only. Ids may be
+integers or text and keep their kind. Ranking order is (distance, id); distances
+of kept candidates are recomputed directly from the difference so near-ties rank
+the same way as a plain per-pair evaluation.
 """
 
 from __future__ import annotations
@@ -33,13 +32,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from precedent.session import scratch_dir, spread
+from precedent.session import spread
 
 METRICS = ("sql2", "cosine")
 
-# Bounds on one broadcast query block (rows and bytes of float64 vectors).
+# Bounds on the queries that a task holds (rows and bytes of float64 vectors), on
+# those of a table that is broadcast, and on the cases of a shard.
 MAX_BLOCK_ROWS = 16384
 MAX_BLOCK_BYTES = 128 << 20
+MAX_BROADCAST_ROWS = 4096
+MAX_BROADCAST_BYTES = 32 << 20
+SHARD_ROWS = 4_000_000
 # Tile sizes inside a task: the distance tile is CASE_TILE x QUERY_TILE doubles.
 CASE_TILE = 4096
 QUERY_TILE = 2048
@@ -60,22 +63,20 @@ class Route:
         return self.case_col is not None
 
 
-def _as_matrix(arr, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """list<float> Arrow column -> (float64 matrix of valid rows, row mask).
-    Null rows, wrong lengths and null/NaN elements are invalid."""
+def _by_length(arr) -> list[tuple[np.ndarray, np.ndarray]]:
+    """list<float> Arrow column -> (row numbers, float64 matrix) per vector length.
+    Null and empty rows and rows with null or non-finite elements are left out."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
-    lens = arr.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    valid = lens == dim
-    if not valid.any():
-        return np.empty((0, dim)), valid
-    sub = arr if valid.all() else arr.filter(pa.array(valid))
-    mat = sub.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    bad = np.isnan(mat).any(axis=1)
-    if bad.any():
-        valid[np.nonzero(valid)[0][bad]] = False
-        mat = mat[~bad]
-    return mat, valid
+    lens = arr.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out = []
+    for dim in np.unique(lens[lens > 0]).tolist():
+        rows = np.flatnonzero(lens == dim)
+        sub = arr if len(rows) == len(arr) else arr.take(pa.array(rows))
+        mat = sub.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        ok = np.isfinite(mat).all(axis=1)
+        out.append((rows, mat) if ok.all() else (rows[ok], mat[ok]))
+    return out
 
 
 def _pair_distance(c: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -151,99 +152,159 @@ def _id_type(df: DataFrame, col: str) -> T.DataType:
     return T.LongType() if isinstance(kind, T.IntegralType) else T.StringType()
 
 
-def _as_text(ids: np.ndarray) -> np.ndarray:
-    return np.array([str(v) for v in ids], dtype=object)
+
+class Block:
+    """Queries of one vector length with their best cases so far."""
+
+    def __init__(self, qids, qmat, labels: list, routes: tuple[Route, ...], metric: str, names_type, exclude_self: bool):
+        self.qids, self.qmat, self.routes, self.metric = qids, qmat, routes, metric
+        self.qn2 = np.einsum("ij,ij->i", qmat, qmat)
+        self.best = [(np.full((r.k, len(qids)), np.inf), np.full((r.k, len(qids)), -1, dtype=np.int64)) for r in routes]
+        # filtered routes: the queries of each label
+        self.of_label = [None if col is None else {v: np.asarray(i) for v, i in pd.Series(np.arange(len(qids))).groupby(
+            pd.Series(col, dtype=object)).groups.items()} for col in labels]
+        # Candidates are held as positions in ``names``, the ascending ids of the kept
+        # candidates and the current batch: position order is id order.
+        self.names = np.empty(0, dtype=names_type)
+        self.column = dict(zip(qids.tolist(), range(len(qids)))) if exclude_self else {}
+        self.products = 0
+
+    def meet(self, ids: np.ndarray, mat: np.ndarray, labels: list, keys) -> None:
+        """Cases of a batch; ``keys`` are their ids in the kind of query ids."""
+        n2 = np.einsum("ij,ij->i", mat, mat)
+        if self.metric == "cosine" and not n2.all():
+            some = n2 > 0
+            ids, mat, n2, keys = ids[some], mat[some], n2[some], keys[some]
+            labels = [None if c is None else c[some] for c in labels]
+        if not len(ids):
+            return
+        used = np.unique(np.concatenate([i[i >= 0] for _, i in self.best]))
+        recode = np.full(len(self.names) + 1, -1, dtype=np.int64)
+        self.names, place = np.unique(np.concatenate([self.names[used], ids]), return_inverse=True)
+        recode[used] = place[: len(used)]
+        self.best = [(d, recode[i]) for d, i in self.best]
+        codes = place[len(used) :]
+        own = np.array([self.column.get(k, -1) for k in keys.tolist()], np.int64) if self.column else None
+        for r, route in enumerate(self.routes):
+            if not route.filtered:
+                self._tiles(r, np.arange(len(ids)), np.arange(len(self.qids)), mat, n2, codes, own)
+                continue
+            for label, rows in pd.Series(np.arange(len(ids))).groupby(pd.Series(labels[r], dtype=object)).groups.items():
+                if (cols := self.of_label[r].get(label)) is not None:
+                    self._tiles(r, np.asarray(rows), cols, mat, n2, codes, own)
+
+    def _tiles(self, r, rows, cols, mat, n2, codes, own):
+        best_d, best_i = self.best[r]
+        k = self.routes[r].k
+        for c0 in range(0, len(rows), CASE_TILE):
+            c = rows[c0 : c0 + CASE_TILE]
+            for q0 in range(0, len(cols), QUERY_TILE):
+                q = cols[q0 : q0 + QUERY_TILE]
+                self.products += len(c) * len(q)
+                tile = _block_distance(mat[c], self.qmat[q], n2[c], self.qn2[q], self.metric)
+                if own is not None:
+                    at = np.searchsorted(q, own[c])  # columns ascend
+                    hit = np.flatnonzero((at < len(q)) & (q[np.minimum(at, len(q) - 1)] == own[c]))
+                    tile[hit, at[hit]] = np.inf
+                new_d, new_i = _tile_topk(tile, mat[c], self.qmat[q], codes[c], k, self.metric)
+                best_d[:, q], best_i[:, q] = _merge(best_d[:, q], best_i[:, q], new_d, new_i, k)
+
+    def rows(self, partial: pa.Schema) -> pa.RecordBatch:
+        cols = ([], [], [], [])
+        for r, (d, i) in enumerate(self.best):
+            rank, at = np.nonzero(np.isfinite(d) & (i >= 0))
+            cols[0].append(self.qids[at])
+            cols[1].append(np.full(len(at), r + 1, dtype=np.int32))
+            cols[2].append(self.names[i[rank, at]])
+            cols[3].append(d[rank, at])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=f.type) for c, f in zip(cols, partial)], schema=partial)
+
+
+class Meeting:
+    """The blocks of a task, one per vector length, and the cases that meet them."""
+
+    def __init__(self, routes, metric, exclude_self, q_cols, c_cols, partial: pa.Schema):
+        self.routes, self.metric, self.exclude_self, self.partial = routes, metric, exclude_self, partial
+        self.q_at = [q_cols.index(r.query_col) if r.filtered else None for r in routes]
+        self.c_at = [c_cols.index(r.case_col) if r.filtered else None for r in routes]
+        case_type, self.query_type = partial.field("id").type, partial.field("query_id").type
+        self.case_kind = np.int64 if pa.types.is_integer(case_type) else object
+        self.same_kind = case_type == self.query_type
+        self.blocks: dict[int, Block] = {}
+
+    def add_queries(self, table) -> None:
+        """Columns: id, vector, label columns."""
+        ids = table.column(0).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(0).to_numpy()
+        cols = [np.asarray(table.column(2 + j).to_pylist(), dtype=object) for j in range(table.num_columns - 2)]
+        for rows, mat in _by_length(table.column(1)):
+            if self.metric == "cosine":
+                some = np.einsum("ij,ij->i", mat, mat) > 0
+                rows, mat = rows[some], mat[some]
+            if len(rows):
+                labels = [None if j is None else cols[j][rows] for j in self.q_at]
+                self.blocks[mat.shape[1]] = Block(ids[rows], mat, labels, self.routes, self.metric, self.case_kind, self.exclude_self)
+
+    def add_cases(self, batch) -> None:
+        """Columns: id, vector, label columns."""
+        if not batch.num_rows or not self.blocks:
+            return
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(self.case_kind)
+        labels: list | None = None
+        for rows, mat in _by_length(batch.column(1)):
+            block = self.blocks.get(mat.shape[1])
+            if block is None or not len(rows):
+                continue
+            if labels is None:
+                labels = [None if j is None else np.asarray(batch.column(2 + j).to_pylist(), dtype=object) for j in self.c_at]
+            keys = ids[rows] if self.same_kind else np.array([str(v) for v in ids[rows]], dtype=object)
+            block.meet(ids[rows], mat, [None if c is None else c[rows] for c in labels], keys)
+
+    def rows(self):
+        for dim in sorted(self.blocks):
+            yield self.blocks[dim].rows(self.partial)
 
 
-def _make_task(bc, routes: tuple[Route, ...], metric: str, exclude_self: bool, dim: int, partial: pa.Schema):
-    case_type, query_type = partial.field("id").type, partial.field("query_id").type
-    same_kind = case_type == query_type
+def _broadcast_task(bc, new_meeting):
+    """Cases of a partition against the broadcast queries."""
 
     def task(batches):
-        blk = bc.value
-        qids, qmat = blk["qids"], blk["qmat"]
-        qn2 = np.einsum("ij,ij->i", qmat, qmat)
-        qkeys = qids if same_kind else _as_text(qids)
-        order = np.argsort(qkeys, kind="stable")
-        sorted_qids = qkeys[order]
-        nq = len(qids)
-        # Candidates are held as positions in ``names``, the ascending ids of
-        # the kept candidates and the current batch: position order is id order.
-        names = np.empty(0, dtype=np.int64 if pa.types.is_integer(case_type) else object)
-        best = [(np.full((r.k, nq), np.inf), np.full((r.k, nq), -1, dtype=np.int64)) for r in routes]
-        label_index = [pd.Index(c) for c in blk["cats"]]
+        meeting = new_meeting()
+        meeting.add_queries(bc.value)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            mat, valid = _as_matrix(batch.column(1), dim)
-            cn2 = np.einsum("ij,ij->i", mat, mat)
-            if metric == "cosine":
-                nz = cn2 > 0
-                valid[np.nonzero(valid)[0][~nz]] = False
-                mat, cn2 = mat[nz], cn2[nz]
-            rows = np.nonzero(valid)[0]
-            if len(rows) == 0:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[rows].astype(names.dtype)
-            used = np.unique(np.concatenate([bi[bi >= 0] for _, bi in best]))
-            recode = np.full(len(names) + 1, -1, dtype=np.int64)
-            names, place = np.unique(np.concatenate([names[used], ids]), return_inverse=True)
-            recode[used] = place[: len(used)]
-            best = [(bd, recode[bi]) for bd, bi in best]
-            codes_of_ids = place[len(used) :]
-            codes = [
-                idx.get_indexer(batch.column(2 + j).to_pandas().iloc[rows].astype(object)) if len(idx) else np.full(len(rows), -1)
-                for j, idx in enumerate(label_index)
-            ]
-            # self matches: a case whose id equals a query id
-            keys = ids if same_kind else _as_text(ids)
-            pos = np.minimum(np.searchsorted(sorted_qids, keys), nq - 1)
-            hit = sorted_qids[pos] == keys
-            self_rows = np.nonzero(hit)[0]
-            self_cols = order[pos[hit]]
-            for c0 in range(0, len(ids), CASE_TILE):
-                c1 = min(len(ids), c0 + CASE_TILE)
-                ct, it, n2 = mat[c0:c1], codes_of_ids[c0:c1], cn2[c0:c1]
-                for q0 in range(0, nq, QUERY_TILE):
-                    q1 = min(nq, q0 + QUERY_TILE)
-                    dt = _block_distance(ct, qmat[q0:q1], n2, qn2[q0:q1], metric)
-                    if exclude_self and len(self_rows):
-                        sel = (self_rows >= c0) & (self_rows < c1) & (self_cols >= q0) & (self_cols < q1)
-                        dt[self_rows[sel] - c0, self_cols[sel] - q0] = np.inf
-                    for r, route in enumerate(routes):
-                        if route.filtered:
-                            j = blk["route_label"][r]
-                            mask = codes[j][c0:c1, None] == blk["qcodes"][r][None, q0:q1]
-                            dr = np.where(mask, dt, np.inf)
-                        else:
-                            dr = dt
-                        nd, ni = _tile_topk(dr, ct, qmat[q0:q1], it, route.k, metric)
-                        bd, bi = best[r]
-                        md, mi = _merge(bd[:, q0:q1], bi[:, q0:q1], nd, ni, route.k)
-                        bd[:, q0:q1] = md
-                        bi[:, q0:q1] = mi
-        cols = ([], [], [], [])
-        for r, (bd, bi) in enumerate(best):
-            rr, cc = np.nonzero(np.isfinite(bd) & (bi >= 0))
-            cols[0].append(qids[cc])
-            cols[1].append(np.full(len(cc), r + 1, dtype=np.int32))
-            cols[2].append(names[bi[rr, cc]])
-            cols[3].append(bd[rr, cc])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(c), type=field.type) for c, field in zip(cols, partial)
-            ],
-            schema=partial,
-        )
+            meeting.add_cases(batch)
+        yield from meeting.rows()
+
+    return task
+
+
+def _partition_task(new_meeting, n_q: int, n_c: int):
+    """Rows (is_case, then n_q query columns, then n_c case columns), queries first."""
+
+    def task(batches):
+        meeting, held = new_meeting(), []
+
+        def begin():
+            if held:
+                meeting.add_queries(pa.Table.from_batches(held).combine_chunks())
+                held.clear()
+
+        for batch in batches:
+            first = int(np.searchsorted(batch.column(0).to_numpy(zero_copy_only=False), True))
+            if first:
+                held.append(pa.RecordBatch.from_arrays(batch.columns[1 : 1 + n_q], names=batch.schema.names[1 : 1 + n_q]).slice(0, first))
+            if first < batch.num_rows:
+                begin()
+                meeting.add_cases(pa.RecordBatch.from_arrays(batch.columns[1 + n_q :], names=batch.schema.names[1 + n_q :]).slice(first))
+        yield from meeting.rows()
 
     return task
 
 
 def vector_ok(col: str, dim: int | None = None, metric: str = "sql2"):
-    """Column predicate: vector present, of length ``dim`` (when given), no null
-    element and, for cosine, a non-zero norm."""
+    """Column predicate: vector present, of length ``dim`` (when given), all elements
+    finite and, for cosine, a non-zero norm."""
     c = F.col(col)
-    cond = c.isNotNull() & (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    cond = c.isNotNull() & (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     if dim is not None:
         cond = cond & (F.size(c) == F.lit(dim))
     if metric == "cosine":
@@ -252,24 +313,7 @@ def vector_ok(col: str, dim: int | None = None, metric: str = "sql2"):
 
 
 def _collect_block(df: DataFrame) -> pa.Table:
-    return df.toArrow()
-
-
-def _block(t: pa.Table, routes: tuple[Route, ...], label_cols: list[str], dim: int) -> dict:
-    """One query block as arrays, its label values as dense codes per case
-    label column."""
-    ids = t.column("qid").to_numpy()
-    vectors = t.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    codes_of: list[dict] = [{} for _ in label_cols]
-    qcodes, route_label = {}, {}
-    for r, route in enumerate(routes):
-        if route.filtered:
-            j = route_label[r] = label_cols.index(route.case_col)
-            vals = t.column(f"ql_{route.query_col}").to_pylist()
-            code = [-2 if v is None else codes_of[j].setdefault(v, len(codes_of[j])) for v in vals]
-            qcodes[r] = np.array(code, dtype=np.int64)
-    return {"qids": ids, "qmat": vectors.reshape(-1, dim), "cats": [list(m) for m in codes_of], "qcodes": qcodes,
-            "route_label": route_label}
+    return df.toArrow().combine_chunks()
 
 
 def nearest(
@@ -286,15 +330,18 @@ def nearest(
     dim: int | None = None,
     max_block_rows: int = MAX_BLOCK_ROWS,
     max_block_bytes: int = MAX_BLOCK_BYTES,
+    broadcast_rows: int = MAX_BROADCAST_ROWS,
     with_bound: bool = False,
 ) -> DataFrame | tuple[DataFrame, int]:
     """Top-k cases per (query, route), long form
     ``(query_id, route, rank, id, distance)``; route numbers follow ``routes``
-    order starting at 1. Query ids must be unique; invalid query vectors get
-    no rows, and so do vectors of another length than ``dim`` (by default the
-    most common length of the whole query table; ties: the smallest). Runs one
-    count of the query table and a bounded collect; a query table of several
-    blocks is answered block by block when this function is called.
+    order starting at 1. Queries meet the cases of their own vector length (only
+    those of length ``dim``, if given). Query ids must be unique; queries whose vector
+    is null, empty or not finite (or zero, for cosine) get no rows, and neither do
+    those for which no case is left: ``retrieve.query_status`` names them. Runs one
+    aggregate of the query table (rows and components) and a count of the cases;
+    a query table of at most ``broadcast_rows`` rows (and 32 MB) is broadcast,
+    any other meets the cases in partitions of (query group, case shard).
     ``with_bound`` also returns the proven maximum row count of the result
     (queries x sum of k) for sizing a later broadcast, or None where text ids
     leave the size in bytes open."""
@@ -302,8 +349,8 @@ def nearest(
         raise ValueError(f"metric must be one of {METRICS}")
     routes = tuple(routes)
     spark: SparkSession = cases.sparkSession
-    label_cols = sorted({r.case_col for r in routes if r.filtered})
-    q_label_cols = sorted({r.query_col for r in routes if r.filtered})
+    c_cols = sorted({r.case_col for r in routes if r.filtered})
+    q_cols = sorted({r.query_col for r in routes if r.filtered})
     id_type, qid_type = _id_type(cases, case_id), _id_type(queries, query_id)
     schema = T.StructType([
         T.StructField("query_id", qid_type), T.StructField("route", T.IntegerType()),
@@ -312,46 +359,38 @@ def nearest(
     qsel = queries.select(
         F.col(query_id).cast(qid_type).alias("qid"),
         F.col(query_vec).alias("qvec"),
-        *[F.col(c).cast("string").alias(f"ql_{c}") for c in q_label_cols],
+        *[F.col(c).cast("string").alias(f"ql_{c}") for c in q_cols],
     ).where(vector_ok("qvec", dim, metric) & F.col("qid").isNotNull())
-    lens = qsel.groupBy(F.size("qvec").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n").first()
-    if lens is None:
-        empty = spark.createDataFrame([], schema).withColumn("rank", F.lit(0).cast("long")).select(
-            "query_id", "route", "rank", "id", "distance"
-        )
-        return (empty, 0) if with_bound else empty
-    dim, n_q = lens["n"], lens["rows"]
-    qsel = qsel.where(F.size("qvec") == dim)
-    rows_per_block = max(1, min(max_block_rows, max_block_bytes // (8 * dim)))
-
-    # a case table in fewer partitions than slots (one row group) is dealt out
-    csel = spread(cases.select(
+    n_q, components = qsel.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("qvec")), F.lit(0))).first()
+    csel = cases.select(
         F.col(case_id).cast(id_type).alias("cid"),
         F.col(case_vec).alias("cvec"),
-        *[F.col(c).cast("string").alias(f"cl_{c}") for c in label_cols],
-    ).where(F.col("cid").isNotNull() & (F.size("cvec") == dim)))
+        *[F.col(c).cast("string").alias(f"cl_{c}") for c in c_cols],
+    ).where(F.col("cid").isNotNull() & (F.size("cvec") > 0))
     arrow = to_arrow_schema(schema)
 
-    def search(block: pa.Table):
-        bc = spark.sparkContext.broadcast(_block(block, routes, label_cols, dim))
-        return csel.mapInArrow(_make_task(bc, routes, metric, exclude_self, dim, arrow), schema), bc
+    def new_meeting():
+        return Meeting(routes, metric, exclude_self, q_cols, c_cols, arrow)
 
-    if n_q <= rows_per_block:
-        partial, _ = search(_collect_block(qsel))
+    if n_q <= min(broadcast_rows, max_block_rows) and 8 * components <= min(MAX_BROADCAST_BYTES, max_block_bytes):
+        # a case table in fewer partitions than slots (one row group) is dealt out
+        bc = spark.sparkContext.broadcast(_collect_block(qsel))
+        partial = spread(csel).mapInArrow(_broadcast_task(bc, new_meeting), schema)
     else:
-        # a folder per hash block; a block that comes out over the bound is cut
-        blocks = math.ceil(n_q / rows_per_block * 1.25)
-        dealt = qsel.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-        path, found = scratch_dir(spark, "knn-queries"), scratch_dir(spark, "knn-partial")
-        dealt.repartition(blocks, "block").write.partitionBy("block").parquet(path)
-        stored = spark.read.schema(dealt.schema).parquet(path)
-        for b in range(blocks):
-            t = _collect_block(stored.where(F.col("block") == b).drop("block"))
-            for i in range(0, t.num_rows, rows_per_block):
-                rows, bc = search(t.slice(i, rows_per_block))
-                rows.write.mode("append").parquet(found)
-                bc.destroy()
-        partial = spark.read.schema(schema).parquet(found)
+        n_c, slots = cases.count(), spark.sparkContext.defaultParallelism
+        groups = max(1, math.ceil(n_q / max_block_rows), math.ceil(8 * components / max_block_bytes))
+        shards = max(1, math.ceil(n_c / SHARD_ROWS), min(math.ceil(slots / groups), n_c // CASE_TILE))
+        kind = "array<float>" if {d.dtypes[1][1] for d in (qsel, csel)} == {"array<float>"} else "array<double>"
+        own = F.pmod(F.xxhash64("qid", F.lit(1)), F.lit(groups))
+        q = qsel.withColumn("qvec", F.col("qvec").cast(kind)).withColumn("is_case", F.lit(False)).withColumn(
+            "to", F.explode(F.sequence(own * shards, own * shards + shards - 1)))
+        mine = F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(shards))
+        c = csel.withColumn("cvec", F.col("cvec").cast(kind)).withColumn("is_case", F.lit(True)).withColumn(
+            "to", F.explode(F.sequence(mine, mine + (groups - 1) * shards, F.lit(shards).cast("long"))))
+        columns = ["is_case", *qsel.columns, *csel.columns]
+        both = q.unionByName(c, allowMissingColumns=True).repartitionById(groups * shards, F.col("to").cast("int"))
+        partial = both.sortWithinPartitions("is_case").select(*columns).mapInArrow(
+            _partition_task(new_meeting, len(qsel.columns), len(csel.columns)), schema)
     w = Window.partitionBy("query_id", "route").orderBy("distance", "id")
     # a literal bound lets Spark plan WindowGroupLimit (partial top-k before
     # the shuffle); routes with a smaller k are trimmed after
@@ -380,11 +419,17 @@ def attach(
     """Join case payload columns back onto the hit list by id. Hit ids come
     from the case table, so an inner join loses nothing; with a proven bound
     the hits are broadcast and the case table is only scanned (its payload
-    columns never shuffle). Without a bound the planner / AQE decides."""
+    columns never shuffle). Without a bound the planner / AQE decides. Case ids
+    must be unique: a hit on an id that several case rows carry fails the job."""
     payload = cases.select(F.col(case_id).cast(hits.schema["id"].dataType).alias("id"), *[F.col(c) for c in (cols or [])])
     if broadcastable(max_hits):
-        return payload.join(F.broadcast(hits), "id", "inner").select(*hits.columns, *(cols or []))
-    return hits.join(payload, "id", "left")
+        joined = payload.join(F.broadcast(hits), "id", "inner").select(*hits.columns, *(cols or []))
+    else:
+        joined = hits.join(payload, "id", "left")
+    same = [c for c in ("query_id", "route", "rank", "id") if c in hits.columns]
+    error = F.raise_error(F.concat(F.lit("several cases with the id "), F.col("id").cast("string"))).cast("boolean")
+    counted = joined.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*same)))
+    return counted.where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(error)).drop("_n")
 
 
 # Functions of this module run inside Python workers (mapInArrow/mapInPandas);

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from precedent.functions.vectors import normalise
+from precedent.functions.vectors import normalise, vector_status
 from precedent.operators.knn import Route, attach, broadcastable, nearest
 
 GATE_THRESHOLD = 0.65
@@ -137,9 +137,17 @@ def gate(results: DataFrame, threshold: float = GATE_THRESHOLD, message: str = R
     )
 
 
-def passed(results: DataFrame, gated: DataFrame) -> DataFrame:
-    """Matches of the queries that passed the gate (refused ones have none)."""
-    return results.join(gated.where(F.col("status") == "ok").select("query_id"), "query_id", "left_semi")
+def query_status(queries: DataFrame, hits: DataFrame, *, query_id: str = "query_id", query_vec: str = "embedding",
+                 metric: str = "sql2") -> DataFrame:
+    """One row per query: (query_id, status, reason). ``error`` for a vector that
+    cannot be searched (see ``vector_status``) and for a query without hits
+    ('no_case': no case of its vector length or label is left), else ``ok``."""
+    found = hits.select(F.col("query_id").alias("_hit")).distinct()
+    state = vector_status(query_vec, metric=metric)
+    own = queries.select(F.col(query_id).cast(hits.schema["query_id"].dataType).alias("query_id"), state.alias("_state"))
+    reason = F.when(F.col("_state") != "ok", F.col("_state")).when(F.col("_hit").isNull(), F.lit("no_case"))
+    return own.join(found, F.col("query_id") == F.col("_hit"), "left").select(
+        "query_id", F.when(reason.isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"), reason.alias("reason"))
 
 
 def matched_names(results: DataFrame, name_col: str = "company_name", missing: str = "N/A") -> DataFrame:

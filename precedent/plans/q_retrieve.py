@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from precedent.functions.vectors import normalise
 from precedent.operators import retrieve as R
 from precedent.plans.catalog import register
-from precedent.plans.tables import CASES_SQL, QUERIES_SQL, cases, pairs_sql, queries, read
+from precedent.plans.tables import CASES_SQL, QUERIES_SQL, cases, pairs_sql, queries, read, sql_sq_l2
 
 WITH = f"WITH {CASES_SQL},\n{QUERIES_SQL}"
 
@@ -29,6 +29,41 @@ def retrieve_topk(spark, d):
     return _round(out).select("query_id", "rank", "id", "company_name", "distance")
 
 
+# ---------------------------------------------------------------- J8, R1: lengths and status
+def _damaged(df, key, vec="embedding"):
+    """Half-length vectors for every fifth row; null, empty, non-finite and odd-length ones."""
+    v, i = F.col(vec), F.col(key)
+    return df.withColumn(vec, F.when(i % 5 == 1, F.slice(v, 1, 32)).when(i % 35 == 2, F.lit(None)).when(i % 35 == 3, F.slice(v, 1, 0))
+                         .when(i % 35 == 4, F.concat(F.array(F.lit("inf").cast("float")), F.slice(v, 2, 63)))
+                         .when(i % 35 == 7, F.slice(v, 1, 7)).otherwise(v))
+
+
+def _damaged_sql(key):
+    return f"""CASE WHEN {key} % 5 = 1 THEN embedding[1:32] WHEN {key} % 35 = 2 THEN NULL WHEN {key} % 35 = 3 THEN embedding[1:0]
+      WHEN {key} % 35 = 4 THEN list_concat(['inf'::FLOAT], embedding[2:64]) WHEN {key} % 35 = 7 THEN embedding[1:7] ELSE embedding END"""
+
+
+@register(
+    "retrieve_status",
+    WITH + f""",
+q AS (SELECT query_id, {_damaged_sql('query_id')} AS v FROM queries),
+c AS (SELECT id, CASE WHEN id % 5 = 1 THEN embedding[1:32] ELSE embedding END AS v FROM cases),
+s AS (SELECT *, CASE WHEN v IS NULL THEN 'null_vector' WHEN len(list_filter(v, lambda x: NOT isfinite(x))) > 0 THEN 'not_finite'
+      WHEN len(v) = 0 THEN 'wrong_length' END AS bad FROM q),
+p AS (SELECT s.query_id, c.id, {sql_sq_l2('s.v', 'c.v')} AS d FROM s JOIN c ON len(s.v) = len(c.v) AND c.id <> s.query_id WHERE bad IS NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM p QUALIFY rank <= 2)
+SELECT s.query_id, CASE WHEN bad IS NULL AND rank IS NOT NULL THEN 'ok' ELSE 'error' END AS status,
+  CASE WHEN bad IS NOT NULL THEN bad WHEN rank IS NULL THEN 'no_case' END AS reason, rank, id, round(d, 4) AS distance
+FROM s LEFT JOIN t USING (query_id)""",
+)
+def retrieve_status(spark, d):
+    q = _damaged(queries(spark, d), "query_id")
+    c = cases(spark, d).withColumn("embedding", F.when(F.col("id") % 5 == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+    hits = R.topk(c, q, k=2, exclude_self=True)
+    return _round(R.query_status(q, hits).join(hits, "query_id", "left")).select(
+        "query_id", "status", "reason", "rank", "id", "distance")
+
+
 # ---------------------------------------------------------------- R2
 @register(
     "retrieve_filtered_top1",

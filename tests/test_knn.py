@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,7 +139,7 @@ def test_distances_equal_per_pair_expression(spark, metric):
     assert check.agg(F.max("err")).first()[0] < 1e-12
 
 
-def test_dimension_from_the_common_length(spark):
+def test_a_length_without_cases_has_no_rows(spark):
     cases = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], "id long, embedding array<float>")
     queries = spark.createDataFrame([(10, [1.0, 2.0]), (11, [0.9, 0.1, 0.0]), (12, [0.1, 0.9, 0.0])],
                                     "query_id long, embedding array<float>")
@@ -153,35 +154,69 @@ def test_many_case_partitions(spark):
     assert "Coalesce " not in hits._jdf.queryExecution().executedPlan().toString()
 
 
-def test_mixed_lengths_do_not_depend_on_the_block_size(spark):
-    _, _, _, cases, queries = _tables(spark, q=40)
-    short = spark.createDataFrame([(i, [1.0, 2.0], "L0") for i in range(15)], queries.schema)
+def test_every_length_is_answered_whatever_the_blocks(spark):
+    cv, _, qv, cases, queries = _tables(spark, q=40)
+    short = spark.createDataFrame([(i, [1.0, 2.5], "L0") for i in range(15)], queries.schema)
     mixed = short.unionByName(queries)
     whole = _got(knn.nearest(cases, mixed, [knn.Route(2)]))
-    assert len(whole) == 40
+    assert {q: h for q, h in whole.items() if q >= 100} == _brute(cv, qv, 2)
+    assert {q: h for q, h in whole.items() if q < 100} == {i: [(1001, 0.25)] for i in range(15)}
     for n in (1, 7, 16):
         assert _got(knn.nearest(cases, mixed, [knn.Route(2)], max_block_rows=n)) == whole
     assert _got(knn.nearest(cases, mixed, [knn.Route(2)], max_block_bytes=8 * 8 * 5)) == whole
+    only = _got(knn.nearest(cases, mixed, [knn.Route(2)], dim=8, broadcast_rows=0))
+    assert only == {q: h for q, h in whole.items() if q >= 100}
 
 
-def test_the_driver_holds_one_block(spark, monkeypatch):
-    import gc
-    import weakref
-
-    _, _, _, cases, queries = _tables(spark, q=60)
-    held, most, collect = [], [], knn._collect_block
-
-    def counted(df):
-        gc.collect()
-        most.append(sum(ref() is not None for ref in held))
-        t = collect(df)
-        held.append(weakref.ref(t))
-        return t
-
-    monkeypatch.setattr(knn, "_collect_block", counted)
-    got = _got(knn.nearest(cases, queries, [knn.Route(1)], max_block_rows=16))
-    assert len(got) == 60 and len(held) == 5
-    assert max(most) <= 1  # the one that the next block replaces
+@pytest.mark.parametrize("metric", ["sql2", "cosine"])
+def test_no_query_row_reaches_the_driver(spark, monkeypatch, metric):
+    cv, labels, qv, cases, queries = _tables(spark, n=500, q=60)
+    routes = [knn.Route(2), knn.Route(1, "industry", "q_industry")]
+    small = sorted(map(tuple, knn.nearest(cases, queries, routes, metric=metric).collect()))
+    monkeypatch.setattr(knn, "_collect_block", None)
+    monkeypatch.setattr(knn, "CASE_TILE", 64)  # so that the cases are dealt to several shards
+    for n in (7, 16, 1000):
+        hits = knn.nearest(cases.repartition(3), queries, routes, metric=metric, max_block_rows=n, broadcast_rows=0)
+        rows = sorted(map(tuple, hits.collect()))
+        assert [r[:4] for r in rows] == [r[:4] for r in small] and np.allclose([r[4] for r in rows], [r[4] for r in small])
+
+
+def test_a_filtered_route_multiplies_one_label_at_a_time():
+    rng = np.random.default_rng(3)
+    partial = pa.schema([("query_id", pa.int64()), ("route", pa.int32()), ("id", pa.int64()), ("distance", pa.float64())])
+    column = lambda n, labels: [pa.array(range(n)), pa.array(rng.normal(size=(n, 6)).tolist(), pa.list_(pa.float32())), pa.array(labels)]
+    q_labels, c_labels = ["a"] * 30 + ["b"] * 5 + [None] * 10, ["a"] * 20 + ["b"] * 60 + ["c"] * 500 + [None] * 40
+    q, c = column(45, q_labels), column(620, c_labels)
+    meeting = knn.Meeting((knn.Route(1, "l", "l"),), "sql2", False, ["l"], ["l"], partial)
+    meeting.add_queries(pa.RecordBatch.from_arrays(q, ["i", "v", "l"]))
+    meeting.add_cases(pa.RecordBatch.from_arrays(c, ["i", "v", "l"]))
+    assert meeting.blocks[6].products == 30 * 20 + 5 * 60
+    got = {r["query_id"]: r["id"] for b in meeting.rows() for r in b.to_pylist()}
+    x, y = (np.array(t[1].to_pylist(), np.float64) for t in (q, c))
+    same = np.array([[a is not None and a == b for b in c_labels] for a in q_labels])
+    d = np.where(same, ((x[:, None] - y[None]) ** 2).sum(axis=2), np.inf)
+    assert got == {i: int(d[i].argmin()) for i in range(35)}
+
+
+def test_status_of_every_query(spark):
+    cases = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("inf"), 0.0]), (3, [0.0, 0.0])], "id long, embedding array<float>")
+    nan, inf = float("nan"), float("inf")
+    rows = [(10, [1.0, 0.5]), (11, None), (12, []), (13, [nan, 1.0]), (14, [inf, 1.0]), (15, [1.0]), (16, [0.0, 0.0]), (17, [None, 1.0])]
+    queries = spark.createDataFrame(rows, "query_id long, embedding array<float>")
+    for n in (0, 4096):
+        hits = knn.nearest(cases, queries, [knn.Route(2)], metric="cosine", broadcast_rows=n)
+        got = {r.query_id: (r.status, r.reason) for r in R.query_status(queries, hits, metric="cosine").collect()}
+        assert got == {10: ("ok", None), 11: ("error", "null_vector"), 12: ("error", "wrong_length"), 13: ("error", "null_element"),
+                       14: ("error", "not_finite"), 15: ("error", "no_case"), 16: ("error", "zero_vector"), 17: ("error", "null_element")}
+        assert [r.id for r in hits.collect()] == [1]
+
+
+def test_a_repeated_case_id_fails_where_payload_is_joined(spark):
+    cases = spark.createDataFrame([(1, [1.0, 0.0], "a"), (1, [0.9, 0.0], "b"), (2, [5.0, 5.0], "c"), (2, [9.0, 9.0], "d")],
+                                  "id long, embedding array<float>, company_name string")
+    queries = spark.createDataFrame([(10, [1.0, 0.0])], "query_id long, embedding array<float>")
+    with pytest.raises(Exception, match="several cases with the id 1"):
+        R.topk(cases, queries, k=2, payload=["company_name"]).collect()
 
 
 @pytest.mark.parametrize("block", [4, 16384])
