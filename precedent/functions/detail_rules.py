@@ -9,6 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from precedent.functions.jsonx import _bind
+from precedent.functions.selectors import first_inside, select
+
 # Label words, amount patterns, section keywords and outcome
 # keywords/pattern/default of the detail-page rules, in their order.
 INDUSTRY_LABELS = ["Industry", "Sector", "Category", "行业"]
@@ -23,6 +26,11 @@ OUTCOME_KEYWORDS = ["Outcome", "Status", "Result", "What happened", "Shut down",
 OUTCOME_PATTERN = r"(shut ?down|closed|ceased|bankrupt|acquired by|pivoted|dissolved).*?\."
 OUTCOME_DEFAULT = "Shut down (details unavailable)"
 HEADINGS = ["h1", "h2", "h3", "h4"]
+# Where a page's body is, and the parts of a list card.
+BODY = "article p, .rich-text p, .w-richtext p, main p"
+CARD_HEADING = "h2, h3, h4, [class*='heading'], [class*='name'], [class*='title']"
+CARD_INDUSTRY = "[class*='tag'], [class*='category'], [class*='industry']"
+CARD_SNIPPET = "p, [class*='description'], [class*='excerpt']"
 
 _FLAGS = "(?iud)"  # any case, Unicode, and only \n ends a line
 
@@ -45,47 +53,93 @@ def _whole(texts: Column) -> Column:
     return F.array_join(F.transform(texts, lambda t: t["value"]), "")
 
 
-def _at_label(texts: Column, pattern: str, value: Callable[[Column], Column]) -> Column:
-    """``value`` of the first text that matches; null when none does."""
-    hits = F.filter(texts, lambda t: t["value"].rlike(_FLAGS + pattern))
-    return F.get(F.transform(F.slice(hits, 1, 1), value), F.lit(0))
+def page_text(texts: Column) -> Column:
+    """All text of a page; ``page`` of the rules."""
+    return _whole(texts)
+
+
+def labelled(texts: Column) -> Column:
+    """The texts that hold any label or keyword of any rule, so that each text is
+    searched once; ``hits`` of the rules."""
+    words = [*INDUSTRY_LABELS, *FUNDING_LABELS, *REASON_KEYWORDS, *OUTCOME_KEYWORDS]
+    return F.filter(texts, lambda t: t["value"].rlike(_FLAGS + "|".join(f"(?:{w})" for w in words)))
+
+
+def _at_labels(hits: Column, words: list[str], value: Callable[[Column, Column], Column]) -> Column:
+    """array of ``value(word, first text that matches the word)`` in the order of the
+    words, without nulls; ``value`` gives null for a null text. One expression for all
+    words, so that a rule is built and analysed once."""
+
+    def first(word: Column) -> Column:
+        return F.get(F.filter(hits, lambda t: F.rlike(t["value"], F.concat(F.lit(_FLAGS), word))), F.lit(0))
+
+    each = F.transform(F.array(*[F.lit(w) for w in words]), lambda w: _bind(first(w), lambda t: value(w, t)))
+    return F.filter(each, lambda v: v.isNotNull())
+
+
+def text_of(texts: Column, e: Column) -> Column:
+    """Text of an element: its text nodes stripped, empty ones left out, joined; null
+    for no element."""
+    return F.when(e.isNotNull(), _joined(texts, e["lo"], e["hi"]))
 
 
-def labelled_value(texts: Column, preview: Column) -> Column:
+def first_text(texts: Column, elements: Column, tag: str) -> Column:
+    """Text of the first element of a kind; '' without one."""
+    first = F.get(F.filter(elements, lambda e: e["tag"] == tag), F.lit(0))
+    return F.coalesce(_bind(first, lambda e: text_of(texts, e)), F.lit(""))
+
+
+def title(texts: Column, elements: Column) -> Column:
+    """Text of the first h1; '' without one."""
+    return first_text(texts, elements, "h1")
+
+
+def body(texts: Column, elements: Column, least: int, most: int) -> Column:
+    """The first ``most`` paragraphs of BODY longer than ``least``, joined by a space."""
+    told = F.transform(select(elements, BODY), lambda e: text_of(texts, e))
+    return F.array_join(F.slice(F.filter(told, lambda t: F.length(t) > least), 1, most), " ")
+
+
+def card(texts: Column, elements: Column, e: Column, name_chars: int) -> Column:
+    """(href, name, industry, snippet) of a card; '' for what it doesn't have, and its
+    own text, cut, for a missing name."""
+    part = lambda selector: F.coalesce(_bind(first_inside(elements, e, selector), lambda x: text_of(texts, x)), F.lit(""))
+    name = _bind(part(CARD_HEADING), lambda n: F.when(n != "", n).otherwise(F.substring(text_of(texts, e), 1, name_chars)))
+    return F.struct(F.coalesce(e["href"], F.lit("")).alias("href"), name.alias("name"), part(CARD_INDUSTRY).alias("industry"),
+                    part(CARD_SNIPPET).alias("snippet"))
+
+
+def labelled_value(texts: Column, hits: Column, preview: Column) -> Column:
     """A set preview value; else, at the first label found, the text of the
     holder's next sibling (even if empty), or the holder's own text without the
     label if anything is left of it."""
 
-    def value(label: str) -> Callable[[Column], Column]:
-        def of(t: Column) -> Column:
-            own = F.replace(_joined(texts, t["lo"], t["hi"]), F.lit(label), F.lit(""))
-            left = _filled(F.regexp_replace(own, "^[: ]+|[: ]+$", ""))
-            return F.when(t["next_lo"].isNotNull(), _joined(texts, t["next_lo"], t["next_hi"])).otherwise(left)
-
-        return of
+    def value(label: Column, t: Column) -> Column:
+        own = F.replace(_joined(texts, t["lo"], t["hi"]), label, F.lit(""))
+        left = _filled(F.regexp_replace(own, "^[: ]+|[: ]+$", ""))
+        return F.when(t["next_lo"].isNotNull(), _joined(texts, t["next_lo"], t["next_hi"])).otherwise(left)
 
-    found = [_at_label(texts, label, value(label)) for label in INDUSTRY_LABELS]
-    return F.coalesce(_filled(preview), *found, F.lit(""))
+    return F.coalesce(_filled(preview), F.get(_at_labels(hits, INDUSTRY_LABELS, value), F.lit(0)), F.lit(""))
 
 
-def amount(texts: Column) -> Column:
+def amount(texts: Column, hits: Column, page: Column) -> Column:
     """First amount pattern in the holder of a label, label by label; else in
     the whole page; else ''."""
-    around = [_at_label(texts, label, lambda t: _joined(texts, t["lo"], t["hi"], strip=False)) for label in FUNDING_LABELS]
+    around = _at_labels(hits, FUNDING_LABELS, lambda _, t: F.when(t.isNotNull(), _joined(texts, t["lo"], t["hi"], strip=False)))
 
     def found(text: Column) -> Column:
         return F.coalesce(*[_filled(F.regexp_extract(text, _FLAGS + p, 0)) for p in FUNDING_PATTERNS])
 
-    amounts = F.filter(F.transform(F.array(*around, _whole(texts)), found), lambda a: a.isNotNull())
+    amounts = F.filter(F.transform(F.concat(around, F.array(page)), lambda t: _bind(t, found)), lambda a: a.isNotNull())
     return F.coalesce(_trim(F.get(amounts, F.lit(0))), F.lit(""))
 
 
-def section(texts: Column, elements: Column) -> Column:
+def section(texts: Column, elements: Column, hits: Column) -> Column:
     """Blocks between the heading around the first keyword and the next h1-h4
     beside it: paragraphs as text, list items joined by '; ', all joined by a
     space; '' without any."""
 
-    def blocks(t: Column) -> Column:
+    def blocks(_, t: Column) -> Column:
         head = t["head"]
         parent = F.get(elements, head)["parent"]
         beside = F.filter(elements, lambda e, i: (i > head) & (e["parent"] == parent))
@@ -98,17 +152,17 @@ def section(texts: Column, elements: Column) -> Column:
         )
         return F.when(F.size(parts) > 0, F.array_join(parts, " "))
 
-    return F.coalesce(*[_at_label(texts, kw, blocks) for kw in REASON_KEYWORDS], F.lit(""))
+    return F.coalesce(F.get(_at_labels(hits, REASON_KEYWORDS, blocks), F.lit(0)), F.lit(""))
 
 
-def outcome(texts: Column) -> Column:
+def outcome(texts: Column, hits: Column, page: Column) -> Column:
     """Text of the holder of the first keyword without that keyword, if anything
     is left; else the closing phrase found in the page; else the default."""
 
-    def value(kw: str) -> Callable[[Column], Column]:
-        return lambda t: _filled(_trim(F.regexp_replace(
-            _joined(texts, t["lo"], t["hi"]), rf"{_FLAGS}^{kw}\s*:?\s*", "")))
+    def value(kw: Column, t: Column) -> Column:
+        said = F.concat(F.lit(_FLAGS + "^"), kw, F.lit(r"\s*:?\s*"))
+        return _filled(_trim(F.regexp_replace(_joined(texts, t["lo"], t["hi"]), said, "")))
 
-    told = [_at_label(texts, kw, value(kw)) for kw in OUTCOME_KEYWORDS]
-    phrase = _filled(_trim(F.regexp_extract(_whole(texts), _FLAGS + OUTCOME_PATTERN, 0)))
-    return F.coalesce(*told, phrase, F.lit(OUTCOME_DEFAULT))
+    phrase = _filled(_trim(F.regexp_extract(page, _FLAGS + OUTCOME_PATTERN, 0)))
+    told = F.get(_at_labels(hits, OUTCOME_KEYWORDS, value), F.lit(0))
+    return F.coalesce(told, phrase, F.lit(OUTCOME_DEFAULT))

@@ -66,7 +66,9 @@ def paragraphs(section) -> Column:
     return F.transform(F.slice(chunks, 2, 1 << 30), lambda x: text_of(x))
 
 
-def anchors(html) -> tuple[Column, Column]:
-    """(hrefs, inner markup) of the <a href="..."> elements, aligned."""
+def anchors(html) -> Column:
+    """array<struct<href, inner>> of the <a href="..."> elements: the page is searched
+    once, the parts are taken from what was found."""
     pat = r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
-    return F.regexp_extract_all(_c(html), F.lit(pat), 1), F.regexp_extract_all(_c(html), F.lit(pat), 2)
+    found = F.regexp_extract_all(_c(html), F.lit(pat), 0)
+    return F.transform(found, lambda a: F.struct(F.regexp_extract(a, pat, 1).alias("href"), F.regexp_extract(a, pat, 2).alias("inner")))

@@ -34,11 +34,6 @@ def blank_to_null(text) -> Column:
     return F.when(~t.rlike(r"^\s*$"), t)
 
 
-def first_present(*cols) -> Column:
-    """First value that is neither null nor blank (Python's ``a or b``)."""
-    return F.coalesce(*[blank_to_null(c) for c in cols])
-
-
 def pad2(n) -> Column:
     """Zero-pad to width 2 without truncating wider numbers."""
     x = _c(n)

@@ -22,7 +22,6 @@ SYSTEM_PROMPT = (
     "You review new ventures against documented failures. Cite the cases given, "
     "compare them with the venture point by point and end with a short verdict."
 )
-BLOCK_HEADER = "--- Case {i}: {name} (funding: {funding}) ---"
 USER_HEAD = "[Precedents]"
 USER_TAIL = "[Venture under review]"
 
