@@ -9,15 +9,18 @@ and the ends trimmed.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Named entities decoded (plus &#39;), in replacement order;
-# &amp; last so an escaped entity is not decoded twice.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-]
+from precedent.functions.jsonx import _bind
+
+#: A character reference: decimal, hexadecimal, or a name, with or without its end.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Names without an end are at most so long.
+_BARE = max(len(k) for k in html5 if not k.endswith(";"))
 NOISE = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 TAG = r"<[^>]*>"
 WS = r"[ \t\n\r\f]"
@@ -32,11 +35,40 @@ def strip_noise(html) -> Column:
     return F.regexp_replace(_c(html), NOISE, "")
 
 
+def _char(point: Column) -> Column:
+    """The character that a numeric reference stands for: Windows-1252 below 160, none
+    for control characters and non-characters, U+FFFD for what is no code point."""
+    old = {0: "\ufffd", 13: "\r"} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+    known = F.get(F.from_json(F.lit(json.dumps([old.get(n) for n in range(160)])), "array<string>"), point.cast("int"))
+    none = ((point < 32) & ~point.isin(9, 10, 12)) | (point == 127) | point.between(0xFDD0, 0xFDEF) | (F.pmod(point, F.lit(65536)) >= 65534)
+    utf = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    wrong = point.between(0xD800, 0xDFFF) | (point > 0x10FFFF)
+    return F.when((point < 160) & known.isNotNull(), known).when(wrong, F.lit("\ufffd")).when(none, F.lit("")).otherwise(utf)
+
+
+def _decoded(ref: Column) -> Column:
+    """What one reference stands for: itself, if it means nothing."""
+    named = lambda end: F.from_json(F.lit(json.dumps({k: v for k, v in html5.items() if k.endswith(";") == end})), "map<string,string>")
+    name = F.substring(ref, 2, 33)
+    # without its end a name may go on: the longest start that is a name counts
+    start = _bind(named(False), lambda bare: F.coalesce(*[
+        F.concat(F.element_at(bare, F.substring(name, 1, n)), F.substring(name, n + 1, 33)) for n in range(_BARE, 1, -1)]))
+    number = lambda pattern: F.ltrim(F.regexp_extract(ref, pattern, 1), F.lit("0"))
+    point = lambda digits, base: F.when(F.length(digits) > 8, F.lit(1 << 32)).otherwise(
+        F.coalesce(F.conv(digits, base, 10).cast("long"), F.lit(0)))
+    return F.when(ref.rlike("^&#[xX]"), _char(point(number("^&#[xX]([0-9a-fA-F]+)"), 16))).when(
+        ref.startswith("&#"), _char(point(number("^&#([0-9]+)"), 10))).otherwise(
+        F.coalesce(F.element_at(named(True), name), start, ref))
+
+
 def unescape(text) -> Column:
+    """All named and numeric character references decoded, each once, as a browser
+    (and the tree path's parser) reads them."""
     t = _c(text)
-    for k, v in ENTITIES:
-        t = F.replace(t, F.lit(k), F.lit(v))
-    return t
+    found = F.regexp_extract_all(t, F.lit(REFERENCE), 0)
+    parts = _bind(found, lambda refs: F.transform(F.split(t, REFERENCE, -1), lambda gap, i: F.concat(
+        gap, F.coalesce(_bind(F.get(refs, i), _decoded), F.lit("")))))
+    return F.when(t.contains("&"), F.array_join(parts, "")).otherwise(t)
 
 
 def trim_ws(text) -> Column:

@@ -21,8 +21,14 @@ LIST_CAP = 5
 NOISE_SQL = "'(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->'"
 
 
+# the references that the driver's pages hold, and some more; &amp; last, so that
+# what it escapes stays
+PAGE_REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·",
+                   "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&#8217;": "’", "&rsquo;": "’", "&eacute;": "é", "&amp;": "&"}
+
+
 def unescape_sql(x: str) -> str:
-    for k, v in H.ENTITIES:
+    for k, v in PAGE_REFERENCES.items():
         v = v.replace("'", "''")
         x = f"replace({x}, '{k}', '{v}')"
     return x
@@ -168,6 +174,35 @@ def harvest_page_text(spark, d):
     return HV.page_text(read(spark, d, "pages"))
 
 
+def entity_pages(spark, d):
+    """Parts as pages whose title and text hold named, numeric, unfinished and
+    meaningless references."""
+    p = read(spark, d, "part")
+    n = F.col("p_partkey").cast("string")
+    some = F.element_at(F.array(*[F.lit(x) for x, _ in ENTITY_CASES]), (F.col("p_partkey") % len(ENTITY_CASES)).cast("int") + 1)
+    return p.select(F.col("p_partkey").alias("page_id"), F.concat(
+        F.lit("<html><h1> "), F.col("p_name"), F.lit(" "), some, F.lit("</h1><p>No. &#"), (F.col("p_size") + 945).cast("string"), F.lit(";, &#x"),
+        F.lower(F.hex(F.col("p_size") + 945)), F.lit(" and "), some, n, F.lit("</p></html>")).alias("html"))
+
+
+# references and what they stand for
+ENTITY_CASES = [
+    ("a &mdash; b", "a — b"), ("it&#8217;s", "it’s"), ("caf&eacute;", "café"), ("&copy 2020", "© 2020"), ("&notit; x", "¬it; x"),
+    ("&amp;lt;b&amp;gt;", "&lt;b&gt;"), ("&#x1F600;!", "😀!"), ("&#128;&#x99;", "€™"), ("&nosuch; &", "&nosuch; &"), ("&NotEqualTilde;.", "≂̸."),
+    ("&#0;&#55296;&#99999999999;", "\ufffd\ufffd\ufffd"), ("&#1;x&#65535;", "x"), ("R&D; Q&A", "R&D; Q&A"), ("&AMP&amp", "&&"), ("&frac12x", "½x")]
+
+
+@register(
+    "harvest_entities",
+    "SELECT p_partkey AS page_id, p_name || ' ' || e AS title, ' ' || p_name || ' ' || e || 'No. ' || chr(p_size + 945) || ', ' || chr(p_size + 945) "
+    "|| ' and ' || e || p_partkey AS text FROM (SELECT *, ["
+    + ", ".join("'" + v.replace("'", "''") + "'" for _, v in ENTITY_CASES) + f"][p_partkey % {len(ENTITY_CASES)} + 1] AS e FROM part)",
+)
+def harvest_entities(spark, d):
+    pages = entity_pages(spark, d)
+    return pages.select("page_id", H.text_of(H.first_inner(F.col("html"), "h1")).alias("title"), H.visible_text(F.col("html")).alias("text"))
+
+
 # ---------------------------------------------------------------- H13, H17, H18
 def _items_for_merge(found):
     """List items: every resolved link of every page, plus each page listed

@@ -1,9 +1,14 @@
 """Selectors over flattened pages, list cards, bodies, and records by a hot URL."""
 
+import html
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from precedent.functions import dom, selectors
+from precedent.functions import html as H
+from precedent.plans.q_harvest import ENTITY_CASES
 from precedent.operators import harvest as HV
 
 PAGE = """<div class="list w"><p id=1>a<p>b<div class="item">c<a href="/x" CLASS="big link">d<br>e</a></div></div>
@@ -73,3 +78,17 @@ def test_records_with_a_hot_url_and_several_pages_of_one(spark):
     assert not out["i6"].has_detail and not out["null"].has_detail and out["null"].source_url == ""
     none = HV.merge_details(items.limit(0), details)
     assert none.count() == 0
+
+
+def test_references_are_read_as_the_parser_reads_them(spark):
+    rng = random.Random(5)
+    names = rng.sample(sorted(html.entities.html5), 300)
+    parts = ["&", ";", "&#", "x", "amp", "&amp;", "&lt", "&#x", "é", "😀", " ", "\n", "<", "&notin;", "&notinx", "&" + "z" * 40 + ";"]
+    texts = [f"a&{n}b&{n.rstrip(';')} c" for n in names] + [f"&#{n};&#x{n:x} " for n in [*range(0, 300), 0x2019, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF,
+             0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1FFFE, 0x10FFFF, 0x110000, 99999999, 10**12]] + ["&#0000000000065;", "", "plain", *[a for a, _ in ENTITY_CASES]]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i long, t string")
+    got = {r.i: r.u for r in rows.select("i", H.unescape("t").alias("u")).collect()}
+    assert got.pop(-1) is None
+    wrong = [(texts[i], u, html.unescape(texts[i])) for i, u in got.items() if u != html.unescape(texts[i])]
+    assert not wrong, wrong[:5]
