@@ -23,7 +23,7 @@ def part_records(spark, d):
         F.concat(F.col("p_name"), F.lit(" stalled at size "), F.col("p_size").cast("string"), F.lit(".")).alias(
             "failure_reasons"
         ),
-        F.concat(F.lit("$"), F.col("p_retailprice").cast("string")).alias("funding_amount"),
+        F.format_string("$%.2f", F.col("p_retailprice")).alias("funding_amount"),
         F.col("p_brand").alias("archetype"),
     )
 
@@ -32,7 +32,7 @@ PART_SQL = """
 WITH rec AS (
   SELECT p_partkey, 'Part ' || CAST(p_partkey AS VARCHAR) AS company_name, p_type AS industry,
          p_name || ' stalled at size ' || CAST(p_size AS VARCHAR) || '.' AS failure_reasons,
-         p_brand AS archetype
+         printf('$%.2f', p_retailprice) AS funding_amount, p_brand AS archetype
   FROM part),
 docs AS (
   SELECT *, 'Industry: ' || industry || '. Reasons: ' || failure_reasons || '. Archetype: ' || archetype || '.' AS document
@@ -44,14 +44,15 @@ docs AS (
 @register(
     "document_build",
     PART_SQL + """
-SELECT p_partkey, document, company_name AS meta_company_name, archetype AS meta_archetype,
-       industry AS meta_industry FROM docs""",
+SELECT p_partkey, document, company_name AS meta_company_name, funding_amount AS meta_funding_amount,
+       archetype AS meta_archetype, industry AS meta_industry FROM docs""",
 )
 def document_build(spark, d):
     out = D.build_document(part_records(spark, d))
     return out.select(
         "p_partkey", "document",
         F.col("metadata.company_name").alias("meta_company_name"),
+        F.col("metadata.funding_amount").alias("meta_funding_amount"),
         F.col("metadata.archetype").alias("meta_archetype"),
         F.col("metadata.industry").alias("meta_industry"),
     )
@@ -100,10 +101,9 @@ def collection_rebuild_count(spark, d):
 # ---------------------------------------------------------------- S1, S5
 @register(
     "io_json_roundtrip",
-    PART_SQL + "SELECT p_partkey, company_name, industry, failure_reasons, archetype FROM rec",
+    PART_SQL + "SELECT p_partkey, company_name, industry, failure_reasons, funding_amount, archetype FROM rec",
 )
 def io_json_roundtrip(spark, d):
-    rec = part_records(spark, d).drop("funding_amount")
-    path = json_io.write_records(rec, scratch_dir(spark, "records-json"))
-    schema = "p_partkey long, company_name string, industry string, failure_reasons string, archetype string"
+    path = json_io.write_records(part_records(spark, d), scratch_dir(spark, "records-json"))
+    schema = "p_partkey long, company_name string, industry string, failure_reasons string, funding_amount string, archetype string"
     return json_io.read_records(spark, path, schema, multiline=False)

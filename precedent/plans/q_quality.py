@@ -17,12 +17,15 @@ SELECT conv_id, turn, request,
        CASE WHEN t IS NULL OR request = '' THEN 'rejected' ELSE 'ok' END AS status,
        CASE WHEN t IS NULL THEN 'missing' WHEN request = '' THEN 'blank' END AS reason
 FROM (SELECT conv_id, turn, t, regexp_replace(t, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') AS request
-      FROM (SELECT conv_id, turn, CASE WHEN role = 'system' THEN '' ELSE text END AS t FROM conversations))""",
+      FROM (SELECT conv_id, turn, text AS t FROM conversations UNION ALL
+            SELECT conv_id, -1, CASE WHEN conv_id % 2 = 0 THEN chr(32) || chr(10) END FROM conversations WHERE role = 'system'))""",
 )
 def request_validate(spark, d):
-    # system turns carry no request text of their own
+    # whole texts of all turns, and for each system turn a request that is blank or missing
     c = read(spark, d, "conversations")
-    c = c.select("conv_id", "turn", F.when(F.col("role") == "system", F.lit("")).otherwise(F.col("text")).alias("t"))
+    bad = c.where(F.col("role") == "system").select(
+        "conv_id", F.lit(-1).alias("turn"), F.when(F.col("conv_id") % 2 == 0, F.lit(" \n")).alias("t"))
+    c = c.select("conv_id", "turn", F.col("text").alias("t")).unionByName(bad)
     return V.validate_requests(c, "t").select("conv_id", "turn", "request", "status", "reason")
 
 
