@@ -1,9 +1,9 @@
 """Lookups and patches by key.
 
 Lookups are small by nature (one value per key) but the record side is not,
-and a lookup key may be hot (one key on a third of the records). The lookup
-is broadcast when its row count is under a checked bound, so a hot key costs
-nothing; above the bound the join is left to AQE (skew-join splitting).
+and a lookup key may be hot (one key on a third of the records). Lookups are
+plain joins: AQE broadcasts a lookup by its measured size, so a hot key costs
+nothing, and splits the skewed key of a larger one.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ def _nonempty(c: F.Column) -> F.Column:
 
 def build_lookup(df: DataFrame, key: str, value: str, pos: str) -> DataFrame:
     """(key, value) with empty keys/values skipped and the last duplicate (by
-    ``pos``) winning. A hash aggregate: partial per task, so a hot key is fine."""
+    ``pos``) winning. Aggregated in each task before the shuffle, so a hot key is fine."""
     k, v = F.col(key).cast("string"), F.col(value).cast("string")
     return (
         df.where(_nonempty(k) & _nonempty(v))

@@ -90,8 +90,8 @@ def parse_lenient(df: DataFrame, text_col: str = "raw", fields: list[str] = CLEA
 
 def first_valid(parsed: DataFrame, id_col: str, attempt_col: str = "attempt", max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Per id, the parsed value of the earliest valid attempt within
-    ``max_attempts``. A hash aggregate (partial per task), so an id with very
-    many attempts is no hot spot."""
+    ``max_attempts``. Aggregated in each task before the shuffle, so an id with
+    very many attempts is no hot spot."""
     # The condition lives in the ordering (min_by skips null orderings), not
     # in a filter, which the optimizer would push below the parse and so
     # evaluate the parse twice.
