@@ -1,17 +1,21 @@
 """Substring dedup by sliding spans of sentences.
 
-A sentence ends at a word that ends in '.', '!' or '?', or at a line break. From
-every sentence on, and up to every sentence, the shortest run of at least two
-sentences and MIN_WORDS words is hashed (a sentence of LONG words or more is a
-run by itself), over words with A-Z in lower case and without regard to white
-space. Runs are joined over the whole table; of each repeated run the occurrence
-with the smallest doc_id (in it, the earliest) is the first, and every sentence
-that a non-first occurrence covers is removed.
-
-Both directions of runs together cover the whole of any passage that holds at
-least two whole sentences and MIN_WORDS words. A document sends each of its runs
-once, counts are combined before the shuffle, and the join back can split a
-frequent run.
+A sentence ends at a word that ends in '.', '!' or '?', behind a full stop of another
+script (these end a sentence inside a word too), either with closing quotes and
+brackets behind it, or at a line break. Every run of at least two consecutive
+sentences and MIN_WORDS words, and every sentence of LONG words, is looked up over
+the whole table, over words with A-Z in lower case and without regard to white
+space. Of each repeated run the occurrence with the smallest doc_id (in it, the
+earliest) is the first, and every sentence that a non-first occurrence covers is
+removed. Scripts without spaces count two characters as a word.
+
+Only the shortest run from each sentence on and up to each sentence is hashed; the
+outcome is that of hashing all: where a run repeats, so do the shortest ones inside
+it. Let [i, ..] be the last of these that fits into a run: those from its first
+sentence to i cover it up to where that one ends, and the shortest run up to its last
+sentence begins at i. A run is told by two independent hashes of 64 bits. A
+document sends each of its runs once, counts are combined before the shuffle, and
+the join back can split a frequent run.
 """
 
 from __future__ import annotations
@@ -24,11 +28,48 @@ from pyspark.sql import functions as F
 from precedent.llm.common import save
 from precedent.llm.tokens import Hasher, Texts, _powers, id_array, mix, texts, words
 
-MIN_WORDS = 25
-LONG = 40
+MIN_WORDS = 8
+LONG = 25
+SLICE = 1 << 20
 _U = np.uint64
-_ENDS = np.zeros(256, bool)
-_ENDS[[ord(c) for c in ".!?"]] = True
+_OTHER = _U(0xC2B2AE3D27D4EB4F)
+
+#: Characters that end a sentence, those of them that also do so inside
+#: a word, and what may follow them: closing quotes and brackets.
+ENDS = ".!?\u037e\u0589\u061f\u06d4\u0964\u0965\u104a\u104b\u1362\u1367\u17d4\u17d5\u203c\u203d\u2047\u2048\u2049\u3002\uff01\uff0e\uff1f\uff61"
+INNER = "\u0964\u0965\u104a\u104b\u17d4\u17d5\u3002\uff01\uff0e\uff1f\uff61"
+CLOSERS = "\"')]}\u00bb\u2019\u201d\u203a\u3009\u300b\u300d\u300f\u3011\uff09\uff3d\uff5d\uff63"
+#: Ranges of letters written without spaces.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF),
+            (0x20000, 0x3FFFF)]
+
+
+def _among(chars: str) -> np.ndarray:
+    """Table over the code points below 0x10000."""
+    out = np.zeros(0x10000, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
+_ENDS, _INNER, _CLOSERS = _among(ENDS), _among(INNER), _among(CLOSERS)
+
+
+def _closed(points: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """True for each end of a sentence and each closer behind one in the same text.
+    ``heads``: where texts begin."""
+    low = np.where(points < 0x10000, points, 0)
+    out = np.zeros(len(points), bool)
+    at = np.flatnonzero(ends[low] | _CLOSERS[low])
+    if not len(at):
+        return out
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (np.diff(at) > 1) | np.isin(at[1:], heads)
+    stop = ends[low[at]]
+    seen = np.cumsum(stop)
+    first = np.flatnonzero(fresh)
+    before = np.repeat(seen[first] - stop[first], np.diff(np.append(first, len(at))))
+    out[at] = seen > before
+    return out
 
 
 class Runs:
@@ -37,24 +78,46 @@ class Runs:
     def __init__(self, t: Texts, hasher: Hasher, min_words: int, long: int) -> None:
         low = t.lower()
         w = words(low)
-        n = len(w.start)
+        start, end, bound = w.start, w.end, w.bound
+        if len(t.buf) and t.buf.max() >= 128:
+            points = np.frombuffer(t.buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+            at = np.flatnonzero((t.buf & 0xC0) != 0x80)  # first byte of each character
+            heads = np.searchsorted(at, t.off[:-1])
+            closed = np.repeat(_closed(points, heads, _ENDS), np.diff(np.append(at, len(t.buf))))
+            inner = _closed(points, heads, _INNER)
+            turn = np.flatnonzero(inner[:-1] & ~inner[1:])
+            cut = at[turn + 1]  # a word ends before these bytes
+            k = np.searchsorted(start, cut, "right") - 1
+            inside = k >= 0
+            inside[inside] = (start[k[inside]] < cut[inside]) & (cut[inside] < end[k[inside]])
+            cut = cut[inside]
+            start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+            bound = np.searchsorted(start, t.off)
+            unspaced = np.zeros(len(points), bool)
+            for a, z in UNSPACED:
+                unspaced |= (points >= a) & (points <= z)
+            count = np.concatenate([[0], np.cumsum(unspaced)])
+            size = np.maximum(1, (count[np.searchsorted(at, end)] - count[np.searchsorted(at, start)]) // 2)
+        else:
+            closed = _closed(t.buf, t.off[:-1], _ENDS)
+            size = np.ones(len(start), np.int64)
+        n = len(start)
         lines = np.concatenate([[0], np.cumsum(t.buf == 10)])
         opens = np.zeros(n, bool)
         if n:
-            opens[1:] = _ENDS[t.buf[w.end[:-1] - 1]] | (lines[w.start[1:]] > lines[w.end[:-1]])
-            heads = w.bound[:-1][np.diff(w.bound) > 0]
-            opens[heads] = True
-        self.first_word = np.flatnonzero(opens)  # of each sentence
-        self.bound = np.searchsorted(self.first_word, w.bound)  # sentences of each text
-        self.start = w.start[self.first_word] if n else self.first_word
-        a = self.first_word
+            opens[1:] = closed[end[:-1] - 1] | (lines[start[1:]] > lines[end[:-1]])
+            opens[bound[:-1][np.diff(bound) > 0]] = True
+        a = np.flatnonzero(opens)  # first word of each sentence
         z = np.append(a[1:], n) if len(a) else a  # end of each sentence, in words
+        self.bound = np.searchsorted(a, bound)  # sentences of each text
+        self.start = start[a] if n else a
         doc = np.repeat(np.arange(t.n), np.diff(self.bound))
-        i, size = np.arange(len(a)), z - a
-        alone = size >= long
-        fwd = np.searchsorted(z, a + min_words, "left")
+        upto = np.concatenate([[0], np.cumsum(size)])
+        lo, hi, i = upto[a], upto[z], np.arange(len(a))
+        alone = hi - lo >= long
+        fwd = np.searchsorted(hi, lo + min_words, "left")
         fwd = np.where(alone, i, np.maximum(fwd, i + 1))
-        back = np.searchsorted(a, z - min_words, "right") - 1
+        back = np.searchsorted(lo, hi - min_words, "right") - 1
         back = np.where(alone, i, np.minimum(back, i - 1))
         ok_f = fwd < self.bound[1:][doc]
         ok_b = back >= self.bound[:-1][doc]
@@ -62,28 +125,33 @@ class Runs:
             if len(a) else np.zeros((0, 2), np.int64)
         self.s, self.e = pairs[:, 0], pairs[:, 1]  # first and last sentence of each run
         self.doc = doc[self.s] if len(a) else self.s
-        hashes = hasher.spans(low.buf, w.start, w.end)
+        hashes = hasher.spans(low.buf, start, end)
         up, down = _powers(n + 1)
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(hashes * up[:n])])
         x, y = (a[self.s], z[self.e]) if len(a) else (self.s, self.s)
-        self.hash = mix((sums[y] - sums[x]) * down[x] + (y - x).astype(_U)).view(np.int64)
+
+        def over(values):
+            sums = np.concatenate([np.zeros(1, _U), np.cumsum(values * up[:n])])
+            return mix((sums[y] - sums[x]) * down[x] + (y - x).astype(_U)).view(np.int64)
+
+        self.hash, self.proof = over(hashes), over(mix(hashes ^ _OTHER))
 
 
 def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
          long: int = LONG) -> DataFrame:
-    """(hash, doc_id): each distinct run of each text; rows without id have none."""
+    """(hash, proof, doc_id): each distinct run of each text; rows without id have none."""
 
     def run(batches):
         hasher = Hasher()
         for b in batches:
             ids, _ = id_array(b.column(0))
-            for t in texts(b.column(1)):
+            for t in texts(b.column(1), SLICE):
                 r = Runs(t, hasher, min_words, long)
-                own = np.unique(np.stack([r.doc, r.hash], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(own[:, 1]), pa.array(ids[t.first + own[:, 0]])], ["hash", "doc_id"])
+                own = np.unique(np.stack([r.doc, r.hash], 1), axis=0, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(r.hash[own]), pa.array(r.proof[own]), pa.array(ids[t.first + r.doc[own]])],
+                                                 ["hash", "proof", "doc_id"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.where("doc_id is not null").mapInArrow(run, "hash long, doc_id long")
+    return src.where("doc_id is not null").mapInArrow(run, "hash long, proof long, doc_id long")
 
 
 def _cleaned(min_words, long):
@@ -91,7 +159,7 @@ def _cleaned(min_words, long):
         hasher = Hasher()
         for b in batches:
             marks = b.column(2)
-            for t in texts(b.column(1)):
+            for t in texts(b.column(1), SLICE):
                 r = Runs(t, hasher, min_words, long)
                 gone = np.zeros(len(r.start) + 1, np.int64)
                 marked = [marks[t.first + d].as_py() for d in range(t.n)]
@@ -132,13 +200,14 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of the removed sentences, from 0), clean_text (what is left, byte for byte).
 
     A null text counts as empty. Texts below ``min_words`` words or of one
-    sentence below ``long`` words have no runs and stay. Rows with a null id
+    sentence below ``long`` words have no runs and stay. A text whose repeat begins or
+    ends inside a sentence loses the whole sentences of the repeat. Rows with a null id
     lose only repeats inside themselves and are first for nobody; rows repeated
     with one id are one document. Other columns are not read; an empty table
     gives an empty result."""
     found = save(runs(docs, id_col, text_col, min_words, long), "runs")
-    repeated = found.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marks = (found.join(repeated.select("hash", "first"), "hash").where("doc_id <> first").groupBy("doc_id")
+    repeated = found.groupBy("hash", "proof").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    marks = (found.join(repeated.select("hash", "proof", "first"), ["hash", "proof"]).where("doc_id <> first").groupBy("doc_id")
              .agg(F.collect_set("hash").alias("marks")))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_sentences long, n_removed long, removed array<int>, clean_text string"

@@ -2,6 +2,7 @@
 force, exact round trips, or held-out accuracy; and odd inputs."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from precedent.llm import language_crf as crf
 from precedent.llm import sentencepiece_sampling as sps
+from precedent.llm import span_dedup as sd
 from precedent.llm.katz_lm import Unigrams, discounts, katz_scores
 from precedent.llm.license_scan import license_texts, scan_licenses
 from precedent.llm.quality_cotraining import score_quality
@@ -211,6 +213,74 @@ def test_spans_remove_later_passages_only(spark):
     assert span_dedup(none(spark)).count() == 0
 
 
+def _sentences(text):
+    """(text of the sentence, its words) one character at a time."""
+    tokens, word, line, shut = [], "", False, False
+    for at, c in enumerate(text):
+        if c in " \t\n\v\f\r":
+            if word:
+                tokens.append((at - len(word), word, line))
+                word, line = "", False
+            line |= c == "\n"
+            continue
+        inner = re.search(f"[{sd.INNER}][{re.escape(sd.CLOSERS + sd.INNER)}]*$", word)
+        if inner and c not in sd.CLOSERS + sd.INNER:
+            tokens.append((at - len(word), word, line))
+            word, line = "", False
+        word += c
+    if word:
+        tokens.append((len(text) - len(word), word, line))
+    out = []
+    for at, word, line in tokens:
+        if not out or line or shut:
+            out.append([at, []])
+        out[-1][1].append("".join(c.lower() if c.isascii() else c for c in word))
+        shut = re.search(f"[{re.escape(sd.ENDS)}][{re.escape(sd.CLOSERS + sd.ENDS)}]*$", word)
+    return out
+
+
+def _weigh(word):
+    return max(1, sum(any(a <= ord(c) <= z for a, z in sd.UNSPACED) for c in word) // 2)
+
+
+def _all_runs(rows):
+    """Removed sentences of each row when every run of whatever length is looked up."""
+    cut, seen, where = {i: set() for i, _ in rows}, {}, {}
+    for i, text in sorted(rows):
+        own = where[i] = [x[1] for x in _sentences(text)]
+        for a in range(len(own)):
+            for z in range(a + 1, len(own) + 1):
+                flat = [w for x in own[a:z] for w in x]
+                heavy = sum(map(_weigh, flat))
+                if heavy >= sd.MIN_WORDS and z - a > 1 or z - a == 1 and heavy >= sd.LONG:
+                    if seen.setdefault(tuple(flat), (i, a)) != (i, a):
+                        cut[i].update(range(a, z))
+    return {i: sorted(x) for i, x in cut.items()}
+
+
+def test_spans_equal_looking_up_every_run(spark):
+    rng = np.random.default_rng(5)
+    stops = [".", "!", "?", '."', "?)", "\n", ".\n", " ", "\u3002", "\u3002\u300d", "\u0964 ", "\uff01"]
+    pool = ["".join(f"{'x' * int(rng.integers(1, 4))}{rng.integers(9)} " for _ in range(rng.integers(1, 6))).rstrip() for _ in range(3)]
+    pool += ["\u65e5\u672c\u8a9e\u306e\u6587\u7ae0", "\u3053\u308c\u306f\u957f\u3044\u6587\u3067\u3059\u3088\u306d\u3047\u672c\u5f53\u306b\u305d\u3046\u3067\u3059", "\u300c\u306f\u3044", "a" + " b" * 26]
+    rows = [(i, "".join(pool[rng.integers(len(pool))] + stops[rng.integers(len(stops))] + " " * int(rng.integers(2))
+                        for _ in range(rng.integers(1, 25)))) for i in range(150)]
+    got = {r["doc_id"]: r["removed"] for r in span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = _all_runs(rows)
+    assert got == want and sum(map(len, want.values())) > 100
+
+
+def test_spans_of_short_sentences_other_scripts_and_quotes(spark):
+    four = "One two three. Four five. Six seven. Eight nine."
+    two = "The quick brown fox jumps over it. \u201cWhy would it do that at all?\u201d"
+    zh = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u3002\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\u3002\u665a\u4e0a\u56de\u5bb6\u5403\u996d\u3002"
+    rows = [(1, f"Begin. {four} Own one."), (2, f"Other begin. {four} Own two."), (3, f"A. {two} B."), (4, f"C. {two} D."),
+            (5, f"\u7532\u3002{zh}\u4e59"), (6, f"\u4e19\u3002{zh}\u4e01"), (7, "Tail?) Yes. No."), (8, "Tail?) Yes. No.")]
+    got = {r["doc_id"]: r["clean_text"] for r in span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2] == "Other begin. Own two." and got[4] == "C. D." and got[6] == "\u4e19\u3002\u4e01"
+    assert all(got[i] == dict(rows)[i] for i in (1, 3, 5, 7, 8))
+
+
 def _katz(rows):
     toks = [((t or "").encode().lower().split() + [None], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
     c = Counter(w for ts, held in toks if not held for w in ts)
