@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from precedent.llm.common import fold
+from precedent.llm.common import fold, row_keys
 from precedent.llm.tokens import NOT_LETTER, Hasher, Texts, per_doc, texts, words
 
 PER_LABEL = 80
@@ -250,19 +250,19 @@ def _split(x: str, most: int) -> list[str]:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, learn, per_label: int, max_chars: int) -> list:
     """Up to ``per_label`` (text, label) rows of each label among rows that
-    ``learn`` allows, drawn by hash of the id, texts above ``max_chars`` after the
-    others and cut to an excerpt."""
+    ``learn`` allows, drawn by hash of id and text, texts above ``max_chars`` after the
+    others and cut to an excerpt. Rows are drawn by themselves: null and repeated ids
+    are rows like all others, and never more than ``per_label`` reach the driver."""
     text = F.col(text_col).cast("string")
     ok = learn & F.col(label_col).isNotNull() & text.rlike(r"\p{L}")
-    long = (F.length(text) > max_chars).alias("long")
-    src = docs.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), long)
-    drawn = src.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("long", F.xxhash64("id", F.lit(5)), "id")))
-    drawn = drawn.where(F.col("r") <= per_label).select("id", "label")
-    mine = docs.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"),
-                                 text.alias("text"))
+    keyed, row = row_keys(docs)
+    mine = keyed.where(ok).select(F.col(row).alias("row"), F.col(label_col).cast("string").alias("label"), text.alias("text"),
+                                  F.xxhash64(F.col(id_col).cast("long"), text).alias("draw"))
+    order = Window.partitionBy("label").orderBy(F.col("size") > max_chars, "draw", "row")
+    drawn = (mine.select("row", "label", "draw", F.length("text").alias("size")).withColumn("r", F.row_number().over(order))
+             .where(F.col("r") <= per_label).select("row"))
     cut = F.udf(lambda x: excerpt(x, max_chars), "string")
-    mine = mine.join(F.broadcast(drawn), ["id", "label"], "left_semi")
-    got = mine.select(cut("text").alias("text"), "label").collect()  # per_label rows a label
+    got = mine.join(F.broadcast(drawn), "row", "left_semi").select(cut("text").alias("text"), "label").collect()
     return sorted({(r["text"], r["label"]) for r in got})
 
 

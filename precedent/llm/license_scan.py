@@ -17,6 +17,10 @@ of the templates (a bounded vocabulary); a word of no template counts as one tha
 occurs nowhere else, so it only lengthens the unit's vector, by the idf of an
 unseen word for each time it occurs.
 
+A line with an SPDX tag is compared with the tags of the known identifiers, and met
+when it equals one word for word (cosine 1); one that names another licence, or
+several, is not taken for the tag it resembles.
+
 A file without a licence of its own takes that of the nearest directory at or
 above its own that holds a licence file with a licence. Directories, not files,
 are joined to their ancestors, with a salt, so that a root that covers
@@ -65,6 +69,20 @@ TEMPLATES = {
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0"],
 }
 
+#: What SPDX tags may name, by the identifier reported for it.
+SPDX = {
+    **{n: [n] for n in ("Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense",
+                        "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")},
+    **{n: [n, f"{n}-only", f"{n}-or-later"] for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")},
+}
+#: A tag is its words and nothing else: its cosine to another licence's tag is high too.
+TAG_THRESHOLD = 0.999
+
+
+def tags() -> dict[str, list[str]]:
+    """One-line notices with an SPDX tag, by identifier."""
+    return {n: [f"SPDX-License-Identifier: {name}" for name in names] for n, names in SPDX.items()}
+
 
 def license_texts() -> dict[str, list[str]]:
     """The texts of the folder ``licenses``, by SPDX identifier."""
@@ -225,8 +243,8 @@ def _frequencies(keys):
     return run
 
 
-def _scan(table, idf, long, long_idf, unseen, threshold, text_threshold):
-    vectors, long_vectors = table.vectors(idf), long.vectors(long_idf)
+def _scan(table, idf, long, long_idf, tag, tag_idf, unseen, threshold, text_threshold):
+    vectors, long_vectors, tag_vectors = table.vectors(idf), long.vectors(long_idf), tag.vectors(tag_idf)
 
     def run(batches):
         hasher = Hasher()
@@ -248,6 +266,12 @@ def _scan(table, idf, long, long_idf, unseen, threshold, text_threshold):
                         whole = n <= who[i] < n + t.n
                         piece = who[i] if who[i] < n else (who[i] - n - t.n) % max(n, 1)
                         unit[d] = -1 if whole else int(piece - w.piece[w.bound[d]])
+                if b"spdx" in t.buf.tobytes().lower():
+                    tagged = notice_units(w, tag.keys)
+                    who, cosine, k = tagged.best(tag_idf, unseen, tag_vectors)
+                    for i in np.flatnonzero((cosine >= TAG_THRESHOLD) & (who < n))[::-1].tolist():  # the first of a text stays
+                        d = int(tagged.doc[who[i]])
+                        name[d], score[d], unit[d] = tag.names[k[i]], min(1.0, cosine[i]), int(who[i] - w.piece[w.bound[d]])
                 text_score, text_name, text_piece = text_scores(w, long, long_idf, unseen, long_vectors)
                 for d in np.flatnonzero(text_score >= text_threshold).tolist():
                     name[d], score[d], unit[d] = long.names[text_name[d]], min(1.0, text_score[d]), int(text_piece[d])
@@ -262,7 +286,7 @@ def _scan(table, idf, long, long_idf, unseen, threshold, text_threshold):
 def scan_licenses(files: DataFrame, id_col: str = "file_id", path_col: str = "path", text_col: str = "text",
                   templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD,
                   license_file: str = LICENSE_FILE, full_texts: dict[str, list[str]] | None = None,
-                  text_threshold: float = TEXT_THRESHOLD) -> DataFrame:
+                  text_threshold: float = TEXT_THRESHOLD, tag_lines: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per input row: file_id, path, license (null if none), how ('own',
     'inherited' or null), score (best cosine of the file's own units), unit
     (number of the first deciding sentence, -1 the whole file, null if none), from_dir
@@ -278,16 +302,18 @@ def scan_licenses(files: DataFrame, id_col: str = "file_id", path_col: str = "pa
     ancestors as they have."""
     table = Templates(TEMPLATES if templates is None else templates)
     long = Templates(license_texts() if full_texts is None else full_texts)
-    keys = np.union1d(table.keys, long.keys)
+    tag = Templates(tags() if tag_lines is None else tag_lines)
+    keys = np.union1d(np.union1d(table.keys, long.keys), tag.keys)
     path = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(path_col).cast("string"), F.lit("")), "/+", "/"), "^/", "")
     src = files.select(F.col(id_col).cast("long").alias("file_id"), path.alias("path"), F.col(text_col).cast("string").alias("text"))
     got = src.select("text").mapInArrow(_frequencies(keys), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
     n = {r["i"]: r["n"] for r in got}
     units = n.get(-1, 0)
     every = np.array([math.log((1 + units) / (1 + n.get(i, 0))) + 1 for i in range(len(keys))])
-    idf, long_idf = (every[np.searchsorted(keys, x.keys)] for x in (table, long))
+    idf, long_idf, tag_idf = (every[np.searchsorted(keys, x.keys)] for x in (table, long, tag))
     unseen = math.log(1 + units) + 1
-    own = save(src.mapInArrow(_scan(table, idf, long, long_idf, unseen, threshold, text_threshold), "file_id long, path string, own string, score double, unit long")
+    scan = _scan(table, idf, long, long_idf, tag, tag_idf, unseen, threshold, text_threshold)
+    own = save(src.mapInArrow(scan, "file_id long, path string, own string, score double, unit long")
                .withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "license-scan")
     given = own.where(F.col("own").isNotNull() & F.col("path").rlike(license_file)).groupBy("dir").agg(
         F.max("score").alias("best"))

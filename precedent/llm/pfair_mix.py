@@ -129,10 +129,14 @@ def _plan(block_bytes: int, power: float):
     return run
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    return next(c for i in range(len(docs.columns) + 1) if (c := f"__{name}{i or ''}") not in docs.columns)
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: Mapping[object, float] | None = None, power: float = 0.5, period: int | None = None,
                 block_bytes: int = BLOCK_BYTES, seed: int = 17, bucket_rows: int = BUCKET_ROWS,
-                size_col: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+                size_col: str | None = None, keep: Sequence[str] = (), row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, source, block (number in its source), slot,
     release, deadline, at (first byte of the text in its source), on_target
     (false from the slot on at which the first source has run out), and the
@@ -141,16 +145,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Order by (slot, at) for the mixture. ``weights`` must name every source;
     without it a source weighs its bytes to the power ``power``. They hold exactly
     unless ``period`` asks for whole shares of so many slots. A null source is
-    a source of its own; a null or empty text takes one byte. Rows repeated with
-    one id follow each other. A text longer than a block belongs to the block in
+    a source of its own; a null or empty text takes one byte. Rows are drawn by
+    id and row number, so null or repeated ids are spread like all others: ``row_col``
+    names the number, else rows are numbered as they are written first. A text longer than a block belongs to the block in
     which it begins; ``size_col`` holds the bytes of a text where the text itself
     isn't there. Other columns are not read; an empty table gives an empty
     result."""
     spark = docs.sparkSession
     length = F.octet_length(F.col(text_col).cast("string")) if size_col is None else F.col(size_col)
     size = F.greatest(F.coalesce(length, F.lit(0)), F.lit(1)).cast("long")
-    rows = save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"),
-                            size.alias("size"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("draw"), *keep), "sizes")
+    place = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    numbered = docs.withColumn(number := _unused(docs, "place"), place)
+    rows = save(numbered.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
+                                F.xxhash64(F.col(id_col), F.col(number), F.lit(seed)).alias("draw"), *keep), "sizes")
     per = save(rows.groupBy("source").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "sources")
     kind = rows.schema["source"].dataType.simpleString()
     n_rows = per.agg(F.sum("n")).first()[0]
@@ -195,6 +202,6 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     follow it from part to part). Each row has a place of its own, whatever its id;
     columns may have any names."""
     keyed, row = row_keys(docs)
-    at = mix_sources(keyed, keep=[row], **options).select(row, F.col("slot").alias(f"{row}_slot"), F.col("at").alias(f"{row}_at"))
+    at = mix_sources(keyed, keep=[row], row_col=row, **options).select(row, F.col("slot").alias(f"{row}_slot"), F.col("at").alias(f"{row}_at"))
     order = [f"{row}_slot", f"{row}_at"]
     return keyed.join(at, row).repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])

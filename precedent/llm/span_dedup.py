@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from precedent.llm.common import save
 from precedent.llm.tokens import Hasher, Texts, _powers, id_array, mix, texts, words
 
-MIN_WORDS = 8
+MIN_WORDS = 12
 LONG = 25
 SLICE = 1 << 20
 _U = np.uint64

@@ -253,3 +253,12 @@ def test_queries_are_registered():
 
     assert set(queries.QUERIES) <= set(entry.queries()) and set(queries.ORACLE) <= set(entry.oracle_sql())
     assert [int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")] == list(range(1, 14))
+
+
+def test_mix_spreads_null_and_repeated_ids(spark):
+    rows = [(None if i % 2 else 7, "x" * (1 + i % 5), "s") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mix_sources(docs, bucket_rows=200, block_bytes=64).collect()
+    assert len(out) == 4000 and len({r["at"] for r in out}) == 4000  # each row has bytes of its own
+    first = [r["doc_id"] for r in sorted(out, key=lambda r: r["at"])[:400]]
+    assert 120 < first.count(7) < 280  # ids are no longer drawn together

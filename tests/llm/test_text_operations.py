@@ -271,9 +271,9 @@ def test_spans_equal_looking_up_every_run(spark):
 
 
 def test_spans_of_short_sentences_other_scripts_and_quotes(spark):
-    four = "One two three. Four five. Six seven. Eight nine."
+    four = "One two three. Four five six. Seven eight nine. Ten eleven twelve."
     two = "The quick brown fox jumps over it. \u201cWhy would it do that at all?\u201d"
-    zh = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u3002\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\u3002\u665a\u4e0a\u56de\u5bb6\u5403\u996d\u3002"
+    zh = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u3002\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\u3002\u665a\u4e0a\u56de\u5bb6\u5403\u996d\u3002\u7136\u540e\u770b\u4e66\u5b66\u4e60\u5230\u5f88\u665a\u3002"
     rows = [(1, f"Begin. {four} Own one."), (2, f"Other begin. {four} Own two."), (3, f"A. {two} B."), (4, f"C. {two} D."),
             (5, f"\u7532\u3002{zh}\u4e59"), (6, f"\u4e19\u3002{zh}\u4e01"), (7, "Tail?) Yes. No."), (8, "Tail?) Yes. No.")]
     got = {r["doc_id"]: r["clean_text"] for r in span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -322,3 +322,27 @@ def test_katz_equals_brute_force_over_many_blocks_and_parts(spark):
         assert [r[:5] for r in got] == [r[:5] for r in want]
         assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
     assert katz_scores(none(spark)).count() == 0
+
+
+def test_spdx_tags_are_met_word_for_word(spark):
+    rows = [(1, "SPDX-License-Identifier: MIT"), (2, "// SPDX-License-Identifier: GPL-2.0-only\nint main;"),
+            (3, "/* spdx-license-identifier: Apache-2.0 */\ncode"), (4, "# SPDX-License-Identifier: LGPL-2.1-or-later\n# rest"),
+            (5, "SPDX-License-Identifier: FooBar-1.0"), (6, "SPDX-License-Identifier: Apache-2.0 OR MIT"),
+            (7, "The SPDX list has a license for each identifier."), (8, "x\nSPDX-License-Identifier: ISC\nSPDX-License-Identifier: MIT"),
+            (9, "SPDX-License-Identifier: GPL-2.0+"), (10, None)]
+    files = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in rows], "file_id long, path string, text string")
+    got = {r["file_id"]: (r["license"], r["unit"]) for r in scan_licenses(files).collect()}
+    assert got == {1: ("MIT", 0), 2: ("GPL-2.0", 0), 3: ("Apache-2.0", 0), 4: ("LGPL-2.1", 0), 5: (None, None), 6: (None, None),
+                   7: (None, None), 8: ("ISC", 1), 9: ("GPL-2.0", 0), 10: (None, None)}
+
+
+def test_language_is_learnt_from_rows_with_null_and_repeated_ids(spark):
+    words_of = {"en": "the quick house and water is here with other people", "de": "das schnelle haus und wasser ist hier mit anderen leuten"}
+    rng = np.random.default_rng(3)
+    texts_of = [(k, " ".join(rng.permutation(v.split()).tolist())) for _ in range(60) for k, v in words_of.items()]
+    for id_ in (None, 4):  # 4 is learnt from
+        docs = spark.createDataFrame([(id_, t, k) for k, t in texts_of], "doc_id long, text string, lang string")
+        out = crf.predict_language(docs, per_label=20)
+        assert {r["lang_pred"] for r in out.collect()} == {"en", "de"}
+        rows = crf.sample(docs, "doc_id", "text", "lang", F.lit(True), 20, 8000)
+        assert max(Counter(k for _, k in rows).values()) <= 20 and len(rows) > 20
