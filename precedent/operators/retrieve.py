@@ -124,16 +124,21 @@ def multiroute(
     )
 
 
+def refused(top1_distance: F.Column, threshold: float = GATE_THRESHOLD) -> F.Column:
+    """The gate's decision: the best distance exceeds the threshold (equal passes)."""
+    return top1_distance > F.lit(threshold)
+
+
 def gate(results: DataFrame, threshold: float = GATE_THRESHOLD, message: str = REFUSAL_MESSAGE) -> DataFrame:
     """Per query: refuse when the rank-1 distance exceeds ``threshold`` (equal
     passes). Output (query_id, status, top1_distance, message)."""
     top1 = results.where(F.col("rank") == 1).select("query_id", F.col("distance").alias("top1_distance"))
-    refused = F.col("top1_distance") > F.lit(threshold)
+    no = refused(F.col("top1_distance"), threshold)
     return top1.select(
         "query_id",
-        F.when(refused, F.lit("refused")).otherwise(F.lit("ok")).alias("status"),
+        F.when(no, F.lit("refused")).otherwise(F.lit("ok")).alias("status"),
         "top1_distance",
-        F.when(refused, F.lit(message)).alias("message"),
+        F.when(no, F.lit(message)).alias("message"),
     )
 
 

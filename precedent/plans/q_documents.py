@@ -1,4 +1,4 @@
-"""Document build, ids, marker extraction (D1-D4) and collection I/O (S1,
+"""Document build, ids, marker extraction (D1-D4) and collection I/O (S1, S7, S9,
 S5, S6, S8, V2) on part."""
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from precedent.plans.tables import read
 from precedent.session import scratch_dir
 from precedent.sources import collection as S
 from precedent.sources import json_io
+from precedent.sources import versions as V
 
 
 def part_records(spark, d):
@@ -98,6 +99,40 @@ def collection_rebuild_count(spark, d):
     return S.rebuild_and_check(docs, partition_by="industry")
 
 
+# ---------------------------------------------------------------- S7, S9
+@register(
+    "collection_patch",
+    """
+WITH gone AS (SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)),
+old AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS industry FROM customer),
+new AS (
+  SELECT c_custkey AS id, c_name AS name, CASE WHEN c_acctbal < 0 THEN 'OVERDRAWN' ELSE c_mktsegment END AS industry
+  FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM gone)
+  UNION ALL SELECT -s_suppkey - 1, s_name, 'SUPPLIER' FROM supplier)
+SELECT 1 AS version, id, name, industry, (SELECT count(*) FROM old) AS n_rows FROM old
+UNION ALL SELECT 2, id, name, industry, (SELECT count(*) FROM new) FROM new""",
+)
+def collection_patch(spark, d):
+    """Customers as a collection; a patch marks the overdrawn, adds the suppliers and
+    removes customers without orders. Both versions as they are opened again."""
+    base = scratch_dir(spark, "versions")
+    customers = read(spark, d, "customer")
+    rows = customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("industry"),
+                            "c_acctbal")
+    added = read(spark, d, "supplier").select((-F.col("s_suppkey") - 1).alias("id"), F.col("s_name").alias("name"),
+                                              F.lit("SUPPLIER").alias("industry"))
+    gone = rows.join(read(spark, d, "orders"), F.col("id") == F.col("o_custkey"), "left_anti").select("id")
+    marked = rows.where("c_acctbal < 0").withColumn("industry", F.lit("OVERDRAWN")).drop("c_acctbal")
+    V.create(rows.drop("c_acctbal"), base)
+    V.patch(spark, base, rows=marked.unionByName(added), gone=gone)
+    out = None
+    for v in V.versions(spark, base):
+        one = V.open_version(spark, base, v).select(
+            F.lit(v).alias("version"), "id", "name", "industry", F.lit(V.manifest(spark, base, v).count).alias("n_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---------------------------------------------------------------- S1, S5
 @register(
     "io_json_roundtrip",

@@ -63,6 +63,54 @@ def stream_retrieve(spark, d):
     return out.select(*OUTPUT_COLUMNS)
 
 
+# Turns of conversations as requests: the text of a request is its turn, and the vector of
+# its conversation is the embedding with that number. System turns ask nothing.
+TURNS_SQL = f"""
+WITH {CASES_SQL.strip()},
+turns AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN ' ' ELSE text END AS said FROM conversations),
+said AS (SELECT *, NOT (said IS NULL OR regexp_replace(said, '[ \\t\\n\\r\\f]+', '', 'g') = '') AS ok FROM turns),
+keys AS (SELECT DISTINCT conv_id FROM said WHERE ok),
+pairs AS (
+  SELECT u.conv_id, c.id, {sql_cosine("e.embedding", "c.embedding")} AS d
+  FROM keys u JOIN embeddings e ON e.vec_id = u.conv_id JOIN cases c ON c.id <> u.conv_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY d, id) AS rank FROM pairs) WHERE rank <= 3),
+gate AS (SELECT conv_id, CASE WHEN min(d) > 0.65 THEN 'refused' ELSE 'ok' END AS status FROM top GROUP BY conv_id),
+name AS (SELECT *, concat(CAST(conv_id AS VARCHAR), ':', CAST(turn AS VARCHAR)) AS request_id FROM said)
+SELECT n.request_id, g.status, CAST(t.rank AS BIGINT) AS rank, t.id, round(t.d, 4) AS distance, CAST(NULL AS VARCHAR) AS message
+FROM name n JOIN gate g USING (conv_id) JOIN top t USING (conv_id) WHERE n.ok AND g.status = 'ok'
+UNION ALL
+SELECT n.request_id, 'refused', NULL, NULL, NULL, '{{msg}}' FROM name n JOIN gate g USING (conv_id) WHERE n.ok AND g.status = 'refused'
+UNION ALL
+SELECT n.request_id, 'error', NULL, NULL, NULL, 'no usable query vector'
+FROM name n WHERE n.ok AND n.conv_id NOT IN (SELECT vec_id FROM embeddings)
+UNION ALL
+SELECT n.request_id, 'rejected', NULL, NULL, NULL, CASE WHEN n.said IS NULL THEN 'missing' ELSE 'blank' END FROM name n WHERE NOT n.ok"""
+
+
+def _turns_sql() -> str:
+    from precedent.operators.retrieve import REFUSAL_MESSAGE
+
+    return TURNS_SQL.replace("{msg}", REFUSAL_MESSAGE.replace("'", "''"))
+
+
+@register("stream_dead_letters", _turns_sql())
+def stream_dead_letters(spark, d):
+    """Every turn as a streamed request; those without text come back rejected."""
+    schema = read(spark, d, "conversations").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").option("maxFilesPerTrigger", 1).parquet(d)
+    cs = cases(spark, d)
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_key"), "embedding")
+
+    def answer(batch):
+        name = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+        said = F.when(F.col("role") == "system", F.lit(" ")).otherwise(F.col("text"))
+        reqs = batch.select(name.alias("request_id"), F.col("conv_id").alias("query_key"), said.alias("said"))
+        return answer_requests(reqs, cs, vectors, k=3, metric="cosine", text_col="said")
+
+    out = run_available(spark, source, answer, scratch_dir(spark, "stream-sink"), scratch_dir(spark, "stream-ckpt"))
+    return out.select(*OUTPUT_COLUMNS)
+
+
 # ---------------------------------------------------------------- R11 (rows only)
 @register("encode_text")
 def encode_text(spark, d):

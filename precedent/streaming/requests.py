@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from precedent.functions.vectors import vector_status
 from precedent.operators import retrieve as R
 from precedent.operators.knn import Route, broadcastable, nearest
+from precedent.operators.quality import validate_requests
 
 OUTPUT_COLUMNS = ["request_id", "status", "rank", "id", "distance", "message"]
 
@@ -32,14 +33,22 @@ def answer_requests(
     metric: str = "cosine",
     threshold: float = R.GATE_THRESHOLD,
     exclude_self: bool = True,
+    text_col: str | None = None,
 ) -> DataFrame:
     """Batch answer for a table of requests ``(request_id, query_key)`` whose
     query vectors are in ``vectors (query_key, embedding)``.
 
     Rows: passed requests get their top-k matches (status 'ok'); refused ones
     one row with the refusal message; requests without a usable vector one
-    'error' row. Output (request_id, status, rank, id, distance, message)."""
-    keys = requests.select("query_key").distinct()
+    'error' row. With ``text_col`` a request without text is not searched: one
+    'rejected' row with the reason, the dead letter of the stream. Output
+    (request_id, status, rank, id, distance, message)."""
+    spoken = requests
+    if text_col is not None:
+        checked = validate_requests(requests.select("request_id", "query_key", F.col(text_col).alias("_text")), "_text", "_said")
+        spoken = checked.where("status = 'ok'").select("request_id", "query_key")
+        dead = checked.where("status <> 'ok'")
+    keys = spoken.select("query_key").distinct()
     vec = vectors.join(keys, "query_key", "left_semi").withColumn(
         "_vs", vector_status("embedding", metric=metric)
     )
@@ -49,17 +58,17 @@ def answer_requests(
     # so the kNN result is consumed by one join with the requests
     top1 = F.min("distance").over(Window.partitionBy("query_id"))
     scored = hits.drop("route").withColumn(
-        "status", F.when(top1 > F.lit(threshold), F.lit("refused")).otherwise(F.lit("ok"))
+        "status", F.when(R.refused(top1, threshold), F.lit("refused")).otherwise(F.lit("ok"))
     ).withColumnRenamed("query_id", "query_key")
     # the hit list is bounded (distinct keys x k): broadcast it, so a key sent
     # by a large share of the requests does not skew the join
     if broadcastable(bound):
         scored = F.broadcast(scored)
-    j = requests.join(scored, "query_key", "left").where(
+    j = spoken.join(scored, "query_key", "left").where(
         F.col("status").isNull() | (F.col("status") == "ok") | (F.col("rank") == 1)
     )
     ok = F.col("status") == "ok"
-    return j.select(
+    answers = j.select(
         "request_id",
         F.coalesce(F.col("status"), F.lit("error")).alias("status"),
         F.when(ok, F.col("rank")).alias("rank"),
@@ -69,6 +78,10 @@ def answer_requests(
         .when(F.col("status") == "refused", F.lit(R.REFUSAL_MESSAGE))
         .alias("message"),
     )
+    if text_col is None:
+        return answers
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in answers.dtypes if c in ("rank", "id", "distance")]
+    return answers.unionByName(dead.select("request_id", "status", *nothing, F.col("reason").alias("message")))
 
 
 def batch_writer(sink: str, answer: Callable[[DataFrame], DataFrame]):

@@ -63,3 +63,16 @@ def test_requests_isolate_bad_rows_and_gate(spark):
     assert [(r.status, r.rank) for r in rows[101]] == [("error", None)]  # zero vector
     assert [(r.status, r.rank) for r in rows[102]] == [("refused", None)]  # best cosine distance > 0.65
     assert [(r.status, r.message) for r in rows[103]] == [("error", "no usable query vector")]
+
+
+def test_requests_without_text_are_dead_letters(spark):
+    from precedent.streaming.requests import answer_requests
+
+    cases = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
+    vectors = spark.createDataFrame([(10, [1.0, 0.05])], "query_key long, embedding array<float>")
+    reqs = spark.createDataFrame([(1, 10, "ask"), (2, 10, " \n\t"), (3, 10, None), (4, 99, ""), (5, 99, "ask")],
+                                 "request_id long, query_key long, status string")
+    out = answer_requests(reqs, cases, vectors, k=1, exclude_self=False, text_col="status")
+    assert sorted((r.request_id, r.status, r.id, r.message) for r in out.collect()) == [
+        (1, "ok", 1, None), (2, "rejected", None, "blank"), (3, "rejected", None, "missing"), (4, "rejected", None, "blank"),
+        (5, "error", None, "no usable query vector")]
