@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,3 +51,17 @@ def subject_tag(name, width: int = 20) -> Column:
 def nonblank_lines(text) -> Column:
     """Lines of a text (split on newline) that are not blank, untrimmed."""
     return F.filter(F.split(_c(text), "\n"), lambda x: ~x.rlike(r"^\s*$"))
+
+
+def fill(template: str, fields: dict[str, Column]) -> Column:
+    """A template with its ``{name}`` places filled from Columns (null reads
+    ''); ``{{`` and ``}}`` are braces. A place without a field is refused."""
+    pieces = []
+    for text, name, _, _ in Formatter().parse(template):
+        if text:
+            pieces.append(F.lit(text))
+        if name is not None:
+            if name not in fields:
+                raise ValueError(f"no field for the place {{{name}}}; there are {sorted(fields)}")
+            pieces.append(F.coalesce(fields[name].cast("string"), F.lit("")))
+    return F.concat(F.lit(""), *pieces)

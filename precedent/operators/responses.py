@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precedent.functions import jsonx
+from precedent.functions.text import fill
 from precedent.session import spread
 
 PROFILE_FIELDS = ["archetype", "fatal_action", "trigger_condition", "ultimate_outcome"]
@@ -26,19 +27,25 @@ NOT_AVAILABLE = "N/A"
 UNKNOWN = "Unknown"
 
 
-def profile_prompt(df: DataFrame, out: str = "prompt") -> DataFrame:
+# Texts of the requests: defaults in wording and layout of our own; both functions take others.
+PROFILE_TEMPLATE = (
+    "Write one JSON object with the keys archetype, fatal_action, trigger_condition and ultimate_outcome for this failure.\n"
+    "* how it ended: {outcome}\n* what went wrong, as noted: {failure_reasons}\n* read at {source_url}\n"
+    "* {company_name} worked in {industry} and had raised {funding_amount}\n"
+)
+CLEANSE_TEMPLATE = (
+    'Keep the archetype "{archetype}". From the note below, work out an industry in a few words and the reasons of the '
+    "failure in at most three sentences. Reply with a JSON object (keys archetype, failure_reasons, industry) and nothing "
+    "else.\nNote on {company_name}: {description}\n"
+)
+
+
+def profile_prompt(df: DataFrame, out: str = "prompt", template: str = PROFILE_TEMPLATE) -> DataFrame:
     """Request text from the six raw-case fields; a missing field reads
     'Unknown' (name) or 'N/A' (others)."""
-    def g(c, d=NOT_AVAILABLE):
-        return F.coalesce(F.col(c).cast("string"), F.lit(d))
-
-    text = F.concat(
-        F.lit("Company: "), g("company_name", UNKNOWN), F.lit("\nIndustry: "), g("industry"),
-        F.lit("\nFunding: "), g("funding_amount"), F.lit("\nRaw failure notes: "), g("failure_reasons"),
-        F.lit("\nOutcome: "), g("outcome"), F.lit("\nSource: "), g("source_url"),
-        F.lit("\n\nReturn the profile as JSON now."),
-    )
-    return df.withColumn(out, text)
+    names = ["company_name", "industry", "funding_amount", "failure_reasons", "outcome", "source_url"]
+    said = {c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN if c == "company_name" else NOT_AVAILABLE)) for c in names}
+    return df.withColumn(out, fill(template, said))
 
 
 def raw_description(fatal_action: str = "fatal_action", failure_reasons: str = "failure_reasons") -> F.Column:
@@ -46,18 +53,10 @@ def raw_description(fatal_action: str = "fatal_action", failure_reasons: str = "
     return F.coalesce(F.col(fatal_action), F.col(failure_reasons), F.lit(""))
 
 
-def cleanse_prompt(df: DataFrame, out: str = "prompt") -> DataFrame:
+def cleanse_prompt(df: DataFrame, out: str = "prompt", template: str = CLEANSE_TEMPLATE) -> DataFrame:
     """Cleansing request from name, description and the archetype to keep."""
-    text = F.concat(
-        F.lit("Clean this startup record and answer with one strict JSON object.\n\nName: "),
-        F.coalesce(F.col("company_name"), F.lit(UNKNOWN)),
-        F.lit("\nDescription: "), raw_description(),
-        F.lit('\n\nFields: "industry" (short phrase), "failure_reasons" (two or three plain sentences), '
-              '"archetype" (keep as is: '),
-        F.coalesce(F.col("archetype"), F.lit(UNKNOWN)),
-        F.lit(').\nFormat: {"industry": "...", "failure_reasons": "...", "archetype": "..."}'),
-    )
-    return df.withColumn(out, text)
+    said = {c: F.coalesce(F.col(c), F.lit(UNKNOWN)) for c in ("company_name", "archetype")}
+    return df.withColumn(out, fill(template, {**said, "description": raw_description()}))
 
 
 def parse_strict(df: DataFrame, text_col: str = "raw", required: list[str] = PROFILE_FIELDS) -> DataFrame:

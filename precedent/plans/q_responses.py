@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from precedent.operators import enrich as J
 from precedent.operators import responses as M
 from precedent.plans.catalog import register
-from precedent.plans.tables import classification_answer, read
+from precedent.plans.tables import classification_answer, read, sql_text
 
 
 def _q(s: str) -> F.Column:
@@ -324,11 +324,12 @@ def response_merge(spark, d):
 # ---------------------------------------------------------------- M1
 @register(
     "request_profile_prompt",
-    """
-SELECT s_suppkey, 'Company: ' || coalesce(s_name, 'Unknown') || chr(10) || 'Industry: ' || coalesce(n_name, 'N/A') || chr(10)
-       || 'Funding: ' || coalesce(CASE WHEN s_acctbal >= 0 THEN '$' || printf('%.2f', s_acctbal) END, 'N/A') || chr(10)
-       || 'Raw failure notes: N/A' || chr(10) || 'Outcome: ' || 'nation ' || CAST(s_nationkey AS VARCHAR) || chr(10)
-       || 'Source: N/A' || chr(10) || chr(10) || 'Return the profile as JSON now.' AS prompt
+    "SELECT s_suppkey, " + sql_text(
+        M.PROFILE_TEMPLATE, company_name="coalesce(s_name, 'Unknown')", industry="coalesce(n_name, 'N/A')",
+        funding_amount="coalesce(CASE WHEN s_acctbal >= 0 THEN '$' || printf('%.2f', s_acctbal) END, 'N/A')",
+        failure_reasons="CASE WHEN s_suppkey % 3 = 0 THEN 'N/A' ELSE 'balance of ' || s_name END",
+        outcome="'nation ' || CAST(s_nationkey AS VARCHAR)",
+        source_url="CASE WHEN s_suppkey % 2 = 0 THEN 'N/A' ELSE 'https://s.example/' || CAST(s_suppkey AS VARCHAR) END") + """ AS prompt
 FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey""",
 )
 def request_profile_prompt(spark, d):
@@ -341,9 +342,9 @@ def request_profile_prompt(spark, d):
         F.when(F.col("s_acctbal") >= 0, F.concat(_q("$"), F.format_string("%.2f", F.col("s_acctbal")))).alias(
             "funding_amount"
         ),
-        F.lit(None).cast("string").alias("failure_reasons"),
+        F.when(F.col("s_suppkey") % 3 != 0, F.concat(_q("balance of "), F.col("s_name"))).alias("failure_reasons"),
         F.concat(_q("nation "), F.col("s_nationkey").cast("string")).alias("outcome"),
-        F.lit(None).cast("string").alias("source_url"),
+        F.when(F.col("s_suppkey") % 2 != 0, F.concat(_q("https://s.example/"), F.col("s_suppkey").cast("string"))).alias("source_url"),
     )
     return M.profile_prompt(recs).select("s_suppkey", "prompt")
 
@@ -351,14 +352,9 @@ def request_profile_prompt(spark, d):
 # ---------------------------------------------------------------- M2, M3
 @register(
     "request_cleanse_prompt",
-    """
-SELECT p_partkey, 'Clean this startup record and answer with one strict JSON object.' || chr(10) || chr(10) || 'Name: '
-       || p_name || chr(10) || 'Description: '
-       || coalesce(CASE WHEN p_size % 2 = 0 THEN p_type END, CASE WHEN p_size % 3 = 0 THEN p_brand END, '')
-       || chr(10) || chr(10)
-       || 'Fields: "industry" (short phrase), "failure_reasons" (two or three plain sentences), "archetype" (keep as is: '
-       || coalesce(CASE WHEN p_size > 10 THEN p_brand END, 'Unknown')
-       || ').' || chr(10) || 'Format: {"industry": "...", "failure_reasons": "...", "archetype": "..."}' AS prompt
+    "SELECT p_partkey, " + sql_text(
+        M.CLEANSE_TEMPLATE, company_name="p_name", archetype="coalesce(CASE WHEN p_size > 10 THEN p_brand END, 'Unknown')",
+        description="coalesce(CASE WHEN p_size % 2 = 0 THEN p_type END, CASE WHEN p_size % 3 = 0 THEN p_brand END, '')") + """ AS prompt
 FROM part""",
 )
 def request_cleanse_prompt(spark, d):

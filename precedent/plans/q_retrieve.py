@@ -78,9 +78,7 @@ def retrieve_filtered_top1(spark, d):
     return _round(out).select("query_id", "id", "company_name", "distance")
 
 
-MULTIROUTE_SQL = WITH + "," + pairs_sql(
-    "sql2", query_cols="classified q_industry q_archetype", case_cols="company_name industry archetype"
-) + """,
+MULTIROUTE_STEPS_SQL = """,
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS g,
          CASE WHEN classified AND industry = q_industry
@@ -103,6 +101,14 @@ allrows AS (SELECT * FROM merged UNION ALL SELECT * FROM fallback)
 """
 
 
+def multiroute_sql(metric: str = "sql2", tables: str = WITH) -> str:
+    cols = {"query_cols": "classified q_industry q_archetype", "case_cols": "company_name industry archetype"}
+    return tables + "," + pairs_sql(metric, **cols) + MULTIROUTE_STEPS_SQL
+
+
+MULTIROUTE_SQL = multiroute_sql()
+
+
 # ---------------------------------------------------------------- R2-R5, M15
 @register(
     "retrieve_multiroute",

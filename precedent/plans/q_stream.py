@@ -12,10 +12,13 @@ from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from precedent.operators import report as P
 from precedent.plans.catalog import register
-from precedent.plans.tables import CASES_SQL, cases, read, sql_cosine
+from precedent.plans.q_report import PERCENT_SQL, RESULTS_STEP_SQL, THREAT_SQL, flat_cases, sheet_sql
+from precedent.plans.q_retrieve import multiroute_sql
+from precedent.plans.tables import CASES_SQL, cases, queries, read, sql_cosine, sql_text
 from precedent.session import scratch_dir
-from precedent.streaming.requests import OUTPUT_COLUMNS, answer_requests, run_available
+from precedent.streaming.requests import OUTPUT_COLUMNS, REPORT_COLUMNS, answer_requests, read_requests, report_requests, run_available
 
 STREAM_SQL = f"""
 WITH {CASES_SQL.strip()},
@@ -111,6 +114,43 @@ def stream_dead_letters(spark, d):
     return out.select(*OUTPUT_COLUMNS)
 
 
+# Every turn with its whole text, and one blank request per conversation, through the whole chain.
+def _report_sql() -> str:
+    from precedent.operators.retrieve import REFUSAL_MESSAGE
+
+    nothing = "NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL"
+    return multiroute_sql("cosine") + RESULTS_STEP_SQL + "," + sheet_sql() + f""",
+said AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, conv_id, text FROM conversations
+         UNION ALL SELECT CAST(conv_id AS VARCHAR) || ':blank', conv_id, ' ' || chr(9) FROM conversations WHERE turn = 0),
+trimmed AS (SELECT request_id, conv_id, text, regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') AS t FROM said),
+j AS (SELECT t.*, s.* FROM trimmed t LEFT JOIN sheet s ON s.query_id = t.conv_id WHERE t.t <> '')
+SELECT request_id, 'ok' AS status, CAST(NULL AS VARCHAR) AS message, target_id, archetype, outcome, round(top1, 4) AS distance,
+       {PERCENT_SQL} AS match_percent, {THREAT_SQL} AS threat, matched_cases,
+       {sql_text(P.USER_TEMPLATE, request="t", cases="case_text")} AS user_message
+FROM j WHERE top1 <= 0.65
+UNION ALL SELECT request_id, 'refused', '{REFUSAL_MESSAGE.replace("'", "''")}', {nothing} FROM j WHERE top1 > 0.65
+UNION ALL SELECT request_id, 'error', 'no usable query vector', {nothing} FROM j WHERE query_id IS NULL
+UNION ALL SELECT request_id, 'rejected', CASE WHEN text IS NULL THEN 'missing' ELSE 'blank' END, {nothing} FROM trimmed WHERE t IS NULL OR t = ''"""
+
+
+@register("stream_report", _report_sql())
+def stream_report(spark, d):
+    """Requests as a stream: validated, recalled by all routes, gated, reported."""
+    source = read_requests(spark, read(spark, d, "conversations").schema, d, glob="conversations.parquet")
+    cs, qs = cases(spark, d), queries(spark, d)
+
+    def answer(batch):
+        conv = F.col("conv_id").cast("string")
+        turns = batch.select(F.concat(conv, F.lit(":"), F.col("turn").cast("string")).alias("request_id"),
+                             F.col("conv_id").alias("query_key"), F.col("text").alias("request"))
+        blank = batch.where("turn = 0").select(F.concat(conv, F.lit(":blank")).alias("request_id"),
+                                               F.col("conv_id").alias("query_key"), F.lit(" \t").alias("request"))
+        return report_requests(turns.unionByName(blank), cs, qs)
+
+    out = run_available(spark, source, answer, scratch_dir(spark, "stream-sink"), scratch_dir(spark, "stream-ckpt"), held=(cs,))
+    return out.select(*REPORT_COLUMNS).withColumn("matched_cases", flat_cases())
+
+
 # ---------------------------------------------------------------- R11 (rows only)
 @register("encode_text")
 def encode_text(spark, d):

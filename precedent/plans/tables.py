@@ -141,3 +141,11 @@ pairs AS (
   SELECT q.query_id, c.id{qc}{cc}, {dist} AS d
   FROM queries q JOIN cases c ON c.id <> q.query_id
 )"""
+
+
+def sql_text(template: str, **fields: str) -> str:
+    """SQL of a text template: each {name} replaced by its expression (oracle only)."""
+    out = "'" + template.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for name, expr in fields.items():
+        out = out.replace("{" + name + "}", f"' || {expr} || '")
+    return "(" + out + ")"

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from precedent.functions.vectors import vector_status
+from precedent.operators import report as P
 from precedent.operators import retrieve as R
 from precedent.operators.knn import Route, broadcastable, nearest
 from precedent.operators.quality import validate_requests
@@ -84,6 +85,60 @@ def answer_requests(
     return answers.unionByName(dead.select("request_id", "status", *nothing, F.col("reason").alias("message")))
 
 
+REPORT_COLUMNS = ["request_id", "status", "message", "target_id", "archetype", "outcome", "distance", "match_percent", "threat",
+                  "matched_cases", "user_message"]
+
+
+def report_requests(
+    requests: DataFrame,
+    cases: DataFrame,
+    queries: DataFrame,
+    *,
+    text_col: str = "request",
+    metric: str = "cosine",
+    threshold: float | None = R.GATE_THRESHOLD,
+    exclude_self: bool = True,
+    case_template: str = P.CASE_TEMPLATE,
+    user_template: str = P.USER_TEMPLATE,
+) -> DataFrame:
+    """The whole answer of a table of requests ``(request_id, query_key,
+    text_col)``: validation, multi-route recall, gate, report and prompt.
+
+    ``queries`` holds one row per key: (query_id, embedding, classified,
+    q_industry, q_archetype); ``cases`` the columns of ``retrieve.multiroute``
+    and funding_amount, archetype, industry and document. A key is searched
+    once however many requests share it. One row per request (REPORT_COLUMNS):
+    'ok' with its report, 'refused' (nearest case beyond ``threshold``; None
+    lets all pass) with the message, 'error' where no case can be found for
+    the key, 'rejected' where the text is missing or blank."""
+    checked = validate_requests(
+        requests.select("request_id", "query_key", F.col(text_col).alias("_text")), "_text", "_said")
+    alive = checked.where("status = 'ok'").select("request_id", "query_key", "_said")
+    wanted = queries.join(alive.select(F.col("query_key").alias("query_id")).distinct(), "query_id", "left_semi")
+    found = R.multiroute(cases, wanted, metric=metric, exclude_self=exclude_self,
+                         payload=["funding_amount", "archetype", "industry", "document"])
+    sheets = P.sheet(found, case_template=case_template).withColumnRenamed("query_id", "_key")
+    # AQE broadcasts the sheets by their real size or splits a key that many requests share
+    j = alive.join(sheets, alive["query_key"].cast(sheets.schema["_key"].dataType) == F.col("_key"), "left")
+    no = F.lit(False) if threshold is None else R.refused(F.col("top1_distance"), threshold)
+    j = j.withColumn("status", F.when(F.col("_key").isNull(), F.lit("error")).when(no, F.lit("refused")).otherwise(F.lit("ok")))
+    ok = F.col("status") == "ok"
+    message = F.when(F.col("status") == "error", F.lit("no usable query vector")).when(
+        F.col("status") == "refused", F.lit(R.REFUSAL_MESSAGE))
+    answers = j.withColumn("user_message", P.user_message(F.col("_said"), F.col("case_text"), user_template)).select(
+        "request_id", "status", message.alias("message"), *[F.when(ok, F.col(c)).alias(c) for c in REPORT_COLUMNS[3:]])
+    nothing = [F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in REPORT_COLUMNS[3:]]
+    dead = checked.where("status <> 'ok'").select("request_id", "status", F.col("reason").alias("message"), *nothing)
+    return answers.unionByName(dead)
+
+
+def read_requests(spark: SparkSession, schema, path: str, *, max_bytes: int = 256 << 20, glob: str | None = None) -> DataFrame:
+    """Parquet requests as a stream whose micro-batches are bounded by the
+    bytes of their files (at least one file each)."""
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
+
+
 def batch_writer(sink: str, answer: Callable[[DataFrame], DataFrame]):
     """foreachBatch body: answer the batch, overwrite its own partition."""
 
@@ -105,15 +160,25 @@ def run_available(
     answer: Callable[[DataFrame], DataFrame],
     sink: str,
     checkpoint: str,
+    held: tuple[DataFrame, ...] = (),
 ) -> DataFrame:
-    """Process everything available now (then stop) and return the sink."""
-    q = (
-        source.writeStream.foreachBatch(batch_writer(sink, answer))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    """Process everything available now (then stop) and return the sink.
+    ``held`` are tables that every micro-batch reads (the cases): they stay on
+    the executors, by partition, from the first batch to the last; a lost
+    partition is read again."""
+    for table in held:
+        table.persist()
+    try:
+        q = (
+            source.writeStream.foreachBatch(batch_writer(sink, answer))
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        q.awaitTermination()
+    finally:
+        for table in held:
+            table.unpersist()
     if q.exception() is not None:
         raise q.exception()
     return spark.read.parquet(sink)

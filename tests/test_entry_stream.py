@@ -76,3 +76,55 @@ def test_requests_without_text_are_dead_letters(spark):
     assert sorted((r.request_id, r.status, r.id, r.message) for r in out.collect()) == [
         (1, "ok", 1, None), (2, "rejected", None, "blank"), (3, "rejected", None, "missing"), (4, "rejected", None, "blank"),
         (5, "error", None, "no usable query vector")]
+
+
+def _report_inputs(spark):
+    cases = spark.createDataFrame(
+        [(1, [1.0, 0.0], "A", "f", "x", None, "Industry: f. Reasons: r1. Archetype: x."),
+         (2, [0.9, 0.1], "B", "g", "x", "$2M", "Industry: g. Reasons: r2. Archetype: x."),
+         (3, [0.0, 1.0], "C", "f", "y", "$3M", "no markers")],
+        "id long, embedding array<float>, company_name string, industry string, archetype string, funding_amount string, document string")
+    queries = spark.createDataFrame(
+        [(10, [1.0, 0.05], True, "g", "y"), (11, [0.0, 0.0], True, "f", "x"), (12, [-1.0, -0.2], False, None, None)],
+        "query_id long, embedding array<float>, classified boolean, q_industry string, q_archetype string")
+    requests = spark.createDataFrame(
+        [(1, 10, " ask "), (2, 10, "\t\n"), (3, None, None), (4, 11, "zero"), (5, 12, "far"), (6, 99, "gone"), (7, 10, "again"), (8, None, "no key")],
+        "request_id long, query_key long, request string")
+    return requests, cases, queries
+
+
+def test_report_of_every_request(spark):
+    from precedent.streaming.requests import REPORT_COLUMNS, report_requests
+
+    requests, cases, queries = _report_inputs(spark)
+    out = report_requests(requests, cases, queries, exclude_self=False)
+    assert out.columns == REPORT_COLUMNS
+    rows = {r.request_id: r for r in out.collect()}
+    assert {k: (r.status, r.message) for k, r in rows.items() if k not in (5,)} == {
+        1: ("ok", None), 2: ("rejected", "blank"), 3: ("rejected", "missing"), 4: ("error", "no usable query vector"),
+        6: ("error", "no usable query vector"), 7: ("ok", None), 8: ("error", "no usable query vector")}
+    assert rows[5].status == "refused" and rows[5].message and rows[5].matched_cases is None and rows[5].target_id is None
+    one = rows[1]
+    assert (one.target_id, one.outcome, one.threat) == ("A", "Raised Unknown, then failed: r1", "CRITICAL")
+    # routes: industry g -> B, archetype y -> C, nearest -> A; ordered by distance
+    assert [(m.company_name, m.failure_reasons) for m in one.matched_cases] == [("A", "r1"), ("B", "r2"), ("C", "no markers")]
+    assert "\nask\n" in one.user_message and "\nagain\n" in rows[7].user_message
+    every = report_requests(requests, cases, queries, exclude_self=False, threshold=None)
+    assert every.where("request_id = 5").first().status == "ok"
+
+
+def test_report_stream_equals_batch_over_several_batches(spark):
+    from precedent.streaming.requests import read_requests, report_requests, run_available
+
+    requests, cases, queries = _report_inputs(spark)
+    src = tempfile.mkdtemp(prefix="report-src-")
+    requests.repartition(4).write.mode("overwrite").parquet(src)
+
+    def answer(batch):
+        return report_requests(batch, cases, queries, exclude_self=False)
+
+    sink, ckpt = tempfile.mkdtemp(prefix="sink-"), tempfile.mkdtemp(prefix="ckpt-")
+    out = run_available(spark, read_requests(spark, requests.schema, src, max_bytes=1), answer, sink, ckpt, held=(cases,))
+    assert out.select("batch_id").distinct().count() > 1 and not cases.is_cached
+    got, want = sorted(map(str, out.drop("batch_id").collect())), sorted(map(str, answer(requests).collect()))
+    assert got == want

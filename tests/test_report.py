@@ -37,7 +37,12 @@ def test_prompt_summary_and_nested_matches(spark):
     msg = P.prompt_messages(res, q).first()
     assert [m.role for m in msg.messages] == ["system", "user"]
     user = msg.user_message
-    assert user.index("--- Case 1: A") < user.index("--- Case 2: B") and user.endswith("my idea")
+    assert "my idea" in user and user.index("(1) arc1") < user.index("(2) arc2") and "Venture: A; capital raised: \n" in user
+    own = P.prompt_messages(res, q, case_template="{rank}={company_name}", separator="+", user_template="{cases}?{request}").first()
+    assert own.user_message == "1=A+2=B?my idea"
+    one = P.sheet(res).first()
+    assert (one.target_id, one.distance, one.match_percent, one.threat, len(one.matched_cases)) == ("A", 0.1, 90, "CRITICAL", 2)
+    assert one.case_text in user
     s = P.summary(res).first()
     assert (s.target_id, s.outcome, s.distance) == ("A", "Raised Unknown, then failed: first.", 0.1)
     m = P.matched_cases(res).first().matched_cases

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from precedent.operators import responses as M
@@ -85,9 +86,13 @@ def test_prompts_defaults(spark):
     p = M.profile_prompt(df.select("company_name", *[F.lit(None).cast("string").alias(c) for c in
                                                      ["industry", "funding_amount", "failure_reasons", "outcome", "source_url"]]))
     t = p.first().prompt
-    assert t.startswith("Company: Unknown\nIndustry: N/A")
+    assert "* Unknown worked in N/A and had raised N/A" in t and "as noted: N/A" in t
     c = M.cleanse_prompt(df.withColumn("archetype", F.lit(None).cast("string"))).first().prompt
-    assert "Description: \n" in c and "keep as is: Unknown" in c
+    assert 'Keep the archetype "Unknown"' in c and c.endswith("Note on Unknown: \n")
+    own = M.cleanse_prompt(df.withColumn("archetype", F.lit("A")), template="{{{archetype}}}/{company_name}").first().prompt
+    assert own == "{A}/Unknown"
+    with pytest.raises(ValueError):
+        M.profile_prompt(df, template="{nothing}")
 
 
 def test_classification_answers(spark):
