@@ -10,7 +10,7 @@ from precedent.plans.catalog import register
 from precedent.plans.tables import read
 from precedent.session import scratch_dir
 from precedent.sources import collection as S
-from precedent.sources import json_io
+from precedent.sources import json_arrays, json_io
 from precedent.sources import versions as V
 
 
@@ -142,3 +142,15 @@ def io_json_roundtrip(spark, d):
     path = json_io.write_records(part_records(spark, d), scratch_dir(spark, "records-json"))
     schema = "p_partkey long, company_name string, industry string, failure_reasons string, funding_amount string, archetype string"
     return json_io.read_records(spark, path, schema, multiline=False)
+
+
+@register(
+    "io_json_arrays",
+    PART_SQL + """SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_partkey, company_name, industry, failure_reasons,
+       funding_amount, archetype FROM rec""",
+)
+def io_json_arrays(spark, d):
+    """Records written as JSON arrays in order and read back by split, numbered in that order."""
+    path = json_arrays.write_arrays(part_records(spark, d).orderBy("p_partkey"), scratch_dir(spark, "records-arrays"))
+    schema = "p_partkey long, company_name string, industry string, failure_reasons string, funding_amount string, archetype string"
+    return json_arrays.read_arrays(spark, path, schema, with_position=True)
