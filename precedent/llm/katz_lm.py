@@ -1,22 +1,28 @@
 """Katz backoff language model over whole tables.
 
-Tokens of a text: its words after lower-casing A-Z, then one end. A bigram model
-with a unigram model below it. Counts up to CUT are discounted by Good-Turing
-(Katz' form); the mass set free in a history is given to the tokens not seen
-after it, in proportion to their unigram probability, by a backoff weight that
+Tokens of a text: its words after lower-casing A-Z, then one end. The model has
+``order`` levels: n-grams of one token up to ``order``. Counts up to CUT are
+discounted by Good-Turing (Katz' form, from the counts of that level); the mass
+set free in a history is given to the tokens not seen after it, in proportion to
+their probability one level below (which backs off in turn), by a weight that
 makes the distribution of every history sum to one exactly. The unigram mass set
 free goes to the one unknown token. Where nothing would be set free (no count of
-a history is discounted), its denominator is one larger.
+a history is discounted), its denominator is one larger. The history of a first
+token is the start of a text, at every level.
 
 How it runs: texts become blocks of tokens (word hashes, a dictionary and ids per
-block). A block sends, for each part of the hash space, its distinct words or
-bigrams with their training counts, as packed arrays; the task that holds a part
-adds them up, writes that part of the count table, and answers each block in the
-order it asked. So a token is never shuffled by itself, a frequent word or bigram
-crosses the network once per block, and the tables may grow with the corpus
-without ever being broadcast. A history that holds more than 1/parts of all
-training tokens (fewer than ``parts`` of them can) is dealt by its next word, and
-only its sums are gathered.
+block). Level by level a block sends, for each part of the n-grams, its distinct
+ones with their training counts, as packed arrays; the task that holds a part adds
+them up, writes that part of the count table, and answers each block in the order
+it asked. An answer holds the counts, the numbers that the next level's histories
+are made of, one byte per history (which counts occur in it, so its denominator),
+and only for histories with a token not seen in training the sums that its weight
+needs. What a seen n-gram takes from the level below is a count that the block has
+already. So a token is never shuffled by itself, a frequent n-gram crosses the
+network once per block, and the tables may grow with the corpus without ever being
+broadcast. A history that holds more than 1/parts of all training tokens (fewer
+than ``parts`` of them can) is dealt by its next word, and only its sums are
+gathered. Tasks are as many as parts or blocks, so none grows with the input.
 """
 
 from __future__ import annotations
@@ -31,11 +37,13 @@ from precedent.llm.common import fold, save
 from precedent.llm.tokens import Hasher, id_array, texts, words
 
 CUT = 5
+ORDER = 3
 BLOCK_BYTES = 8 << 20
 PART_TOKENS = 1 << 20
 _U = np.uint64
 END = _U(0x5EED0E0D5EED0E0D)
-NONE = np.uint32(0xFFFFFFFF)
+# Numbers of n-grams are part << 32 | place in the part's table; these two are none of them.
+START, UNKNOWN = _U(1 << 62), _U(1 << 62 | 1)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -200,8 +208,8 @@ def _cuts(part: np.ndarray):
     return [(int(part[i]), i, j) for i, j in zip(edge, edge[1:]) if j > i]
 
 
-ASK = "part long, block long, x binary, y binary, z binary, u binary, v binary"
-REPLY = "kind int, block long, part long, x binary, y binary, z binary, u binary"
+ASK = "part long, block long, h binary, w binary, n binary, c binary, z binary"
+REPLY = "kind int, level int, block long, part long, x binary, y binary, z binary, u binary"
 
 
 def _ask_words(bits):
@@ -212,155 +220,208 @@ def _ask_words(bits):
                 train = _train_mask(unpack(held, bool), unpack(sizes, np.int64))
                 n = np.bincount(tokens[train], minlength=len(terms))
                 for part, i, j in _cuts((terms >> _U(64 - bits)).astype(np.int64)):
-                    yield part, block, pack_ascending(terms[i:j]), pack(n[i:j]), None, None, None
+                    yield part, block, None, pack_ascending(terms[i:j]), pack(n[i:j].astype(np.uint32)), None, None
 
         yield from _emit(ASK, rows())
 
     return run
 
 
+def _places(n: np.ndarray) -> np.ndarray:
+    """Place in the table (of what occurs in training) of each entry counted."""
+    return (np.cumsum(n > 0) - (n > 0)).astype(np.uint32)
+
+
 def _count_words(batches):
     """kind 0: a part of the count table (x: hashes, y: counts, ascending hash);
-    kind 1: answers (x: place in the part or NONE, y: counts)."""
+    kind 1: answers (x: counts, y: places)."""
 
     def rows():
         for asked in _grouped(_rows(batches), 0):
-            keys, counts = [unpack_ascending(r[2]) for r in asked], [unpack(r[3], np.int64) for r in asked]
+            keys, counts = [unpack_ascending(r[3]) for r in asked], [unpack(r[4], np.uint32) for r in asked]
             terms, at = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(at, np.concatenate(counts), len(terms)).astype(np.int64)
-            place = np.where(n > 0, np.cumsum(n > 0) - 1, NONE).astype(np.uint32)
-            yield 0, -1, asked[0][0], pack_ascending(terms[n > 0]), pack(n[n > 0]), None, None
+            place = _places(n)
+            yield 0, 1, -1, asked[0][0], pack_ascending(terms[n > 0]), pack(n[n > 0]), None, None
             first = 0
             for r, k in zip(asked, keys):
                 mine = at[first : first + len(k)]
                 first += len(k)
-                yield 1, r[1], r[0], pack(place[mine]), pack(n[mine]), None, None
+                yield 1, 1, r[1], r[0], pack(n[mine]), pack(place[mine]), None, None
 
     yield from _emit(REPLY, rows())
 
 
 def _histogram(batches):
     """Sums over parts of a count table: r, types that occur r times (r up to
-    CUT + 1), 0 for all tokens, -1 for all types, -2 - part for its types."""
+    CUT + 1), 0 for all tokens, -1 for all types."""
     for r in _rows(batches):
-        n = unpack(r[1], np.int64)
-        out = {0: int(n.sum()), -1: len(n), -2 - r[0]: len(n)}
-        for c in range(1, CUT + 2):
-            out[c] = int((n == c).sum())
+        n = unpack(r[0], np.int64)
+        out = {0: int(n.sum()), -1: len(n)} | {c: int((n == c).sum()) for c in range(1, CUT + 2)}
         yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array(list(out.values()))], ["r", "n"])
 
 
 def _sums(table: DataFrame) -> dict[int, int]:
-    got = table.select("part", "y").mapInArrow(_histogram, "r long, n long").groupBy("r").agg(F.sum("n").alias("n"))
+    got = table.where("kind = 0").select("y").mapInArrow(_histogram, "r long, n long").groupBy("r").agg(F.sum("n").alias("n"))
     return {r["r"]: r["n"] for r in got.collect()}
 
 
 class Plan:
-    """What every task knows: sizes, parts and unigram probabilities."""
+    """What every task knows: sizes, the discounts of the levels counted so far,
+    and the sums of hot histories by level (fewer than ``parts`` each)."""
 
-    def __init__(self, parts: int, bits: int, sums: dict[int, int], train_docs: int) -> None:
-        self.parts, self.bits, self.train_docs = parts, bits, train_docs
+    def __init__(self, parts: int, sums: dict[int, int], train_docs: int) -> None:
+        self.parts, self.train_docs = parts, train_docs
         self.n, self.v = sums.get(0, 0), sums.get(-1, 0)
-        sizes = np.array([sums.get(-2 - p, 0) for p in range(1 << bits)], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.p1 = Unigrams(self.n, sums)
+        self.d, self.hot = {1: self.p1.d}, {}
+
+    def kept(self, c: np.ndarray, level: int) -> np.ndarray:
+        """Discounted counts."""
+        return c * np.where(c <= CUT, self.d[level][np.minimum(c, CUT)], 1.0)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0x9E3779B97F4A7C15)
+    return x ^ (x >> _U(32))
+
+
+def _pairs(history: np.ndarray, word: np.ndarray):
+    """Distinct (history, word): one index of each, and the number of each row's."""
+    hs, h = np.unique(history, return_inverse=True)
+    w = np.unique(word, return_inverse=True)[1]
+    _, some, at = np.unique(h.astype(_U) << _U(32) | w.astype(_U), return_index=True, return_inverse=True)
+    return some, at
+
+
+def backoff(stats: np.ndarray, below: np.ndarray, ch: np.ndarray, d: np.ndarray):
+    """Denominator and backoff weight of histories with training count ch: row
+    r - 1 of ``stats`` holds how many next words occur r times, up to CUT;
+    ``below`` is the probability of all next words one level below."""
+    r = np.arange(1, CUT + 1)
+    freed = (stats * (r * (1 - d[r]))[:, None]).sum(axis=0)
+    z = _denominator((stats > 0).T @ (1 << (r - 1)), ch, d)
+    return z, (freed + z - ch) / z / (1 - below)
 
-    def known(self, answers):
-        """Number (v + 1 if unknown) and training count of a block's terms."""
-        number, count = [], []
-        for part, x, y in answers:
-            place = unpack(x, np.uint32)
-            number.append(np.where(place == NONE, self.v + 1, self.first[part] + place))
-            count.append(unpack(y, np.int64))
-        return np.concatenate(number), np.concatenate(count)
 
+def _denominator(occurs: np.ndarray, ch: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """ch, or one more where no count that occurs (bit r - 1: r) is discounted."""
+    cut = sum(1 << (r - 1) for r in range(1, CUT + 1) if d[r] < 1)
+    return ch + ((occurs & cut) == 0)
 
-def _bigrams(block, answers, plan):
-    """Of a block: distinct (history, word) numbers ascending, their index for
-    each token, training counts, counts of history and word by token type.
-    The history of a first token is number v; its count that of training texts."""
+
+def _climb(block, replies, plan, level=None):
+    """Goes up the levels with the answers to a block. Up to ``level``: the rows
+    to ask for there. Without one: log10 probabilities and training counts of its
+    tokens."""
     _, _, _, _, held, sizes, terms, tokens = block
     held, sizes, tokens = unpack(held, bool), unpack(sizes, np.int64), _terms(terms, tokens)[1]
-    number, count = plan.known(answers)
-    word, c = number[tokens], count[tokens]
-    history, ch = np.empty_like(word), np.empty_like(c)
-    history[1:], ch[1:] = word[:-1], c[:-1]
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    history[first], ch[first] = plan.v, plan.train_docs
-    key, at = np.unique(history.astype(_U) << _U(32) | word.astype(_U), return_inverse=True)
-    n = np.bincount(at[_train_mask(held, sizes)], minlength=len(key)).astype(np.uint32)
-    some = np.empty(len(key), np.int64)
-    some[at] = np.arange(len(at))
-    return key, at, n, ch[some], c[some], c
-
-
-def _dealt(key, ch, plan):
-    """Part of each bigram: by history, or by word under a hot history; and the
-    order that sorts them by part."""
-    span = plan.v + 2
-    hot = ch * plan.parts > plan.n
-    who = np.where(hot, key & _U(0xFFFFFFFF), key >> _U(32)).astype(np.int64)
-    part = who * plan.parts // span
-    return hot, part, np.argsort(part, kind="stable")
+    train = _train_mask(held, sizes)
+    mine = [r for r in replies if r[1] == 1]
+    c = np.concatenate([unpack(r[4], np.int64) for r in mine])
+    number = np.concatenate([unpack(r[5], np.uint32) | _U(r[3] << 32) for r in mine])
+    word, c = np.where(c > 0, number, UNKNOWN)[tokens], c[tokens]
+    p, gram, cg, zg = plan.p1(c), word, c, np.full(len(c), plan.p1.z, np.int64)
+    for k in range(2, (level or max(plan.d)) + 1):
+        history, ch = np.empty_like(gram), np.empty_like(cg)
+        history[1:], ch[1:] = gram[:-1], cg[:-1]
+        history[first], ch[first] = START, plan.train_docs
+        some, at = _pairs(history, word)
+        h, w, of = history[some], word[some], ch[some]
+        hot = of * plan.parts > plan.n
+        part = (_mixed(np.where(hot, w, h)) % _U(plan.parts)).astype(np.int64)
+        live = np.flatnonzero(h != UNKNOWN)  # an unknown history has no n-grams
+        order = live[np.argsort(part[live], kind="stable")]
+        cuts = list(_cuts(part[order]))
+        if k == level:
+            n = np.bincount(at[train], minlength=len(some)).astype(np.uint32)
+            return [_question(q, block[0], order[i:j], h, w, n, cg[some], np.where(hot, -zg[some], zg[some])) for q, i, j in cuts]
+        n, z, weight, number = np.zeros(len(some), np.int64), np.ones(len(some), np.int64), np.ones(len(some)), np.full(len(some), UNKNOWN)
+        for (q, i, j), r in zip(cuts, (r for r in replies if r[1] == k), strict=True):
+            own = order[i:j]
+            n[own], number[own], z[own], weight[own] = _answer(r, h[own], of[own], plan, k)
+        p = np.where(n[at] > 0, plan.kept(n, k)[at] / z[at], weight[at] * p)
+        gram, cg, zg = np.where(n > 0, number, UNKNOWN)[at], n[at], z[at]
+    return np.log10(p), c, first, held, sizes
+
+
+def _question(part, block, own, h, w, n, c, z):
+    """A row of ASK: n-grams by history, training counts, counts of what is left
+    of them one level below; z: that level's denominator per history, negative
+    where the history is hot."""
+    starts = np.unique(h[own], return_index=True)[1]
+    return part, block, pack_ascending(h[own]), pack(w[own]), pack(n[own]), pack(c[own].astype(np.uint32)), pack(z[own][starts])
+
+
+def _answer(reply, h, ch, plan, level):
+    """Counts, numbers, denominators and weights of the n-grams of a question."""
+    n = unpack(reply[4], np.uint32).astype(np.int64)
+    hs, some, of = np.unique(h, return_index=True, return_inverse=True)
+    occurs, place = unpack(reply[5], np.uint8).astype(np.int64), unpack(reply[7], np.uint32)
+    needy = np.bincount(of[n == 0], minlength=len(hs)) > 0
+    sums = unpack(reply[6], np.float64).reshape(CUT + 1, -1)
+    weight, d = np.ones(len(hs)), plan.d[level]
+    weight[needy] = backoff(sums[:CUT], sums[CUT], ch[some][needy], d)[1]
+    z = _denominator(occurs, ch[some], d)
+    if level in plan.hot:  # the sums over all parts
+        of_hot, hot_sums = plan.hot[level]
+        there = np.isin(hs, of_hot)
+        at = np.searchsorted(of_hot, hs[there])
+        z[there], weight[there] = backoff(hot_sums[:CUT, at], hot_sums[CUT, at], ch[some][there], d)
+    number = place | _U(reply[3] << 32) if len(place) else np.full(len(n), UNKNOWN)
+    return n, number, z[of], weight[of]
 
 
 def _blocks_with_answers(batches):
-    """Rows sorted by (block, kind, part): the block row, then its answers."""
-    for rows in _grouped(_rows(batches), 0):
-        yield rows[0][3:11], [r[1:] for r in rows[1:]]
+    """Rows sorted by (block, kind, level, part): the block row, then its answers."""
+    for rows in _grouped(_rows(batches), 2):
+        yield rows[0][8:], rows[1:]
 
 
-def _ask_bigrams(plan):
+def _ask_grams(plan, level):
     def run(batches):
-        def rows():
-            for block, answers in _blocks_with_answers(batches):
-                key, _, n, ch, cw, _ = _bigrams(block, [(a[1], a[-4], a[-3]) for a in answers], plan)
-                hot, part, order = _dealt(key, ch, plan)
-                keep = order[(key[order] >> _U(32)) <= _U(plan.v)]  # an unknown history has no bigrams
-                for p, i, j in _cuts(part[keep]):
-                    own = keep[i:j]
-                    yield p, block[0], pack_ascending(key[own]), pack(n[own]), pack(cw[own]), pack(hot[own]), None
-
-        yield from _emit(ASK, rows())
+        yield from _emit(ASK, (q for block, replies in _blocks_with_answers(batches) for q in _climb(block, replies, plan, level)))
 
     return run
 
 
-def _count_bigrams(plan):
-    """kind 0: a part of the bigram table (x: keys, y: counts > 0); kind 1:
-    answers (x: count of each bigram asked for, y: histories, z: their numbers
-    of next words by count 1..CUT and the sum of larger counts, u: the sum of
-    unigram probabilities of their next words); kind 2: z and u of the hot
-    histories y in this part."""
+def _count_grams(plan, level, last):
+    """kind 0: a part of the count table (x: histories, y: counts, z: words);
+    kind 1: answers (x: counts, y: a byte per history, z: sums of histories with
+    a token not seen, u: places unless this level is the last); kind 2: sums z of
+    the hot histories x in this part."""
 
     def run(batches):
         def rows():
             for asked in _grouped(_rows(batches), 0):
-                keys = [unpack_ascending(r[2]) for r in asked]
-                every = np.concatenate(keys)
-                key, at = np.unique(every, return_inverse=True)
-                n = np.bincount(at, np.concatenate([unpack(r[3], np.uint32) for r in asked]), len(key)).astype(np.int64)
-                cw, hot = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-                cw[at] = np.concatenate([unpack(r[4], np.int64) for r in asked])
-                hot[at] = np.concatenate([unpack(r[5], bool) for r in asked])
-                history, of = np.unique(key >> _U(32), return_inverse=True)
+                part, own = asked[0][0], [unpack_ascending(r[2]) for r in asked]
+                history, word = np.concatenate(own), np.concatenate([unpack(r[3], _U) for r in asked])
+                some, at = _pairs(history, word)
+                n = np.bincount(at, np.concatenate([unpack(r[4], np.uint32) for r in asked]), len(some)).astype(np.int64)
+                c = np.concatenate([unpack(r[5], np.uint32) for r in asked])[some].astype(np.int64)
+                hs, of = np.unique(history[some], return_inverse=True)
+                z, places = np.empty(len(hs), np.int64), []
+                for r, h in zip(asked, own):
+                    places.append(np.searchsorted(hs, np.unique(h)))
+                    z[places[-1]] = unpack(r[6], np.int64)
                 seen = n > 0
-                stats = np.zeros((CUT + 1, len(history)), np.int64)
+                sums = np.zeros((CUT + 1, len(hs)))
                 for r in range(1, CUT + 1):
-                    stats[r - 1] = np.bincount(of[n == r], minlength=len(history))
-                stats[CUT] = np.bincount(of[n > CUT], n[n > CUT], len(history))
-                below = np.bincount(of[seen], plan.p1(cw[seen]), len(history))
-                yield 0, -1, asked[0][0], pack_ascending(key[seen]), pack(n[seen]), None, None
-                is_hot = np.zeros(len(history), bool)
-                is_hot[of] = hot
-                if is_hot.any():
-                    yield (2, -1, asked[0][0], None, pack_ascending(history[is_hot]), pack(stats[:, is_hot]), pack(below[is_hot]))
+                    sums[r - 1] = np.bincount(of[n == r], minlength=len(hs))
+                sums[CUT] = np.bincount(of[seen], (plan.kept(c, level - 1) / np.abs(z[of]))[seen], len(hs))
+                occurs = ((sums[:CUT] > 0).T @ (1 << np.arange(CUT))).astype(np.uint8)
+                place = _places(n)
+                yield 0, level, -1, part, pack_ascending(history[some][seen]), pack(n[seen]), pack(word[some][seen]), None
+                if (z < 0).any():
+                    yield 2, level, -1, part, pack_ascending(hs[z < 0]), None, pack(sums[:, z < 0]), None
                 first = 0
-                for r, k in zip(asked, keys):
-                    mine = at[first : first + len(k)]
-                    first += len(k)
-                    hs = np.unique(of[mine])
-                    yield 1, r[1], r[0], pack(n[mine].astype(np.uint32)), pack_ascending(history[hs]), pack(stats[:, hs]), pack(below[hs])
+                for r, h, there in zip(asked, own, places):
+                    mine = at[first : first + len(h)]
+                    first += len(h)
+                    needy = there[np.isin(there, of[mine][n[mine] == 0])]
+                    yield (1, level, r[1], part, pack(n[mine].astype(np.uint32)), pack(occurs[there]), pack(sums[:, needy]),
+                           pack(place[mine] if not last else place[:0]))
 
         yield from _emit(REPLY, rows())
 
@@ -368,57 +429,34 @@ def _count_bigrams(plan):
 
 
 def _hot_sums(batches):
-    for _, y, z, u in _rows(batches):
-        h, s, below = unpack_ascending(y).astype(np.int64), unpack(z, np.int64).reshape(CUT + 1, -1), unpack(u, float)
-        yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(x) for x in s), pa.array(below)],
-                                         ["h", *(f"m{r}" for r in range(CUT + 1)), "below"])
+    for x, z in _rows(batches):
+        h, s = unpack_ascending(x).astype(np.int64), unpack(z, np.float64).reshape(CUT + 1, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(row) for row in s)], ["h", *(f"m{r}" for r in range(CUT + 1))])
 
 
-def backoff(stats: np.ndarray, below: np.ndarray, ch: np.ndarray, d: np.ndarray):
-    """Denominator and backoff weight of histories with training count ch."""
-    kept = stats[CUT] + sum(stats[r - 1] * r * d[r] for r in range(1, CUT + 1))
-    z = np.where(ch - kept > 1e-9 * ch, ch, ch + 1.0)
-    return z, (z - kept) / z / (1 - below)
-
-
-def _score(plan, d, hot_stats):
-    def of_block(block, answers):
-        word_answers = [(a[1], a[-4], a[-3]) for a in answers if a[0] == 1]
-        replies = [a for a in answers if a[0] == 2]
-        key, at, _, ch, cw, c = _bigrams(block, word_answers, plan)
-        _, _, order = _dealt(key, ch, plan)
-        keep = order[(key[order] >> _U(32)) <= _U(plan.v)]
-        n = np.zeros(len(key), np.int64)
-        weight, z = np.ones(len(key)), np.ones(len(key))
-        if replies:
-            n[keep] = np.concatenate([unpack(a[-4], np.uint32) for a in replies])
-            h = [unpack_ascending(a[-3]) for a in replies]
-            stats = [unpack(a[-2], np.int64).reshape(CUT + 1, -1) for a in replies]
-            below = [unpack(a[-1], float) for a in replies]
-            if hot_stats is not None:
-                h, stats, below = h + [hot_stats[0]], stats + [hot_stats[1]], below + [hot_stats[2]]
-            h, stats, below = np.concatenate(h), np.concatenate(stats, axis=1), np.concatenate(below)
-            # the sums over all parts come last and win over those of one part
-            last = len(h) - 1 - np.unique(h[::-1], return_index=True)[1]
-            where = last[np.searchsorted(h[last], key[keep] >> _U(32))]
-            z[keep], weight[keep] = backoff(stats[:, where], below[where], ch[keep], d)
-        seen = n > 0
-        p = weight * plan.p1(cw)
-        p[seen] = n[seen] * np.where(n[seen] <= CUT, d[np.minimum(n[seen], CUT)], 1.0) / z[seen]
-        _, _, ids, nulls, held, sizes, _, _ = block
-        sizes = unpack(sizes, np.int64)
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+def _hot(table: DataFrame):
+    """Sums of the hot histories over all parts: fewer rows than parts."""
+    names = [f"m{r}" for r in range(CUT + 1)]
+    got = (table.where("kind = 2").select("x", "z").mapInArrow(_hot_sums, "h long, " + ", ".join(f"{m} double" for m in names))
+           .groupBy("h").agg(*[F.sum(m).alias(m) for m in names]).orderBy("h").collect())
+    if got:
+        return np.array([r["h"] for r in got], np.int64).astype(_U), np.array([[r[m] for r in got] for m in names])
+    return None
+
+
+def _score(plan):
+    def of_block(block, replies):
+        p, c, first, held, sizes = _climb(block, replies, plan)
         add = lambda x: np.add.reduceat(x, first)
-        base = np.log10((c + 1) / (plan.n + plan.v + 1))
-        ids = pa.array(unpack(ids, np.int64), mask=unpack(nulls, bool))
+        ids = pa.array(unpack(block[2], np.int64), mask=unpack(block[3], bool))
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(unpack(held, bool)), pa.array(sizes), pa.array(add((c > 0).astype(np.int64))),
-             pa.array(np.full(len(sizes), plan.n)), pa.array(add(base)), pa.array(add(np.log10(p)[at]))],
+            [ids, pa.array(held), pa.array(sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(sizes), plan.n)),
+             pa.array(add(np.log10((c + 1) / (plan.n + plan.v + 1)))), pa.array(add(p))],
             [x.split()[0] for x in RESULT.split(", ")])
 
     def run(batches):
-        for block, answers in _blocks_with_answers(batches):
-            yield of_block(block, answers)
+        for block, replies in _blocks_with_answers(batches):
+            yield of_block(block, replies)
 
     return run
 
@@ -427,19 +465,18 @@ RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
           "score double")
 
 
-def _together(held_blocks, replies):
-    """Block rows and the answers to each, sorted by (block, kind, part)."""
-    extra = [c.split()[0] for c in BLOCK.split(", ")]
-    own = held_blocks.select("block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"),
-                             *[F.col(c).alias(f"b_{c}") for c in extra],
-                             *[F.lit(None).cast("binary").alias(c) for c in "xyzu"])
-    rest = replies.select("block", "kind", "part", *[F.lit(None).cast("long" if c in ("block", "n") else "binary")
-                                                     .alias(f"b_{c}") for c in extra], *"xyzu")
-    return own.unionByName(rest).repartition("block").sortWithinPartitions("block", "kind", "part")
+def _together(blocks_of, replies, tasks):
+    """Block rows and the answers to each, sorted by (block, kind, level, part)."""
+    extra = [c.split() for c in BLOCK.split(", ")]
+    names = [c.split()[0] for c in REPLY.split(", ")]
+    own = blocks_of.select(F.lit(0).alias("kind"), F.lit(0).alias("level"), "block", F.lit(0).cast("long").alias("part"),
+                           *[F.lit(None).cast("binary").alias(c) for c in names[4:]], *[F.col(c).alias(f"b_{c}") for c, _ in extra])
+    rest = replies.select(*names, *[F.lit(None).cast(t).alias(f"b_{c}") for c, t in extra])
+    return own.unionByName(rest).repartition(tasks, "block").sortWithinPartitions("block", "kind", "level", "part")
 
 
 def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2,
-                part_tokens: int = PART_TOKENS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                part_tokens: int = PART_TOKENS, block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (add-one unigrams), score (log10 probability by the model).
 
@@ -452,29 +489,20 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold(id_col, folds, held).alias("held"),
                       F.col(text_col).cast("string").alias("text"))
     table = save(blocks(src, block_bytes), "token-blocks")
-    tokens = table.agg(F.sum("n")).first()[0] or 0
+    tokens, made = table.agg(F.sum("n"), F.count("*")).first()
     if not tokens:
         return spark.createDataFrame([], RESULT)
     parts = max(16, -(-tokens // part_tokens))
     bits = max(4, (parts - 1).bit_length())
-    by_part = lambda df: df.repartition("part").sortWithinPartitions("part")
-    counted = save(by_part(table.mapInArrow(_ask_words(bits), ASK)).mapInArrow(_count_words, REPLY), "word-counts")
-    train_docs = docs.where(~fold(id_col, folds, held)).count()
-    plan = Plan(parts, bits, _sums(counted.where("kind = 0")), train_docs)
-    if plan.v + 2 >= 1 << 32:
-        raise ValueError("more than 2^32 distinct words")
-    words_back = counted.where("kind = 1").select("kind", "block", "part", *"xyzu")
-    asked = _together(table, words_back).mapInArrow(_ask_bigrams(plan), ASK)
-    pairs = save(by_part(asked).mapInArrow(_count_bigrams(plan), REPLY), "bigram-counts")
-    d = discounts(_sums(pairs.where("kind = 0")))
-    sums = ", ".join(f"m{r} long" for r in range(CUT + 1))
-    hot = (pairs.where("kind = 2").select("part", "y", "z", "u").mapInArrow(_hot_sums, f"h long, {sums}, below double")
-           .groupBy("h").agg(*[F.sum(f"m{r}").alias(f"m{r}") for r in range(CUT + 1)], F.sum("below").alias("below"))
-           .collect())
-    hot_stats = None
-    if hot:
-        hot_stats = (np.array([r["h"] for r in hot], np.int64).astype(_U),
-                     np.array([[r[f"m{k}"] for r in hot] for k in range(CUT + 1)], np.int64),
-                     np.array([r["below"] for r in hot]))
-    replies = words_back.unionByName(pairs.where("kind = 1").select(F.lit(2).alias("kind"), "block", "part", *"xyzu"))
-    return _together(table, replies).mapInArrow(_score(plan, d, hot_stats), RESULT)
+    by_part = lambda df: df.repartition(parts, "part").sortWithinPartitions("part")
+    answers = save(by_part(table.mapInArrow(_ask_words(bits), ASK)).mapInArrow(_count_words, REPLY), "gram-1-counts")
+    plan = Plan(parts, _sums(answers), docs.where(~fold(id_col, folds, held)).count())
+    replies = answers.where("kind = 1")
+    for level in range(2, order + 1):
+        asked = _together(table, replies, made).mapInArrow(_ask_grams(plan, level), ASK)
+        answers = save(by_part(asked).mapInArrow(_count_grams(plan, level, level == order), REPLY), f"gram-{level}-counts")
+        plan.d[level], hot = discounts(_sums(answers)), _hot(answers)
+        if hot:
+            plan.hot[level] = hot
+        replies = replies.unionByName(answers.where("kind = 1"))
+    return _together(table, replies, made).mapInArrow(_score(plan), RESULT)

@@ -281,34 +281,45 @@ def test_spans_of_short_sentences_other_scripts_and_quotes(spark):
     assert all(got[i] == dict(rows)[i] for i in (1, 3, 5, 7, 8))
 
 
-def _katz(rows):
+def _katz(rows, order):
     toks = [((t or "").encode().lower().split() + [None], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
     c = Counter(w for ts, held in toks if not held for w in ts)
     n, v = sum(c.values()), len(c)
-    pairs, after = Counter(), defaultdict(dict)
-    for ts, held in toks:
-        for h, w in zip(["<s>", *ts], ts):
-            pairs[h, w] += not held
-    for (h, w), k in pairs.items():
-        if k:
-            after[h][w] = k
-    ch = Counter(c)
-    ch["<s>"] = sum(not held for _, held in toks)
-    uni, d = Unigrams(n, Counter(c.values())), discounts(Counter(k for k in pairs.values() if k))
-    p1 = lambda w: float(uni(np.array([c[w]]))[0])
-    kept = {h: sum((d[k] if k <= 5 else 1) * k for k in f.values()) for h, f in after.items()}
-    z = {h: ch[h] if ch[h] - kept[h] > 1e-9 * ch[h] else ch[h] + 1 for h in after}
-    back = {h: (z[h] - kept[h]) / z[h] / (1 - sum(map(p1, f))) for h, f in after.items()}
-    for h, f in list(after.items())[:50]:  # every history sums to one
-        seen = sum((d[k] if k <= 5 else 1) * k / z[h] for k in f.values())
-        assert abs(seen + back[h] * (sum(p1(w) for w in c if w not in f) + uni.unknown) - 1) < 1e-9
+    uni = Unigrams(n, Counter(c.values()))
+    after, d = [None, None], [None, None]  # by level: history -> next word -> count
+    for k in range(2, order + 1):
+        seen = defaultdict(Counter)
+        for ts, held in toks:
+            pad = ["<s>"] * (k - 1) + ts
+            for i, w in enumerate(ts):
+                if not held:
+                    seen[tuple(pad[i : i + k - 1])][w] += 1
+        after.append(seen)
+        d.append(discounts(Counter(x for f in seen.values() for x in f.values())))
+    kept = lambda x, k: (d[k][x] if x <= 5 else 1) * x
+    z, back = {}, {}
 
     def p(h, w):
-        k = after.get(h, {}).get(w, 0)
-        return (d[k] if k <= 5 else 1) * k / z[h] if k else back.get(h, 1.0) * p1(w)
-
-    return [(i, held, len(ts), sum(c[w] > 0 for w in ts), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ts),
-             sum(math.log10(p(h, w)) for h, w in zip(["<s>", *ts], ts))) for (i, _), (ts, held) in zip(rows, toks)]
+        k = len(h) + 1
+        if k == 1:
+            return float(uni(np.array([c[w]]))[0])
+        f = after[k].get(h)
+        if f is None:
+            return p(h[1:], w)
+        if h not in z:
+            ch, mine = sum(f.values()), sum(kept(x, k) for x in f.values())
+            z[h] = ch if ch - mine > 1e-9 * ch else ch + 1
+            back[h] = (z[h] - mine) / z[h] / (1 - sum(p(h[1:], x) for x in f))
+        return kept(f[w], k) / z[h] if w in f else back[h] * p(h[1:], w)
+
+    for h in [h for k in range(2, order + 1) for h in list(after[k])[:20]]:  # every history sums to one
+        assert abs(sum(p(h, w) for w in c) + p(h, "never seen") - 1) < 1e-9
+    out = []
+    for (i, _), (ts, held) in zip(rows, toks):
+        pad = ["<s>"] * (order - 1) + ts
+        out.append((i, held, len(ts), sum(c[w] > 0 for w in ts), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ts),
+                    sum(math.log10(p(tuple(pad[j : j + order - 1]), w)) for j, w in enumerate(ts))))
+    return out
 
 
 def test_katz_equals_brute_force_over_many_blocks_and_parts(spark):
@@ -316,12 +327,14 @@ def test_katz_equals_brute_force_over_many_blocks_and_parts(spark):
     docs = docs.unionByName(odd_docs(spark).select("doc_id", "text"))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
-    want = sorted(_katz(rows), key=key)
-    for part, block in ((1 << 20, 1 << 23), (2000, 20_000)):
-        got = sorted(map(tuple, katz_scores(docs, part_tokens=part, block_bytes=block).collect()), key=key)
+    for order, part, block in ((3, 1 << 20, 1 << 23), (3, 2000, 20_000), (2, 2000, 20_000), (4, 5000, 50_000), (1, 5000, 50_000)):
+        want = sorted(_katz(rows, order), key=key)
+        got = sorted(map(tuple, katz_scores(docs, part_tokens=part, block_bytes=block, order=order).collect()), key=key)
         assert [r[:5] for r in got] == [r[:5] for r in want]
         assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
     assert katz_scores(none(spark)).count() == 0
+    held = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")
+    assert {(r.train_tokens, r.score) for r in katz_scores(held).collect()} == {(0, 0.0)}
 
 
 def test_spdx_tags_are_met_word_for_word(spark):
