@@ -286,12 +286,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _pairs(history: np.ndarray, word: np.ndarray):
-    """Distinct (history, word): one index of each, and the number of each row's."""
-    hs, h = np.unique(history, return_inverse=True)
-    w = np.unique(word, return_inverse=True)[1]
-    _, some, at = np.unique(h.astype(_U) << _U(32) | w.astype(_U), return_index=True, return_inverse=True)
-    return some, at
+def _distinct(key: np.ndarray):
+    """Distinct values of ``key`` in ascending order: the index of one row of each,
+    and for each row the number of its value."""
+    order = np.argsort(key)
+    ascending = key[order]
+    new = np.empty(len(key), bool)
+    new[:1], new[1:] = True, ascending[1:] != ascending[:-1]
+    number = np.empty(len(key), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], number
+
+
+def _starts(ascending: np.ndarray) -> np.ndarray:
+    """Where each value of an ascending array begins."""
+    return np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]]))
 
 
 def backoff(stats: np.ndarray, below: np.ndarray, ch: np.ndarray, d: np.ndarray):
@@ -315,49 +324,60 @@ def _climb(block, replies, plan, level=None):
     to ask for there. Without one: log10 probabilities and training counts of its
     tokens."""
     _, _, _, _, held, sizes, terms, tokens = block
-    held, sizes, tokens = unpack(held, bool), unpack(sizes, np.int64), _terms(terms, tokens)[1]
+    held, sizes, tokens = unpack(held, bool), unpack(sizes, np.int64), _terms(terms, tokens)[1].astype(np.int32)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     train = _train_mask(held, sizes)
     mine = [r for r in replies if r[1] == 1]
     c = np.concatenate([unpack(r[4], np.int64) for r in mine])
-    number = np.concatenate([unpack(r[5], np.uint32) | _U(r[3] << 32) for r in mine])
-    word, c = np.where(c > 0, number, UNKNOWN)[tokens], c[tokens]
-    p, gram, cg, zg = plan.p1(c), word, c, np.full(len(c), plan.p1.z, np.int64)
+    words = np.where(c > 0, np.concatenate([unpack(r[5], np.uint32) | _U(r[3] << 32) for r in mine]), UNKNOWN)
+    word = np.where(c > 0, np.arange(len(c)), len(c)).astype(np.uint32)  # unknown words are one
+    p = plan.p1(c)[tokens]
+    # the n-gram that ends at each token, and of the block's n-grams: number, count, denominator
+    at, number, count, z = tokens, words, c, np.full(len(c), plan.p1.z, np.int64)
     for k in range(2, (level or max(plan.d)) + 1):
-        history, ch = np.empty_like(gram), np.empty_like(cg)
-        history[1:], ch[1:] = gram[:-1], cg[:-1]
-        history[first], ch[first] = START, plan.train_docs
-        some, at = _pairs(history, word)
-        h, w, of = history[some], word[some], ch[some]
-        hot = of * plan.parts > plan.n
-        part = (_mixed(np.where(hot, w, h)) % _U(plan.parts)).astype(np.int64)
-        live = np.flatnonzero(h != UNKNOWN)  # an unknown history has no n-grams
-        order = live[np.argsort(part[live], kind="stable")]
+        before = np.empty_like(at)
+        before[1:], before[first] = at[:-1], len(number)
+        from_number, from_count = np.append(number, START), np.append(count, plan.train_docs)
+        rank = np.empty(len(from_number), np.uint32)
+        rank[np.argsort(from_number)] = np.arange(len(from_number), dtype=np.uint32)
+        live = np.flatnonzero((from_number != UNKNOWN)[before])  # an unknown history has no n-grams
+        key = rank[before[live]].astype(_U) << _U(32) | word[tokens[live]]
+        some, of_token = _distinct(key)
+        some = live[some]
+        h, ch, w = from_number[before[some]], from_count[before[some]], words[tokens[some]]
+        hot = ch * plan.parts > plan.n
+        part = (_mixed(np.where(hot, w, h)) % _U(plan.parts)).astype(np.uint16 if plan.parts < 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
         cuts = list(_cuts(part[order]))
         if k == level:
-            n = np.bincount(at[train], minlength=len(some)).astype(np.uint32)
-            return [_question(q, block[0], order[i:j], h, w, n, cg[some], np.where(hot, -zg[some], zg[some])) for q, i, j in cuts]
-        n, z, weight, number = np.zeros(len(some), np.int64), np.ones(len(some), np.int64), np.ones(len(some)), np.full(len(some), UNKNOWN)
+            n = np.bincount(of_token[train[live]], minlength=len(some)).astype(np.uint32)
+            zs = z[at[some]]
+            return [_question(q, block[0], order[i:j], h, w, n, count[at[some]], np.where(hot, -zs, zs)) for q, i, j in cuts]
+        n, zs, weight, own_number = np.zeros(len(some), np.int64), np.ones(len(some), np.int64), np.ones(len(some)), np.empty(len(some), _U)
         for (q, i, j), r in zip(cuts, (r for r in replies if r[1] == k), strict=True):
             own = order[i:j]
-            n[own], number[own], z[own], weight[own] = _answer(r, h[own], of[own], plan, k)
-        p = np.where(n[at] > 0, plan.kept(n, k)[at] / z[at], weight[at] * p)
-        gram, cg, zg = np.where(n > 0, number, UNKNOWN)[at], n[at], z[at]
-    return np.log10(p), c, first, held, sizes
+            n[own], own_number[own], zs[own], weight[own] = _answer(r, h[own], ch[own], plan, k)
+        seen = n > 0
+        p[live] = np.where(seen[of_token], (plan.kept(n, k) / zs)[of_token], weight[of_token] * p[live])
+        at = np.full(len(tokens), len(some), np.int32)
+        at[live] = of_token
+        number, count, z = np.append(np.where(seen, own_number, UNKNOWN), UNKNOWN), np.append(n, 0), np.append(zs, 1)
+    return np.log10(p), c[tokens], first, held, sizes
 
 
 def _question(part, block, own, h, w, n, c, z):
     """A row of ASK: n-grams by history, training counts, counts of what is left
     of them one level below; z: that level's denominator per history, negative
     where the history is hot."""
-    starts = np.unique(h[own], return_index=True)[1]
-    return part, block, pack_ascending(h[own]), pack(w[own]), pack(n[own]), pack(c[own].astype(np.uint32)), pack(z[own][starts])
+    starts = _starts(h[own])
+    return int(part), block, pack_ascending(h[own]), pack(w[own]), pack(n[own]), pack(c[own].astype(np.uint32)), pack(z[own][starts])
 
 
 def _answer(reply, h, ch, plan, level):
     """Counts, numbers, denominators and weights of the n-grams of a question."""
     n = unpack(reply[4], np.uint32).astype(np.int64)
-    hs, some, of = np.unique(h, return_index=True, return_inverse=True)
+    some = _starts(h)
+    hs, of = h[some], np.repeat(np.arange(len(some)), np.diff(some, append=len(h)))
     occurs, place = unpack(reply[5], np.uint8).astype(np.int64), unpack(reply[7], np.uint32)
     needy = np.bincount(of[n == 0], minlength=len(hs)) > 0
     sums = unpack(reply[6], np.float64).reshape(CUT + 1, -1)
@@ -397,13 +417,15 @@ def _count_grams(plan, level, last):
             for asked in _grouped(_rows(batches), 0):
                 part, own = asked[0][0], [unpack_ascending(r[2]) for r in asked]
                 history, word = np.concatenate(own), np.concatenate([unpack(r[3], _U) for r in asked])
-                some, at = _pairs(history, word)
+                h, w = _distinct(history)[1], _distinct(word)[1]
+                some, at = _distinct(h.astype(_U) << _U(32) | w.astype(_U))
                 n = np.bincount(at, np.concatenate([unpack(r[4], np.uint32) for r in asked]), len(some)).astype(np.int64)
                 c = np.concatenate([unpack(r[5], np.uint32) for r in asked])[some].astype(np.int64)
-                hs, of = np.unique(history[some], return_inverse=True)
+                of = h[some]  # ascending
+                hs = history[some][_starts(of)]
                 z, places = np.empty(len(hs), np.int64), []
                 for r, h in zip(asked, own):
-                    places.append(np.searchsorted(hs, np.unique(h)))
+                    places.append(np.searchsorted(hs, h[_starts(h)]))
                     z[places[-1]] = unpack(r[6], np.int64)
                 seen = n > 0
                 sums = np.zeros((CUT + 1, len(hs)))

@@ -327,7 +327,7 @@ def test_katz_equals_brute_force_over_many_blocks_and_parts(spark):
     docs = docs.unionByName(odd_docs(spark).select("doc_id", "text"))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
-    for order, part, block in ((3, 1 << 20, 1 << 23), (3, 2000, 20_000), (2, 2000, 20_000), (4, 5000, 50_000), (1, 5000, 50_000)):
+    for order, part, block in ((3, 1 << 20, 1 << 23), (3, 4000, 40_000), (2, 8000, 60_000), (4, 8000, 60_000)):
         want = sorted(_katz(rows, order), key=key)
         got = sorted(map(tuple, katz_scores(docs, part_tokens=part, block_bytes=block, order=order).collect()), key=key)
         assert [r[:5] for r in got] == [r[:5] for r in want]
