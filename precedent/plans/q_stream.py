@@ -1,7 +1,7 @@
 """The request stream (T1) over ``events``, plus the text encoder (R11).
 
 Each event is a request from its user; the user's query vector is the
-embedding with vec_id = user_id. The stream reads the events file with
+embedding with vec_id = user_id. The stream reads the events table with
 availableNow and writes per-batch partitions; the result read back equals the
 batch answer for all events (the same SQL is the oracle).
 """
@@ -46,15 +46,15 @@ def _msg_sql() -> str:
     return STREAM_SQL.replace("{msg}", REFUSAL_MESSAGE.replace("'", "''"))
 
 
+def _stream(spark, d, name):
+    """A table as a stream of its files: the table may be one file or a folder of many
+    (a stream takes a single file by a pattern only)."""
+    return read_requests(spark, read(spark, d, name).schema, f"{d.rstrip('/')}/{{{name}.parquet}}")
+
+
 @register("stream_retrieve", _msg_sql())
 def stream_retrieve(spark, d):
-    ev_schema = read(spark, d, "events").schema
-    source = (
-        spark.readStream.schema(ev_schema)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(d)
-    )
+    source = _stream(spark, d, "events")
     cs = cases(spark, d)
     vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_key"), "embedding")
 
@@ -99,8 +99,7 @@ def _turns_sql() -> str:
 @register("stream_dead_letters", _turns_sql())
 def stream_dead_letters(spark, d):
     """Every turn as a streamed request; those without text come back rejected."""
-    schema = read(spark, d, "conversations").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").option("maxFilesPerTrigger", 1).parquet(d)
+    source = _stream(spark, d, "conversations")
     cs = cases(spark, d)
     vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_key"), "embedding")
 
@@ -136,7 +135,7 @@ UNION ALL SELECT request_id, 'rejected', CASE WHEN text IS NULL THEN 'missing' E
 @register("stream_report", _report_sql())
 def stream_report(spark, d):
     """Requests as a stream: validated, recalled by all routes, gated, reported."""
-    source = read_requests(spark, read(spark, d, "conversations").schema, d, glob="conversations.parquet")
+    source = _stream(spark, d, "conversations")
     cs, qs = cases(spark, d), queries(spark, d)
 
     def answer(batch):

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,7 +135,8 @@ def report_requests(
 
 def read_requests(spark: SparkSession, schema, path: str, *, max_bytes: int = 256 << 20, glob: str | None = None) -> DataFrame:
     """Parquet requests as a stream whose micro-batches are bounded by the
-    bytes of their files (at least one file each)."""
+    bytes of their files (at least one file each). ``path`` is a folder of files or
+    a pattern; ``glob`` names the files to take from a folder."""
     reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes)
     return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
 
@@ -165,7 +167,8 @@ def run_available(
     """Process everything available now (then stop) and return the sink.
     ``held`` are tables that every micro-batch reads (the cases): they stay on
     the executors, by partition, from the first batch to the last; a lost
-    partition is read again."""
+    partition is read again. A stream that never held a row gives an empty
+    answer, with the columns of the others."""
     for table in held:
         table.persist()
     try:
@@ -181,4 +184,10 @@ def run_available(
             table.unpersist()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.parquet(sink)
+    try:
+        return spark.read.parquet(sink)
+    except AnalysisException:  # no batch yet, so no sink
+        if q.lastProgress is not None and q.lastProgress["numInputRows"]:
+            raise
+        nothing = spark.createDataFrame([], source.schema)
+        return answer(nothing).withColumn("batch_id", F.lit(0))

@@ -128,3 +128,36 @@ def test_report_stream_equals_batch_over_several_batches(spark):
     assert out.select("batch_id").distinct().count() > 1 and not cases.is_cached
     got, want = sorted(map(str, out.drop("batch_id").collect())), sorted(map(str, answer(requests).collect()))
     assert got == want
+
+
+def _sources(spark, root):
+    """A folder of tables whose conversations and events come in several files."""
+    from precedent.plans.tables import read
+
+    for name in ("conversations", "events"):
+        read(spark, SMOKE, name).repartition(3).write.parquet(f"{root}/{name}.parquet")
+    read(spark, SMOKE, "embeddings").where("vec_id < 60").repartition(2).write.parquet(f"{root}/embeddings.parquet")
+    return root
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    import __spark_entry__ as E
+    from precedent.plans.tables import read
+
+    root, found = _sources(spark, str(tmp_path)), E.queries()
+    turns = read(spark, root, "conversations").count()
+    blanks = read(spark, root, "conversations").where("turn = 0").count()
+    assert found["stream_dead_letters"](spark, root).select("request_id").distinct().count() == turns
+    assert found["stream_report"](spark, root).count() == turns + blanks
+    assert found["stream_retrieve"](spark, root).select("request_id").distinct().count() == read(spark, root, "events").count()
+
+
+def test_stream_of_an_empty_folder_is_an_empty_answer(spark, tmp_path):
+    from precedent.streaming.requests import OUTPUT_COLUMNS, answer_requests, read_requests, run_available
+
+    (tmp_path / "in").mkdir()
+    cases = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<float>")
+    vectors = spark.createDataFrame([(10, [1.0, 0.05])], "query_key long, embedding array<float>")
+    source = read_requests(spark, "request_id long, query_key long", str(tmp_path / "in"))
+    out = run_available(spark, source, lambda b: answer_requests(b, cases, vectors), str(tmp_path / "sink"), str(tmp_path / "ckpt"))
+    assert out.select(*OUTPUT_COLUMNS).count() == 0
