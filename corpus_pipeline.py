@@ -65,13 +65,14 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids of each document and its place in the mixture: doc_id,
     ids, n_pieces, lossless, source, slot, at, on_target.
 
-    Files keep no order when they are read again, so the schedule is derived once
-    more; order by (slot, at) for the mixture. Rows meet their slots by a number
-    written beside them, so that null and repeated ids each have their own."""
+    The texts of a source keep the order in which ``docs`` holds them, which is what
+    the mixing stage decided: order by (slot, at) for the mixture, that of its files.
+    Rows meet their slots by their numbers, so that null and repeated ids each have
+    their own."""
+    keyed, row = row_keys(docs)
     size = F.octet_length(F.col("text").cast("string"))
-    coded = encode(docs, keep={"source": F.col("source"), "size": size})
-    coded = save(coded.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    slots = mix_sources(coded, size_col="size", keep=["row"]).select("row", "slot", "at", "on_target")
+    coded = save(encode(keyed, keep={"source": F.col("source"), "size": size, "row": F.col(row)}), "pieces")
+    slots = mix_sources(coded, size_col="size", keep=["row"], row_col="row", drawn=False).select("row", "slot", "at", "on_target")
     return coded.join(slots, "row").drop("row", "size")
 
 

@@ -136,7 +136,7 @@ def _unused(docs: DataFrame, name: str) -> str:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: Mapping[object, float] | None = None, power: float = 0.5, period: int | None = None,
                 block_bytes: int = BLOCK_BYTES, seed: int = 17, bucket_rows: int = BUCKET_ROWS,
-                size_col: str | None = None, keep: Sequence[str] = (), row_col: str | None = None) -> DataFrame:
+                size_col: str | None = None, keep: Sequence[str] = (), row_col: str | None = None, drawn: bool = True) -> DataFrame:
     """One row per input row: doc_id, source, block (number in its source), slot,
     release, deadline, at (first byte of the text in its source), on_target
     (false from the slot on at which the first source has run out), and the
@@ -147,7 +147,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unless ``period`` asks for whole shares of so many slots. A null source is
     a source of its own; a null or empty text takes one byte. Rows are drawn by
     id and row number, so null or repeated ids are spread like all others: ``row_col``
-    names the number, else rows are numbered as they are written first. A text longer than a block belongs to the block in
+    names the number, else rows are numbered as they are written first. Without
+    ``drawn`` the texts of a source go in the order of their numbers: rows that were
+    mixed before, numbered as they lie in their files, get the same slots again. A text longer than a block belongs to the block in
     which it begins; ``size_col`` holds the bytes of a text where the text itself
     isn't there. Other columns are not read; an empty table gives an empty
     result."""
@@ -157,7 +159,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     numbered = docs.withColumn(number := _unused(docs, "place"), place)
     rows = save(numbered.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
-                                F.xxhash64(F.col(id_col), F.col(number), F.lit(seed)).alias("draw"), *keep), "sizes")
+                                (F.xxhash64(F.col(id_col), F.col(number), F.lit(seed)) if drawn else F.col(number).cast("long")).alias("draw"),
+                                *keep), "sizes")
     per = save(rows.groupBy("source").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "sources")
     kind = rows.schema["source"].dataType.simpleString()
     n_rows = per.agg(F.sum("n")).first()[0]
@@ -182,8 +185,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = save(weighed.select("source", "bytes", "weight").coalesce(1).mapInArrow(_plan(block_bytes, power), schema), "mix-plan")
 
     buckets = max(1, math.ceil(n_rows / bucket_rows))
-    bucket = F.floor((F.shiftright("draw", 1) / F.lit(2.0**63) + 0.5) * buckets).cast("long")
-    dealt = rows.withColumn("bucket", F.least(bucket, F.lit(buckets - 1).cast("long")))
+    bucket = F.least(F.floor((F.shiftright("draw", 1) / F.lit(2.0**63) + 0.5) * buckets).cast("long"), F.lit(buckets - 1).cast("long"))
+    dealt = rows.withColumn("bucket", bucket if drawn else F.floor(F.col("draw") / bucket_rows).cast("long"))
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"),

@@ -262,3 +262,19 @@ def test_mix_spreads_null_and_repeated_ids(spark):
     assert len(out) == 4000 and len({r["at"] for r in out}) == 4000  # each row has bytes of its own
     first = [r["doc_id"] for r in sorted(out, key=lambda r: r["at"])[:400]]
     assert 120 < first.count(7) < 280  # ids are no longer drawn together
+
+
+def test_last_stage_follows_the_order_of_the_mixing(spark, tmp_path):
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat('some words of a text, ', 200 + cast(id % 40 as int)) as text",
+                                       "if(id < 400, 'a', if(id < 550, 'b', null)) as source")
+    docs.repartitionByRange(5, "doc_id").write.parquet(str(tmp_path / "docs"))
+    path = str(tmp_path / "mixed")
+    corpus_pipeline.mixture(spark, spark.read.parquet(str(tmp_path / "docs")), SMOKE).write.parquet(path)
+    stored = spark.read.parquet(path).select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+    order = [r["doc_id"] for r in sorted(stored, key=lambda r: (r["file_name"], r["row_index"]))]
+    out = corpus_pipeline.pieces(spark, spark.read.parquet(path), SMOKE).select("doc_id", "slot", "at").collect()
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: (r["slot"], r["at"]))] == order
+    # another order of the files gives another result
+    spark.read.parquet(path).repartition(1).orderBy(F.desc("doc_id")).write.parquet(str(tmp_path / "turned"))
+    turned = corpus_pipeline.pieces(spark, spark.read.parquet(str(tmp_path / "turned")), SMOKE).select("doc_id", "slot", "at").collect()
+    assert [r["doc_id"] for r in sorted(turned, key=lambda r: (r["slot"], r["at"]))] != order
