@@ -101,3 +101,30 @@ def test_merge_with_and_without_detail(spark):
     assert out["i1"].company_name == "Prev" and out["i1"].failure_reasons == "snip" and out["i1"].outcome == "sold"
     assert out["i2"].funding_amount == "N/A" and out["i2"].outcome == "N/A" and out["i2"].failure_reasons == "snip2"
     assert out["i1"].has_detail and not out["i2"].has_detail
+
+
+def test_made_pages_fill_all_tasks(spark):
+    from precedent.plans import q_harvest as Q
+    from tests.conftest import SMOKE
+
+    for pages in (Q.entity_pages(spark, SMOKE), Q.labelled_pages(spark, SMOKE), Q.site_pages(spark, SMOKE).where("page_id >= 0")):
+        sizes = [r["count"] for r in pages.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert max(sizes) <= sum(sizes) / 2  # one row group, yet no task has most of the pages
+
+
+def test_pages_are_flattened_in_slices(monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    pages = [f"<div><p>{i}</p>{'<b>x</b>' * (i % 9)}</div>" if i % 11 else None for i in range(300)] + ["<p>" + "y" * 500 + "</p>", ""]
+    found = to_arrow_schema(T._parse_datatype_string(f"{dom.SCHEMA}, status string"))
+    monkeypatch.setattr(HV, "SLICE", 400)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], names=["page_id", "_html"])
+    out = list(HV._flatten(found)([batch]))
+    assert len(out) > 10 and max(b.num_rows for b in out) < 100
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["page_id"] for r in rows] == list(range(len(pages))) and {r["status"] for r in rows} == {"ok"}
+    for html, r in zip(pages, rows):
+        texts, elements = dom.flatten(html)
+        assert [tuple(t.values()) for t in r["texts"]] == texts and [tuple(e.values()) for e in r["elements"]] == elements
