@@ -5,8 +5,8 @@ Plan shape (no cross join, no pair explosion, no query row on the driver):
   queries --numbered by group g of at most a block, sent to each case shard s--+
   cases   --dealt to a shard s by id, sent to each query group g---------------+
      --partition (g, s), queries first--> mapInArrow: the group's queries are
-       held, the shard's cases stream past in Arrow batches; numpy block products
-       with a running top-k per (query, route)
+       held, the shard's cases stream past in Arrow batches; numpy block products,
+       of which only pairs within the running k-th distance are measured and ranked
      --shuffle on query--> row_number <= k (WindowGroupLimit)
 
 A query table within ``broadcast_rows`` is broadcast instead, after a count of its
@@ -44,9 +44,15 @@ MAX_BROADCAST_ROWS = 4096
 MAX_BROADCAST_BYTES = 32 << 20
 SHARD_ROWS = 4_000_000
 # Tile sizes inside a task: the distance tile is CASE_TILE x QUERY_TILE doubles.
-CASE_TILE = 4096
-QUERY_TILE = 2048
+CASE_TILE = 2048
+QUERY_TILE = 512
+# The first cases that a query meets are ranked whole; so many, that later ones are few.
+FIRST_TILE = 512
 _EPS = 1e-9
+# Rounding of a product, as a share of the squared lengths.
+_ROUNDING = 1e-13
+# A query with more than k + FEW near cases in a tile is ranked over the whole tile.
+FEW = 32
 
 
 @dataclass(frozen=True)
@@ -138,6 +144,21 @@ def _tile_topk(dr, c, q, ids, k, metric):
     return out_d, out_i
 
 
+def _pairs_topk(q, d, ids, k):
+    """Top-k by (distance, id) of each query among pairs: the queries, k x queries
+    distances and ids; missing entries are inf / -1."""
+    order = np.lexsort((ids, d, q))
+    order = order[np.isfinite(d[order])]
+    q, d, ids = q[order], d[order], ids[order]
+    own, first, col = np.unique(q, return_index=True, return_inverse=True)
+    place = np.arange(len(q)) - first[col] if len(q) else col
+    some = place < k
+    out_d, out_i = np.full((k, len(own)), np.inf), np.full((k, len(own)), -1, dtype=np.int64)
+    out_d[place[some], col[some]] = d[some]
+    out_i[place[some], col[some]] = ids[some]
+    return own, out_d, out_i
+
+
 def _merge(best_d, best_i, new_d, new_i, k):
     d = np.vstack([best_d, new_d])
     i = np.vstack([best_i, new_i])
@@ -159,6 +180,8 @@ class Block:
     def __init__(self, qids, qmat, labels: list, routes: tuple[Route, ...], metric: str, names_type, exclude_self: bool):
         self.qids, self.qmat, self.routes, self.metric = qids, qmat, routes, metric
         self.qn2 = np.einsum("ij,ij->i", qmat, qmat)
+        # one product tells how near a pair is: of unit vectors, or of vectors with a term for the case's length
+        self.qside = qmat / np.sqrt(self.qn2)[:, None] if metric == "cosine" else np.hstack([qmat, np.ones((len(qids), 1))])
         self.best = [(np.full((r.k, len(qids)), np.inf), np.full((r.k, len(qids)), -1, dtype=np.int64)) for r in routes]
         # filtered routes: the queries of each label
         self.of_label = [None if col is None else {v: np.asarray(i) for v, i in pd.Series(np.arange(len(qids))).groupby(
@@ -185,29 +208,60 @@ class Block:
         self.best = [(d, recode[i]) for d, i in self.best]
         codes = place[len(used) :]
         own = np.array([self.column.get(k, -1) for k in keys.tolist()], np.int64) if self.column else None
+        side = mat / np.sqrt(n2)[:, None] if self.metric == "cosine" else np.hstack([mat, -0.5 * n2[:, None]])
         for r, route in enumerate(self.routes):
             if not route.filtered:
-                self._tiles(r, np.arange(len(ids)), np.arange(len(self.qids)), mat, n2, codes, own)
+                self._tiles(r, np.arange(len(ids)), np.arange(len(self.qids)), mat, side, n2, codes, own)
                 continue
             for label, rows in pd.Series(np.arange(len(ids))).groupby(pd.Series(labels[r], dtype=object)).groups.items():
                 if (cols := self.of_label[r].get(label)) is not None:
-                    self._tiles(r, np.asarray(rows), cols, mat, n2, codes, own)
-
-    def _tiles(self, r, rows, cols, mat, n2, codes, own):
+                    self._tiles(r, np.asarray(rows), cols, mat, side, n2, codes, own)
+
+    def _limits(self, kth, q, n2):
+        """Products from which on a case may be among the best, given the k-th best
+        distances so far: lower by what rounding may take."""
+        slack = _EPS * np.maximum(1.0, np.abs(kth))
+        if self.metric == "cosine":
+            return 1.0 - kth - slack
+        return 0.5 * (self.qn2[q] - kth - slack - _ROUNDING * (self.qn2[q] + n2.max()))
+
+    def _tiles(self, r, rows, cols, mat, side, n2, codes, own):
+        """Cases times queries, tile by tile. Only pairs that may still enter the best
+        are measured and ranked; a query with many of them in a tile (its first tile,
+        or many equal distances) is ranked over the whole tile."""
         best_d, best_i = self.best[r]
         k = self.routes[r].k
-        for c0 in range(0, len(rows), CASE_TILE):
-            c = rows[c0 : c0 + CASE_TILE]
+        upto = 0
+        while upto < len(rows):
+            step = CASE_TILE if upto or np.isfinite(best_d[k - 1, cols]).all() else min(FIRST_TILE, CASE_TILE)
+            c = rows[upto : upto + step]
+            upto += len(c)
+            cm, cs, cn2 = mat[c], side[c], n2[c]
             for q0 in range(0, len(cols), QUERY_TILE):
                 q = cols[q0 : q0 + QUERY_TILE]
                 self.products += len(c) * len(q)
-                tile = _block_distance(mat[c], self.qmat[q], n2[c], self.qn2[q], self.metric)
+                tile = cs @ self.qside[q].T
                 if own is not None:
                     at = np.searchsorted(q, own[c])  # columns ascend
                     hit = np.flatnonzero((at < len(q)) & (q[np.minimum(at, len(q) - 1)] == own[c]))
-                    tile[hit, at[hit]] = np.inf
-                new_d, new_i = _tile_topk(tile, mat[c], self.qmat[q], codes[c], k, self.metric)
-                best_d[:, q], best_i[:, q] = _merge(best_d[:, q], best_i[:, q], new_d, new_i, k)
+                    tile[hit, at[hit]] = np.nan  # never near
+                near = tile >= self._limits(best_d[k - 1, q], q, cn2)
+                n_near = np.count_nonzero(near, axis=0)
+                many = np.flatnonzero(n_near > k + FEW)
+                if len(many):
+                    near[:, many] = False
+                    dist = _block_distance(cm, self.qmat[q[many]], cn2, self.qn2[q[many]], self.metric)
+                    dist[np.isnan(tile[:, many])] = np.inf
+                    self._put(r, q[many], *_tile_topk(dist, cm, self.qmat[q[many]], codes[c], k, self.metric))
+                if len(many) < len(q):
+                    at_c, at_q = np.divmod(np.flatnonzero(near), len(q))
+                    if len(at_c):
+                        exact = _pair_distance(cm[at_c], self.qmat[q[at_q]], self.metric)
+                        self._put(r, *_pairs_topk(q[at_q], exact, codes[c[at_c]], k))
+
+    def _put(self, r, q, new_d, new_i):
+        best_d, best_i = self.best[r]
+        best_d[:, q], best_i[:, q] = _merge(best_d[:, q], best_i[:, q], new_d, new_i, self.routes[r].k)
 
     def rows(self, partial: pa.Schema) -> pa.RecordBatch:
         cols = ([], [], [], [])

@@ -232,3 +232,36 @@ def test_text_ids(spark, block):
     assert nearest.where("id = query_id").count() == 0 and nearest.count() == len(cv)
     full = R.topk(named, asked, payload=["company_name"])
     assert full.where("company_name is null").count() == 0 and full.count() == 3 * len(qv)
+
+
+def _ranked(cases, queries, k, metric):
+    """Plain top-k of (id, vector) pairs by (distance, id)."""
+    out = {}
+    for qid, q in queries:
+        d = sorted((float(knn._pair_distance(np.array(c, float), np.array(q, float), metric)), i) for i, c in cases if i != qid)
+        out[qid] = d[:k]
+    return out
+
+
+def test_only_near_pairs_are_measured_and_none_is_lost(monkeypatch):
+    rng = np.random.default_rng(5)
+    cases = [(i, v) for i, v in enumerate(np.round(rng.normal(size=(600, 5)), 1).tolist())]
+    cases += [(1000 + i, cases[3][1]) for i in range(80)]  # one vector many times: ties across tiles
+    cases = sorted(cases, key=lambda c: -sum(x * x for x in c[1]))
+    queries = [c for c in cases if c[0] % 7 == 0 or c[0] in (3, 1003)]
+    ids, mat = np.array([i for i, _ in cases]), np.array([v for _, v in cases])
+    qids, qmat = np.array([i for i, _ in queries]), np.array([v for _, v in queries])
+    monkeypatch.setattr(knn, "CASE_TILE", 64)
+    monkeypatch.setattr(knn, "QUERY_TILE", 16)
+    whole, tile_topk = [], knn._tile_topk
+    monkeypatch.setattr(knn, "_tile_topk", lambda d, *a: whole.append(d.size) or tile_topk(d, *a))
+    for metric in knn.METRICS:
+        whole.clear()
+        block = knn.Block(qids, qmat, [None], (knn.Route(3),), metric, np.int64, True)
+        for at in range(0, len(ids), 100):
+            block.meet(ids[at : at + 100], mat[at : at + 100], [None], ids[at : at + 100])
+        d, i = block.best[0]
+        want = _ranked(cases, queries, 3, metric)
+        for j, q in enumerate(qids.tolist()):
+            assert [(round(x, 12), int(n)) for x, n in zip(d[:, j], block.names[i[:, j]])] == [(round(x, 12), n) for x, n in want[q]]
+        assert sum(whole) < block.products / 2  # most tiles are not ranked whole
