@@ -38,7 +38,7 @@ METRICS = ("sql2", "cosine")
 
 # Bounds on the queries that a task holds (rows and bytes of float64 vectors), on
 # those of a table that is broadcast, and on the cases of a shard.
-MAX_BLOCK_ROWS = 16384
+MAX_BLOCK_ROWS = 65536
 MAX_BLOCK_BYTES = 128 << 20
 MAX_BROADCAST_ROWS = 4096
 MAX_BROADCAST_BYTES = 32 << 20
@@ -51,6 +51,8 @@ FIRST_TILE = 512
 _EPS = 1e-9
 # Rounding of a product, as a share of the squared lengths.
 _ROUNDING = 1e-13
+# Rounding of a float32, as a share of it.
+_SINGLE = 2.0**-24
 # A query with more than k + FEW near cases in a tile is ranked over the whole tile.
 FEW = 32
 
@@ -181,7 +183,7 @@ class Block:
         self.qids, self.qmat, self.routes, self.metric = qids, qmat, routes, metric
         self.qn2 = np.einsum("ij,ij->i", qmat, qmat)
         # one product tells how near a pair is: of unit vectors, or of vectors with a term for the case's length
-        self.qside = qmat / np.sqrt(self.qn2)[:, None] if metric == "cosine" else np.hstack([qmat, np.ones((len(qids), 1))])
+        self.qside = self._units(qmat, self.qn2) if metric == "cosine" else np.hstack([qmat, np.ones((len(qids), 1))])
         self.best = [(np.full((r.k, len(qids)), np.inf), np.full((r.k, len(qids)), -1, dtype=np.int64)) for r in routes]
         # filtered routes: the queries of each label
         self.of_label = [None if col is None else {v: np.asarray(i) for v, i in pd.Series(np.arange(len(qids))).groupby(
@@ -208,7 +210,7 @@ class Block:
         self.best = [(d, recode[i]) for d, i in self.best]
         codes = place[len(used) :]
         own = np.array([self.column.get(k, -1) for k in keys.tolist()], np.int64) if self.column else None
-        side = mat / np.sqrt(n2)[:, None] if self.metric == "cosine" else np.hstack([mat, -0.5 * n2[:, None]])
+        side = self._units(mat, n2) if self.metric == "cosine" else np.hstack([mat, -0.5 * n2[:, None]])
         for r, route in enumerate(self.routes):
             if not route.filtered:
                 self._tiles(r, np.arange(len(ids)), np.arange(len(self.qids)), mat, side, n2, codes, own)
@@ -217,12 +219,18 @@ class Block:
                 if (cols := self.of_label[r].get(label)) is not None:
                     self._tiles(r, np.asarray(rows), cols, mat, side, n2, codes, own)
 
+    @staticmethod
+    def _units(mat, n2):
+        """Unit vectors in single precision: half the time of a product, whose error is
+        bounded (each is at most 1) and allowed for in ``_limits``."""
+        return (mat / np.sqrt(n2)[:, None]).astype(np.float32)
+
     def _limits(self, kth, q, n2):
         """Products from which on a case may be among the best, given the k-th best
         distances so far: lower by what rounding may take."""
         slack = _EPS * np.maximum(1.0, np.abs(kth))
         if self.metric == "cosine":
-            return 1.0 - kth - slack
+            return 1.0 - kth - slack - (self.qmat.shape[1] + 16) * _SINGLE  # with those of the limit itself
         return 0.5 * (self.qn2[q] - kth - slack - _ROUNDING * (self.qn2[q] + n2.max()))
 
     def _tiles(self, r, rows, cols, mat, side, n2, codes, own):
@@ -245,7 +253,13 @@ class Block:
                     at = np.searchsorted(q, own[c])  # columns ascend
                     hit = np.flatnonzero((at < len(q)) & (q[np.minimum(at, len(q) - 1)] == own[c]))
                     tile[hit, at[hit]] = np.nan  # never near
-                near = tile >= self._limits(best_d[k - 1, q], q, cn2)
+                limits = self._limits(best_d[k - 1, q], q, cn2)
+                some = np.flatnonzero(~(tile.max(axis=0) < limits))  # most queries have no near case; a NaN tells nothing
+                if not len(some):
+                    continue
+                if 8 * len(some) <= len(q):  # a few columns are taken out
+                    q, tile, limits = q[some], tile[:, some], limits[some]
+                near = tile >= limits.astype(tile.dtype)
                 n_near = np.count_nonzero(near, axis=0)
                 many = np.flatnonzero(n_near > k + FEW)
                 if len(many):
@@ -354,6 +368,15 @@ def _partition_task(new_meeting, n_q: int, n_c: int):
     return task
 
 
+def _dealt(least: int, n_c: int, slots: int) -> tuple[int, int]:
+    """Groups of queries (``least`` or more) and shards of ``n_c`` cases, as many pairs as
+    fill all slots evenly: every case is sent to each group, so few groups and, as long
+    as slots are left, shards."""
+    shards = max(1, math.ceil(n_c / SHARD_ROWS), min(slots // least, n_c // CASE_TILE))
+    rounds = math.ceil(least * shards / slots)
+    return max(least, rounds * slots // shards), shards
+
+
 def vector_ok(col: str, dim: int | None = None, metric: str = "sql2"):
     """Column predicate: vector present, of length ``dim`` (when given), all elements
     finite and, for cosine, a non-zero norm."""
@@ -432,8 +455,8 @@ def nearest(
         partial = spread(csel).mapInArrow(_broadcast_task(bc, new_meeting), schema)
     else:
         n_c, slots = cases.count(), spark.sparkContext.defaultParallelism
-        groups = max(1, math.ceil(n_q / max_block_rows), math.ceil(8 * components / max_block_bytes))
-        shards = max(1, math.ceil(n_c / SHARD_ROWS), min(math.ceil(slots / groups), n_c // CASE_TILE))
+        least = max(1, math.ceil(n_q / max_block_rows), math.ceil(8 * components / max_block_bytes))
+        groups, shards = _dealt(least, n_c, slots)
         kind = "array<float>" if {d.dtypes[1][1] for d in (qsel, csel)} == {"array<float>"} else "array<double>"
         own = F.pmod(F.xxhash64("qid", F.lit(1)), F.lit(groups))
         q = qsel.withColumn("qvec", F.col("qvec").cast(kind)).withColumn("is_case", F.lit(False)).withColumn(

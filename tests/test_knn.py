@@ -265,3 +265,28 @@ def test_only_near_pairs_are_measured_and_none_is_lost(monkeypatch):
         for j, q in enumerate(qids.tolist()):
             assert [(round(x, 12), int(n)) for x, n in zip(d[:, j], block.names[i[:, j]])] == [(round(x, 12), n) for x, n in want[q]]
         assert sum(whole) < block.products / 2  # most tiles are not ranked whole
+
+
+def test_cosine_beyond_single_precision():
+    rng = np.random.default_rng(8)
+    mat = rng.normal(size=(12, 1, 24)) + 1e-6 * rng.normal(size=(12, 50, 24))  # fifty cases that no float32 tells apart
+    mat = mat.reshape(-1, 24) * 10.0 ** rng.integers(-3, 4, size=(600, 1))
+    ids = rng.permutation(600)
+    block = knn.Block(ids, mat, [None], (knn.Route(2),), "cosine", np.int64, True)
+    for at in range(0, 600, 150):
+        block.meet(ids[at : at + 150], mat[at : at + 150], [None], ids[at : at + 150])
+    assert block.qside.dtype == np.float32
+    want = _ranked(list(zip(ids.tolist(), mat.tolist())), list(zip(ids.tolist(), mat.tolist())), 2, "cosine")
+    d, i = block.best[0]
+    for j, q in enumerate(ids.tolist()):
+        assert np.allclose(d[:, j], [x for x, _ in want[q]], rtol=0, atol=1e-15)
+        assert block.names[i[:, j]].tolist() == [n for _, n in want[q]]
+
+
+def test_groups_and_shards_fill_the_slots():
+    for least, n_c, slots in ((1, 10_000, 8), (3, 153_846, 8), (5, 300_000, 12), (10, 600_000, 12), (37, 600_000, 12), (13, 50_000, 12)):
+        groups, shards = knn._dealt(least, n_c, slots)
+        rounds = -(-groups * shards // slots)
+        assert groups >= least and groups * shards > 0.9 * rounds * slots
+        assert rounds == -(-least // slots)
+    assert knn._dealt(20, 100_000_000, 12)[1] == 25  # shards stay within their rows
