@@ -1,7 +1,10 @@
+import pytest
+
 from precedent.functions import detail_rules as rules
 from precedent.functions import dom
 from precedent.functions.text import truncate_marked
 from precedent.operators import harvest as HV
+from precedent.session import spread
 from pyspark.sql import functions as F
 
 LIST_HTML = (
@@ -128,3 +131,26 @@ def test_pages_are_flattened_in_slices(monkeypatch):
     for html, r in zip(pages, rows):
         texts, elements = dom.flatten(html)
         assert [tuple(t.values()) for t in r["texts"]] == texts and [tuple(e.values()) for e in r["elements"]] == elements
+
+
+@pytest.mark.parametrize("splits", [1, 2])
+def test_a_row_group_larger_than_a_split_is_dealt_over_all_slots(spark, tmp_path, splits):
+    slots, path = spark.sparkContext.defaultParallelism, str(tmp_path / "part.parquet")
+    spark.range(20_000).select(F.col("id").alias("p_partkey"), F.sha2(F.col("id").cast("string"), 256).alias("p_name")).coalesce(1).write.parquet(path)
+    size = max(f.stat().st_size for f in (tmp_path / "part.parquet").glob("*.parquet"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // (splits * slots - splits + 1) + 1))
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() >= slots and len(df.groupBy(F.spark_partition_id()).count().collect()) == 1
+        rows = [r["count"] for r in spread(df).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(rows) == 20_000 and max(rows) <= 1.1 * 20_000 / slots + slots
+
+
+def test_spread_leaves_a_table_of_many_partitions_alone(spark):
+    df = spark.range(100).repartition(2 * spark.sparkContext.defaultParallelism)
+    assert spread(df) is df
