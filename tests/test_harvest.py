@@ -4,6 +4,7 @@ from precedent.functions import detail_rules as rules
 from precedent.functions import dom
 from precedent.functions.text import truncate_marked
 from precedent.operators import harvest as HV
+from precedent.plans import q_harvest
 from precedent.session import spread
 from pyspark.sql import functions as F
 
@@ -154,3 +155,21 @@ def test_a_row_group_larger_than_a_split_is_dealt_over_all_slots(spark, tmp_path
 def test_spread_leaves_a_table_of_many_partitions_alone(spark):
     df = spark.range(100).repartition(2 * spark.sparkContext.defaultParallelism)
     assert spread(df) is df
+
+
+def test_detail_pages_of_one_row_group_are_flattened_in_all_slots(spark, tmp_path):
+    slots, path = spark.sparkContext.defaultParallelism, tmp_path / "part.parquet"
+    k = F.col("id")
+    spark.range(7_000).select(k.alias("p_partkey"), F.sha2(k.cast("string"), 256).alias("p_name"), F.concat(F.lit("type "), k % 9).alias("p_type"),
+                              F.lit("brand").alias("p_brand"), (k % 50).cast("int").alias("p_size")).coalesce(1).write.parquet(str(path))
+    size = max(f.stat().st_size for f in path.glob("*.parquet"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // slots + 1))
+        pages = q_harvest.site_pages(spark, str(tmp_path)).where("page_id >= 0")
+        rows = [r["count"] for r in HV.detail_fields(pages).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(rows) == 6_000 and max(rows) <= 2 * 6_000 / slots
