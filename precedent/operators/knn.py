@@ -370,9 +370,9 @@ def _partition_task(new_meeting, n_q: int, n_c: int):
 
 def _dealt(least: int, n_c: int, slots: int) -> tuple[int, int]:
     """Groups of queries (``least`` or more) and shards of ``n_c`` cases, as many pairs as
-    fill all slots evenly: every case is sent to each group, so few groups and, as long
-    as slots are left, shards."""
-    shards = max(1, math.ceil(n_c / SHARD_ROWS), min(slots // least, n_c // CASE_TILE))
+    fill all slots evenly. Every case is sent to each group, and every query starts anew
+    in each shard: where slots are left, about twice as many groups as shards."""
+    shards = max(1, math.ceil(n_c / SHARD_ROWS), min(slots // least, n_c // CASE_TILE, math.isqrt(slots // 2)))
     rounds = math.ceil(least * shards / slots)
     return max(least, rounds * slots // shards), shards
 
