@@ -7,6 +7,7 @@ from precedent.operators import harvest as HV
 from precedent.plans import q_harvest
 from precedent.session import spread
 from pyspark.sql import functions as F
+from tests.conftest import SMOKE
 
 LIST_HTML = (
     '<html><body><script>var s = "<a href=\\"/Hidden\\">x</a>";</script>'
@@ -173,3 +174,16 @@ def test_detail_pages_of_one_row_group_are_flattened_in_all_slots(spark, tmp_pat
         for name, value in before.items():
             spark.conf.set(name, value)
     assert sum(rows) == 6_000 and max(rows) <= 2 * 6_000 / slots
+
+
+def test_building_bodies_runs_no_shuffle(spark):
+    pages = q_harvest.site_pages(spark, SMOKE).where("page_id >= 0")
+    spark.sparkContext.setJobGroup("build-bodies", "")
+    try:
+        built = HV.detail_fields(pages, dealt=True)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("build-bodies")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert not list(jobs)
+    got = {tuple(r) for r in built.collect()}
+    assert len(got) == pages.count() and got == {tuple(r) for r in HV.detail_fields(pages).collect()}

@@ -92,3 +92,24 @@ def test_references_are_read_as_the_parser_reads_them(spark):
     assert got.pop(-1) is None
     wrong = [(texts[i], u, html.unescape(texts[i])) for i, u in got.items() if u != html.unescape(texts[i])]
     assert not wrong, wrong[:5]
+
+
+def test_plain_pages_are_cut_as_the_parser_reads_them(monkeypatch):
+    bits = ["<p>", "</p>", '<div class="a b">', "</div>", "<a href='/x'>", "</a>", "<br/>", "<br />", '<img src="q" />', "<h1>", "</h1>", "text", "\n", "&amp;",
+            "&lt", "&", "<", ">", '"', "<!-- c -->", "<!doctype html>", "<script>", "</script>", "<title>", "</title>", "<P>", "<p >", "<a href=x>", "<p/>",
+            '<a href="a&amp;b">', '<a href="">', "</ p>", '<a class="1" class="2">', "<a class>", '<a href="x>y">', '<a href="l\nm">', "é", "<é>", "<plaintext>"]
+    rng = random.Random(7)
+    pages = [None, "", "no tags & all"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 8))) for _ in range(5000)]
+    plain = "<html><body><h1>T &amp; U</h1><main><p class='x'>one<br/>two</p></main></body></html>"
+    assert dom._Flat().plain(plain) and not dom._Flat().plain(plain + "<!-- c -->")
+    assert sum(dom._Flat().plain(p or "") for p in pages) > 500
+
+    def read(p):
+        try:
+            return dom.flatten(p)
+        except Exception as e:
+            return type(e)
+
+    got = [read(p) for p in [*pages, plain]]
+    monkeypatch.setattr(dom._Flat, "plain", lambda page, html: False)
+    assert got == [read(p or "") for p in [*pages, plain]]
