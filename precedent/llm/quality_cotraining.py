@@ -34,6 +34,9 @@ ROUNDS = 2
 CONFIDENT = 0.97
 THRESHOLD = 0.5
 HASHED = 64  # places for source and language each
+#: Bytes of text whose features are computed at a time (one longer text alone): their
+#: arrays take some sixty times as much.
+SLICE = 256 << 10
 _U = np.uint64
 
 _CLASSES = {
@@ -51,13 +54,22 @@ _CLASSES = {
 _ODD_END = _CLASSES["odd"] | _CLASSES["bar"] | _CLASSES["bang"]
 
 
+def _histograms(t: Texts) -> np.ndarray:
+    """How often each byte occurs in each text, counted piece by piece."""
+    out = np.zeros((t.n, 256), np.int64)
+    for i, (a, b) in enumerate(zip(t.off[:-1].tolist(), t.off[1:].tolist())):
+        for lo in range(a, b, SLICE):
+            out[i] += np.bincount(t.buf[lo : min(lo + SLICE, b)], minlength=256)
+    return out
+
+
 def text_features(t: Texts, hasher: Hasher) -> np.ndarray:
     """One row of numbers per text; all zero for an empty one."""
     n_bytes = np.diff(t.off).astype(float)
     per_byte = np.maximum(n_bytes, 1)
-    out = []
+    out, counts = [], _histograms(t)
     for mask in _CLASSES.values():
-        share = per_doc(mask[t.buf].astype(np.int64), t.off) / per_byte
+        share = counts[:, mask].sum(axis=1) / per_byte
         out += [share, np.sqrt(share)]
     low = t.lower()
     w = words(low)
@@ -87,7 +99,7 @@ def text_features(t: Texts, hasher: Hasher) -> np.ndarray:
 def _features(batches):
     hasher = Hasher()
     for b in batches:
-        for t in texts(b.column(1)):
+        for t in texts(b.column(1), SLICE):
             x = text_features(t, hasher)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
             empty = pa.array(np.diff(t.off) == 0)

@@ -3,6 +3,7 @@ force, exact round trips, or held-out accuracy; and odd inputs."""
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from precedent.llm import language_crf as crf
+from precedent.llm import quality_cotraining
 from precedent.llm import sentencepiece_sampling as sps
 from precedent.llm import span_dedup as sd
 from precedent.llm.katz_lm import Unigrams, discounts, katz_scores
@@ -142,6 +144,27 @@ def test_language_odd_inputs(spark):
     assert crf.predict_language(none(spark)).count() == 0
 
 
+def test_quality_features_are_computed_in_small_slices():
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcXYZ 019\n.!|#", np.uint8)
+    rows = [bytes(rng.choice(letters, 3000)).decode() for _ in range(400)] + ["", None, "é😀 a A", "x y " * (quality_cotraining.SLICE // 2)]
+    col = lambda v, t: pa.array([v] * len(rows), t)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows), col("s", pa.string()), col("l", pa.string()), col(1.0, pa.float64()),
+                                        pa.array(range(len(rows)))], ["doc_id", "text", "source", "lang", "declared", "row"])
+    tracemalloc.start()
+    small = pa.Table.from_batches(quality_cotraining._features(iter([batch.slice(0, 400)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 and small.num_rows == 400  # 1.2 MB of text
+    got = pa.Table.from_batches(quality_cotraining._features(iter([batch])))
+    assert got["doc_id"].to_pylist() == list(range(len(rows)))
+    for text, x, empty in zip(rows, got["x_text"].to_pylist(), got["empty"].to_pylist()):
+        raw = (text or "").encode()
+        assert empty == (not raw)
+        shares = [sum(bool(mask[c]) for c in raw) / max(len(raw), 1) for mask in quality_cotraining._CLASSES.values()]
+        assert x[:20:2] == shares
+
+
 def test_quality_on_held_out_labels_and_odd_inputs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
