@@ -3,9 +3,11 @@ force, exact round trips, or held-out accuracy; and odd inputs."""
 
 import math
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from precedent.llm.license_scan import license_texts, scan_licenses
 from precedent.llm.quality_cotraining import score_quality
 from precedent.llm.span_dedup import span_dedup
 from precedent.llm.tokens import Hasher, texts, words
+from precedent.session import ensure_checkpoint_dir
 from tests.conftest import SMOKE
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, node long, key long"
@@ -360,6 +363,24 @@ def test_katz_equals_brute_force_over_many_blocks_and_parts(spark):
     assert {(r.train_tokens, r.score) for r in katz_scores(held).collect()} == {(0, 0.0)}
 
 
+def test_katz_writes_little_and_keeps_no_shuffles(spark):
+    base = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    dirs = [Path(str(d)) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {f for d in dirs for f in d.rglob("shuffle_*.data")}
+    draw = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in draw.zipf(1.3, 400) % 30_000)) for i in range(300)]
+    before, tables = shuffles(), set(base.glob("gram-*"))
+    scored = katz_scores(spark.createDataFrame(rows, "doc_id long, text string"), part_tokens=1 << 12, block_bytes=1 << 16)
+    for _ in range(100):  # files go in the background
+        if (left := sum(f.stat().st_size for f in shuffles() - before if f.exists())) < 100_000:
+            break
+        time.sleep(0.2)
+    assert left < 100_000, left  # those of the sums over all parts
+    wrote = sum(f.stat().st_size for d in set(base.glob("gram-*")) - tables for f in d.glob("*.parquet"))
+    assert wrote < 6 * 300 * 401, wrote / 300 / 401
+    assert scored.count() == 300
+
+
 def test_spdx_tags_are_met_word_for_word(spark):
     rows = [(1, "SPDX-License-Identifier: MIT"), (2, "// SPDX-License-Identifier: GPL-2.0-only\nint main;"),
             (3, "/* spdx-license-identifier: Apache-2.0 */\ncode"), (4, "# SPDX-License-Identifier: LGPL-2.1-or-later\n# rest"),
