@@ -316,6 +316,13 @@ def _tiles(dim: int, k: int, same: bool):
     return run
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the input, neither of which is broadcast. Spark
+    judges them by their files and by fixed sizes of binary values: pieces of vectors that
+    compress well pass for a small table, and would be gathered whole in the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 class Searcher:
     """Exact best rows within windows of scores, over saved rows (row, id, label, anchor,
     vec, sq)."""
@@ -343,7 +350,7 @@ class Searcher:
                                   "piece long, a_rows binary, a_ids binary, a_labels binary, a_vecs binary, lo binary, hi binary")
 
     def _pass(self, windows: DataFrame, k: int, same: bool, own: bool) -> DataFrame:
-        tiles = self.visits(windows, own).join(self.pieces, "piece").select(
+        tiles = _merged(self.visits(windows, own), self.pieces, "piece").select(
             "piece", "a_rows", "a_ids", "a_labels", "a_vecs", "lo", "hi", "rows", "ids", "labels", "vecs")
         return tiles.mapInArrow(_tiles(self.dim, k, same), "a_row long, a_id long, win long, row long, id long, score long")
 
@@ -358,7 +365,7 @@ class Searcher:
         near = save(self._best(self._pass(windows, k, same, own=True), k), "own-leaf")
         full = near.where(F.col("rank") == k).groupBy(F.col("a_row").alias("row")).agg(F.map_from_entries(F.collect_list(F.struct("win", "score"))).alias("kth"))
         narrow = F.transform("lo", lambda v, i: F.greatest(v, F.element_at("kth", i.cast("long"))))
-        rest = windows.join(full, "row", "left").withColumn("lo", F.when(F.col("kth").isNull(), F.col("lo")).otherwise(narrow))
+        rest = _merged(windows, full, "row", "left").withColumn("lo", F.when(F.col("kth").isNull(), F.col("lo")).otherwise(narrow))
         both = near.drop("rank").unionByName(self._pass(rest, k, same, own=False))
         return save(self._best(both, k), "found")
 
@@ -395,13 +402,13 @@ def mine_negatives(vectors: DataFrame, anchor: Column, id_col: str = "vec_id", v
     score = lambda i: F.get(F.col("p"), F.lit(i))["score"]
     down = lambda v: F.call_function("div", v - F.pmod(v, F.lit(100)), F.lit(100))
     or_else = lambda v, x: F.coalesce(v, F.lit(x).cast("long"))
-    windows = found.anchors.join(mine, "row").select(
+    windows = _merged(found.anchors, mine, "row").select(
         "row", "id", "label", "leaf", "vec",
         F.array(*[or_else(-down(-score(i) * low), 1) for i in range(n_positives)]).alias("lo"),
         F.array(*[or_else(down(score(i) * high), 0) for i in range(n_positives)]).alias("hi"))
     negatives = found.search(windows, n_negatives, same=False)
     left = positives.select("a_row", (F.col("rank") - 1).cast("long").alias("win"), F.col("id").alias("positive_id"),
                             F.col("score").alias("positive_score"))
-    return negatives.withColumnRenamed("score", "negative_score").join(left, ["a_row", "win"]).select(
+    return _merged(negatives.withColumnRenamed("score", "negative_score"), left, ["a_row", "win"]).select(
         F.col("a_id").alias("anchor_id"), "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"),
         "positive_score", "negative_score")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from precedent.llm import hard_negatives
 from precedent.llm.hard_negatives import Tree, mine_negatives
 
 SCHEMA = "vec_id long, embedding array<float>, label int, row long, id string"
@@ -84,3 +85,23 @@ def test_odd_rows(spark):
     twice = [(0, [1, 0], 1), (0, [1, 0], 1), (1, [0.9, 0.5], 2), (1, [0.9, 0.5], 2)]
     got = [tuple(r) for r in mine_negatives(table(spark, twice), F.col("vec_id") % 100 == 0).collect()]
     assert sorted(got) == [(0, 0, 1, 1, 65536, 58880)] * 2 + [(0, 0, 2, 1, 65536, 58880)] * 2
+
+
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    """Only the list of leaves (at most FANOUT^2 rows) passes through the driver, however
+    small the files look to Spark."""
+    rows = vectors(np.random.default_rng(5), 300)
+    plans, save, before = [], hard_negatives.save, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(hard_negatives, "save", lambda df, name: (plans.append((name, plan(df))), save(df, name))[1])
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+        out = mine_negatives(table(spark, rows), F.col("vec_id") % 100 == 0)
+        plans.append(("result", plan(out)))
+        got = sorted(tuple(r) for r in out.collect())
+        plans.append(("result as run", plan(out)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute(rows)
+    assert [n for n, p in plans if "SortMergeJoin" in p] == ["own-leaf", "found", "windows", "own-leaf", "found", "result", "result as run"]
+    assert {n for n, p in plans if "BroadcastExchange" in p} == {"pieces"}
