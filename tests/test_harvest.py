@@ -57,6 +57,39 @@ def test_detail_fields(spark):
     assert [len(x.u) for x in t.collect()] == [800, 803]
 
 
+def test_a_page_that_could_not_be_parsed_is_no_page_without_a_body(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    flatten = dom.flatten
+
+    def refuse(html):
+        if html and "refused" in html:
+            raise ValueError("refused")
+        return flatten(html)
+
+    monkeypatch.setattr(HV, "dom", SimpleNamespace(SCHEMA=dom.SCHEMA, flatten=refuse))
+    long = "x" * 900
+    rows = [(1, f"<h1>A</h1><main><p>{long}</p></main>"), (2, f"<h1>refused</h1><main><p>{long}</p></main>"), (3, "<p>short</p>"), (4, None)]
+    got = {r.page_id: tuple(r)[1:] for r in HV.detail_fields(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert got == {1: ("A", long, long[:800] + "...", "ok"), 2: (None, None, None, "error"), 3: ("", "", "", "ok"), 4: ("", "", "", "ok")}
+
+
+@pytest.mark.parametrize("odd", ["<![foo[x]]>", "<![ x ]>", "<![%[>", "<![[>", "<![>", "<![foo>"])
+def test_marked_sections_of_any_name_leave_the_page_whole(spark, tmp_path, odd):
+    """As the SQL has it: up to the next '>' they count as a tag."""
+    import duckdb
+
+    from precedent.plans.catalog import ORACLE
+
+    long = "One paragraph that is longer than fifty characters in all."
+    pages = spark.createDataFrame([(1, "http://a.com", f"<html>{odd}<main><h1>T</h1><p>{long}</p></main></html>")], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = [tuple(r) for r in q_harvest.harvest_truncate(spark, str(tmp_path)).collect()]
+    assert got == con.execute(ORACLE["harvest_truncate"]).fetchall() == [(1, long)]
+
+
 RULE_CASES = [
     ("industry", "<div><span>Industry</span><span>Fintech</span></div>", "Fintech"),
     ("industry", "<div><p>Sector: Retail</p></div>", "Retail"),
