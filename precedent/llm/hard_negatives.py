@@ -73,6 +73,17 @@ def _matrix(values, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(v if len(v) == size else v.ljust(size, b"\0") for v in values), np.int32).reshape(-1, dim).astype(np.float64)
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole components, in two bytes each if all of them fit and else in four: anchors go
+    to many pieces, so most of the shuffle is vectors."""
+    return x.astype(np.int16 if x.min() >= -(1 << 15) and x.max() < 1 << 15 else np.int32).tobytes()
+
+
+def _wide(data, n: int, dim: int) -> np.ndarray:
+    """``n`` vectors packed by ``_narrow``, in double."""
+    return np.frombuffer(data, np.int16 if len(data) == 2 * n * dim else np.int32).reshape(n, dim).astype(np.float64)
+
+
 class Tree:
     """Split points of the root and its children, with ranges over all rows."""
 
@@ -217,7 +228,8 @@ def _packed(dim: int):
     """Rows come sorted by (piece, id, row): one row a piece."""
 
     def row(piece, parts):
-        cols = [np.concatenate([p[k] for p in parts]).tobytes() for k in range(4)]
+        cols = [np.concatenate([p[k] for p in parts]) for k in range(4)]
+        cols = [*[c.tobytes() for c in cols[:3]], _narrow(cols[3])]
         return pa.RecordBatch.from_arrays([pa.array([piece]), *[pa.array([c], pa.binary()) for c in cols]],
                                           ["piece", "rows", "ids", "labels", "vecs"])
 
@@ -256,7 +268,7 @@ def _visits(tree: Tree, first: np.ndarray, parts: np.ndarray, own: bool, block:
         go[np.arange(len(row)), leaf] = own
         for at in np.flatnonzero(go.any(axis=0)).tolist():
             i = np.flatnonzero(go[:, at])
-            cols = [c[i].tobytes() for c in (row, ids, label, x.astype(np.int32), lo, hi)]
+            cols = [*[c[i].tobytes() for c in (row, ids, label)], _narrow(x[i]), *[c[i].tobytes() for c in (lo, hi)]]
             for piece in range(int(first[at]), int(first[at] + parts[at])):
                 yield pa.RecordBatch.from_arrays([pa.array([piece]), *[pa.array([c], pa.binary()) for c in cols]],
                                                  ["piece", "a_rows", "a_ids", "a_labels", "a_vecs", "lo", "hi"])
@@ -288,7 +300,7 @@ def _tiles(dim: int, k: int, same: bool):
         a_row, a_id, a_label = (get(c, np.int64) for c in (1, 2, 3))
         row, ids, label = (get(c, np.int64) for c in (7, 8, 9))
         lo, hi = (get(c, np.int64).reshape(len(a_row), -1) for c in (5, 6))
-        x, y = (get(c, np.int32).reshape(-1, dim).astype(np.float64) for c in (4, 10))
+        x, y = (_wide(b.column(c)[r].as_buffer(), n, dim) for c, n in ((4, len(a_row)), (10, len(row))))
         s = (x @ y.T).astype(np.int64)
         fit = (s >= lo.min(axis=1)[:, None]) & (s <= hi.max(axis=1)[:, None])
         fit &= (a_label[:, None] == label[None, :]) == same

@@ -87,6 +87,14 @@ def test_odd_rows(spark):
     assert sorted(got) == [(0, 0, 1, 1, 65536, 58880)] * 2 + [(0, 0, 2, 1, 65536, 58880)] * 2
 
 
+def test_components_of_two_and_four_bytes_in_one_table(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [y * (2000 if i % 3 == 0 else 1) for y in v], lab) for i, v, lab in vectors(rng, 200)]
+    rows += [(2000, [-128.0, 127.99] * 6, 1), (2005, [128.0] * 12, 1), (2010, [-128.01] * 12, 2), (2100, [128.0] * 11 + [127.9], 2)]
+    got = sorted(tuple(r) for r in mine_negatives(table(spark, rows), F.col("vec_id") % 100 == 0, piece=8, block=2, sample=40, leaf=5).collect())
+    assert got == brute([(i, np.array(v, np.float32).tolist(), lab) for i, v, lab in rows]) and len(got) > 20
+
+
 def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
     """Only the list of leaves (at most FANOUT^2 rows) passes through the driver, however
     small the files look to Spark."""
